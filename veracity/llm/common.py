@@ -50,3 +50,21 @@ def before(df: DataFrame, group: list[str], bucket: list[str], value: Column, na
     sums = df.groupBy(*group, *bucket).agg(F.sum(value).cast("long").alias("__sum"))
     w = W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
     return sums.withColumn(name, F.coalesce(F.sum("__sum").over(w), F.lit(0).cast("long"))).drop("__sum")
+
+
+def prefix_sum(df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over the group's earlier rows, in the order of bucket, then `order`. Keys must not be null."""
+    w = W.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    base = before(df, group, bucket, value, "__base")
+    return df.join(base, [*group, *bucket]).withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))).drop("__base")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's number from 0 in a total order: sorted ranges, then one count per range."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per range
+    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    w = W.partitionBy("__p").orderBy(*order)
+    return parts.join(F.broadcast(base), "__p").withColumn(name, (F.col("__base") + F.row_number().over(w) - 1).cast("long")).drop("__p", "__n", "__base")

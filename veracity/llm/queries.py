@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, secrets, transport_stream, url_filter
+from . import chat_format, mixing, packing, secrets, toxicity, transport_stream, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -17,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = chat_format.format_pairs(chat_format.with_foreign_reply(turns))
+    return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *[chat_format.spans_text(F.col(f"{c}_mask")).alias(f"{c}_mask") for c in ("chosen", "rejected")])
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(table(spark, sf_dir, "documents"))
 
@@ -26,22 +33,62 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+#: Categories of the chain, in order: of low quality, toxic.
+CATEGORIES = ["low_quality", "toxic"]
+
+
+def label_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"))
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, label_columns(spark, sf_dir), CATEGORIES)
+    return toxicity.score(docs, chain).select("doc_id", *[f"p_{c}" for c in CATEGORIES], "toxic")
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 QUERIES = {
+    "op1_preference_formatting": op1_preference_formatting,
     "op4_transport_streams": op4_transport_streams,
     "op5_url_filters": op5_url_filters,
+    "op6_mixing": op6_mixing,
     "op7_secret_scans": op7_secret_scans,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
 ORACLES = {
+    "op1_preference_formatting": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls last, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null
+), a as (select conv_id, max(i) filter (role = 'assistant') as last from t group by conv_id
+), y as (select xor(conv_id, 1) as conv_id, text as reply from t join a using (conv_id) where i = last
+), p as (
+  select conv_id, i, role, text as c, case when i = last then coalesce(reply, '') else text end as r from t join a using (conv_id) left join y using (conv_id)
+), n as (select conv_id, coalesce(min(i) filter (c <> r) - 1, max(i)) as n from p group by conv_id
+), x as (
+  select conv_id, n, i, role, '<|' || role || E'|>\n' || c || E'<|end|>\n' as c, '<|' || role || E'|>\n' || r || E'<|end|>\n' as r from p join n using (conv_id)
+), m as (
+  select *, coalesce(sum(length(c)) over w, 0)::bigint as cs, coalesce(sum(length(r)) over w, 0)::bigint as rs
+  from x window w as (partition by conv_id, i > n order by i rows between unbounded preceding and 1 preceding)
+)
+select conv_id, n::int as n_prompt_turns, coalesce(string_agg(c, '' order by i) filter (i <= n), '') as prompt,
+       coalesce(string_agg(c, '' order by i) filter (i > n), '') as chosen, coalesce(string_agg(r, '' order by i) filter (i > n), '') as rejected,
+       coalesce(string_agg((cs + length(role) + 5) || ':' || (cs + length(c) - 1), ',' order by i) filter (i > n and role = 'assistant'), '') as chosen_mask,
+       coalesce(string_agg((rs + length(role) + 5) || ':' || (rs + length(r) - 1), ',' order by i) filter (i > n and role = 'assistant'), '') as rejected_mask
+from m group by conv_id, n""",
     "op5_url_filters": r"""
 with u as (
   select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
@@ -55,6 +102,35 @@ with u as (
 )
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m
 qualify row_number() over (partition by page_id, host, path order by n desc nulls last) = 1""",
+    "op6_mixing": r"""
+with d as (
+  select doc_id, source, coalesce('s' || source, 'n') as key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as r from documents
+), s as (
+  select key, source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by key, source
+), w as (select *, rank % 3 + 1 as weight, source_size * 3 as cap from s
+), c as (
+  select *, (select sum(source_size) from s) as total, coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as capped,
+         sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as free, row_number() over (order by cap / weight, rank) as o from w
+), l as (select coalesce(arg_min((total - capped) / free, o) filter ((total - capped) / free * weight <= cap and total > 0), 0) as share from c
+), t as (
+  select key, source_size, rank, least(cap::double, share * weight) as target, ceil(source_size / 64)::bigint as blocks from w, l
+), k as (
+  select *, least(case when source_size > 0 then round(target * blocks / source_size)::bigint else 0 end, 3 * blocks) as slots from t
+), j as (select key, rank, blocks, unnest(range(slots)) as j from k
+), a as (
+  select key, blocks, j % blocks as i, (j // blocks + rank) as turn, [1000003, 998244353, 1000000007] as p from j
+), q as (
+  select key, blocks, i, turn, case when blocks % p[(turn % 3 + 1)::int] <> 0 then p[(turn % 3 + 1)::int] when blocks % p[((turn + 1) % 3 + 1)::int] <> 0 then p[((turn + 1) % 3 + 1)::int] else p[((turn + 2) % 3 + 1)::int] end as m from a
+), b as (
+  select key, ((m::hugeint * i + turn * 7919) % blocks)::bigint as block, count(*) as times from q group by all
+), o as (
+  select r, doc_id, key, size, coalesce(sum(size) over (partition by key order by coalesce(doc_id >> 16, 4611686018427387904), size % 4, doc_id nulls first, size, r rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d
+), e as (
+  select r, key, pos, size, unnest(range(pos // 64, (pos + size - 1) // 64 + 1)) as block from o where size > 0
+), x as (
+  select r, sum((least((block + 1) * 64, pos + size) - greatest(block * 64, pos)) * times)::bigint as taken from e join b using (key, block) group by r
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from o join t using (key) left join x using (r)""",
     "op7_secret_scans": r"""
 with p(kind, rank, pat, grp, least) as (values
   ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
