@@ -68,3 +68,25 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     w = W.partitionBy("__p").orderBy(*order)
     return parts.join(F.broadcast(base), "__p").withColumn(name, (F.col("__base") + F.row_number().over(w) - 1).cast("long")).drop("__p", "__n", "__base")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): each node of `edges` with the smallest node that it reaches.
+
+    Alternates large-star and small-star rounds, in which a node's larger (smaller or equal) neighbours are
+    linked to its smallest one, until nothing changes; every round is written out.
+    """
+    now = materialize(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct(), "edges")
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        now = materialize(small.where("u < v").distinct(), "edges")
+        last, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+        if mark == last:
+            break
+    roots = now.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

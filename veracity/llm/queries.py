@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, secrets, toxicity, transport_stream, url_filter
+from . import chat_format, mixing, ngram_jaccard, packing, secrets, toxicity, transport_stream, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -41,6 +41,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Categories of the chain, in order: of low quality, toxic.
 CATEGORIES = ["low_quality", "toxic"]
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
     "op7_secret_scans": op7_secret_scans,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
