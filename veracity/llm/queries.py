@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, ngram_jaccard, packing, secrets, toxicity, transport_stream, url_filter
+from . import chat_format, mixing, ngram_jaccard, packing, perplexity, secrets, toxicity, transport_stream, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -24,6 +24,11 @@ def op1_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", *[chat_format.spans_text(F.col(f"{c}_mask")).alias(f"{c}_mask") for c in ("chosen", "rejected")])
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity.quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
+    "op2_kneser_ney_quality": op2_kneser_ney_quality,
     "op4_transport_streams": op4_transport_streams,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
