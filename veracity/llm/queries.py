@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, ngram_jaccard, packing, perplexity, secrets, toxicity, transport_stream, url_filter
+from . import chat_format, exact_topk, mixing, ngram_jaccard, packing, perplexity, secrets, toxicity, transport_stream, url_filter
 from .common import table
 
 #: The rules of the URL query.
@@ -29,6 +29,10 @@ def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digest(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
+    "op3_exact_topk": op3_exact_topk,
     "op4_transport_streams": op4_transport_streams,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
@@ -100,6 +105,16 @@ select conv_id, n::int as n_prompt_turns, coalesce(string_agg(c, '' order by i)
        coalesce(string_agg((cs + length(role) + 5) || ':' || (cs + length(c) - 1), ',' order by i) filter (i > n and role = 'assistant'), '') as chosen_mask,
        coalesce(string_agg((rs + length(role) + 5) || ':' || (rs + length(r) - 1), ',' order by i) filter (i > n and role = 'assistant'), '') as rejected_mask
 from m group by conv_id, n""",
+    "op3_exact_topk": r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from (select distinct * from v where vec_id % 100 = 0) q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+qualify rank <= 10""",
     "op5_url_filters": r"""
 with u as (
   select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
