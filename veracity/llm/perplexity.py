@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,7 +37,7 @@ ORDER, SYMBOL_BITS = 4, 16
 #: Trusted ids are broadcast up to this number (some 40 MB), and joined by a shuffle beyond it.
 MAX_BROADCAST_IDS = 1_000_000
 #: Characters that a map task packs at once, grams of a shard, characters of the runs that meet one copy of a shard.
-RUN, SHARD, GROUP = 6_000_000, 1 << 18, 1 << 26
+RUN, SHARD, GROUP = 2_000_000, 1 << 18, 1 << 26
 #: Quantiles of trusted documents between which a document is kept.
 LOW, HIGH = 0.002, 0.995
 STEPS = 10_000
@@ -86,9 +87,9 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Slices of at most 2,000 rows and some RUN characters, or one row."""
     for batch in batches:
-        at, held, sizes = 0, 0, batch.column(text).to_pylist()
-        for i, t in enumerate(sizes):
-            held += len(t or "")
+        at, held, sizes = 0, 0, pc.utf8_length(batch.column(text)).to_pylist()
+        for i, n in enumerate(sizes):
+            held += n or 0
             if held >= RUN or i + 1 - at >= 2000 or i + 1 == len(sizes):
                 yield batch.slice(at, i + 1 - at)
                 at, held = i + 1, 0
