@@ -283,3 +283,13 @@ def test_packing(spark, odd):
 def test_cut_keeps_every_token(length):
     parts = packing.cut(length)
     assert sum(parts) == length and all(0 < p <= 2048 for p in parts)
+
+
+def test_word_ids_equal_the_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    whole, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    texts = ["", "One, two... THREE!? it's 12,5% of a<b <|x .,", "ÀÉ ªº µ ÿþÐ ß. ré,%% café é'' Σς İ x­", "a.b,c don't' --x ##y## \"quoted\"", "中文。 résumé… naïve!!!"]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text

@@ -15,6 +15,8 @@ repeated rows are packed like others; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,41 +53,58 @@ def cut(length: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+class WordIds(dict):
+    """Little-endian 32-bit ids by word, each worked out when first asked for."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem and len(stem) < len(word) and b"<|" not in word and stem.decode()[-1].isalpha():
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            found = self._ids(word.decode())
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+    def _ids(self, text: str) -> list[int]:
+        if not text.isalpha() or max(text) > "\xff":
+            return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        text = text.lower()  # one unit, in normal form
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(text)]
+
+
+#: A run of these after a letter is a unit of its own.
+_MARKS = string.punctuation.encode()
+#: Byte-level tokenizers write printable bytes as themselves, the others as characters from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer whose words end at white space, by remembered words.
 
     Neither the tokenizer's merges nor its added tokens cross white space and it lower-cases text, so a text's
     ids are those of its white-space-separated words one after the other, A-Z lower-cased first (unless the
-    word holds the opening of an added token, as those match case). A final comma or full stop after an ASCII
-    letter is a unit of its own.
+    word holds the opening of an added token, as those match case). Final punctuation after a letter is a unit of
+    its own, as is a word of letters up to U+00FF.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isalpha() and w.islower()]
-        for w in plain:
-            self.cache[w] = np.array([t.id for t in self.tokenizer.model.tokenize(w.decode())], "<u4").tobytes()
-        rest = [w for w in words if w not in self.cache]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.ids = WordIds(path)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = set().union(*split).difference(self.cache)
-        ends = {w for w in new if w[-1:] in b",." and w[-2:-1].isalpha()}
-        bases = {w[:-1] for w in ends} | {b",", b"."}
-        self._ids([w for w in (new - ends) | bases if w not in self.cache])
-        for w in ends:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        get = self.ids.__getitem__
+        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
