@@ -17,6 +17,9 @@ A document's set holds its distinct word shingles (hashed to 48 bits). Two docum
    difference: unique shingles of both, and the bits in which their parity maps differ. So a large group of near
    copies costs its size, not its square, and yet every pair that shares a key is settled.
 5. What passes is verified on the shingles; components come from large-star and small-star rounds.
+6. Every link is inside a component. So that none is lost, all pairs of a component's nodes are then compared on
+   their shingles, in blocks: a component of many shingles is dealt to several, whose pairs are tasks of their own;
+   small components share one. This costs the square of a group's size, as its links do, but makes no row for a pair.
 
 Cases: documents without words, or with a null text, have an empty set and are linked with nothing; texts are
 handled whole; equal texts are linked; a null id is never a component's id unless all its ids are null;
@@ -51,6 +54,10 @@ WORD_CACHE = 500_000
 #: Rounds against a hub before all pairs of different components.
 HUB_ROUNDS = 2
 BITS = 48
+#: Shingles in a block of a large component, and in one of small components; cells that are compared at once.
+BLOCK = 1_000_000
+SMALL_BLOCK = 200_000
+CELLS = 4_000_000
 
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers."""
@@ -123,16 +130,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
-def set_names(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (hash of its set; null if empty) and n_shingles of each row."""
+def set_names(docs: DataFrame, words: int = WORDS, *carry: str) -> DataFrame:
+    """doc_id, node (hash of its set; null if empty) and n_shingles of each row, and the whole numbers in the columns `carry`."""
+    names = ["doc_id", "node", "n_shingles", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in _slices(batches):
-            _, sizes, names = shingler.sets(_texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, mask=sizes == 0), pa.array(sizes)], ["doc_id", "node", "n_shingles"])
+            _, sizes, nodes = shingler.sets(_texts(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *carry).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _packed(tokens: np.ndarray, owner: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -339,14 +347,122 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found if found is not None else spark.createDataFrame([], "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
-    rows = materialize(set_names(docs, words), "names")
+class Block:
+    """Sets of some nodes: names, sizes, copies and tokens, one after the other, with the place of the node that has them."""
+
+    def __init__(self, rows: pa.Table):
+        lists = rows.column("tokens").combine_chunks()
+        self.names, self.sizes, self.copies = (rows.column(c).to_numpy() for c in ("node", "n", "copies"))
+        self.tokens, self.owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+
+
+def linked_places(x: Block, y: Block, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in x, in y) of all pairs that are linked: tokens of many nodes by a matrix product, others by their lists."""
+    width = len(y.sizes)
+    order = np.argsort(y.tokens, kind="stable")
+    token, first, df = np.unique(y.tokens[order], return_index=True, return_counts=True)
+    holders = y.owner[order]
+    at = np.minimum(np.searchsorted(token, x.tokens), max(0, len(token) - 1))
+    known = token[at] == x.tokens if len(token) else np.zeros(len(at), bool)
+    at, own = at[known], x.owner[known]
+    often = df * 8 > max(width, 64)
+    column = np.cumsum(often) - 1
+    right = np.zeros((int(often.sum()), width), np.float32)
+    dense = np.repeat(often, df)
+    right[np.repeat(column, df)[dense], holders[dense]] = 1
+    for begin in range(0, len(x.sizes), step := max(1, CELLS // max(1, width))):
+        end = min(begin + step, len(x.sizes))
+        part = slice(*np.searchsorted(own, [begin, end]))
+        row, entry = own[part] - begin, at[part]
+        left = np.zeros((end - begin, len(right)), np.float32)
+        left[row[often[entry]], column[entry[often[entry]]]] = 1
+        overlap = (left @ right).astype(np.int64).ravel()
+        row, entry = row[~often[entry]], entry[~often[entry]]
+        upto = np.cumsum(df[entry])
+        i = 0
+        while i < len(entry):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CELLS, "right")))
+            n = df[entry[i:j]]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            overlap += np.bincount(np.repeat(row[i:j] * width, n) + holders[np.repeat(first[entry[i:j]], n) + inside], minlength=len(overlap))
+            i = j
+        overlap = overlap.reshape(end - begin, width)
+        a, b = np.nonzero((100 + percent) * overlap >= percent * (x.sizes[begin:end, None] + y.sizes))
+        yield a + begin, b
+
+
+def _compared(sets: DataFrame, roots: DataFrame, copies: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Of all linked nodes the pairs (a, b), or parts of each node's number of linked rows of other nodes (node, links)."""
+    nodes = sets.join(roots, "node").join(copies, "node").select("root", "node", "n", "tokens", "copies")
+    sizes = materialize(nodes.groupBy("root").agg(F.sum(F.size("tokens")).alias("held")), "held")
+    small = sizes.agg(F.sum(F.when(F.col("held") <= BLOCK, F.col("held")))).first()[0] or 0
+    nodes = nodes.join(sizes, "root").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    alone = F.col("blocks") > 1
+    nodes = nodes.withColumn("unit", F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(-(-small // SMALL_BLOCK) or 1))))
+    nodes = nodes.withColumn("own", F.when(alone, F.pmod(F.xxhash64("node"), "blocks").cast("int")).otherwise(0)).withColumn("alone", alone)
+    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)))
+    nodes = nodes.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        one = rows.column("own").to_numpy() == rows.column("lo").to_numpy()[0]
+        same = bool(one.all()) and rows.column("lo")[0] == rows.column("hi")[0]
+        x = Block(rows.filter(pa.array(one)))
+        y = x if same else Block(rows.filter(pa.array(~one)))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        count = [np.zeros(len(b.sizes), np.int64) for b in (x, y)]
+        for i, j in linked_places(x, y, percent):
+            if same:
+                i, j = i[i < j], j[i < j]
+            if pairs:
+                found.append((x.names[i], y.names[j]))
+            else:
+                np.add.at(count[0], i, y.copies[j])
+                np.add.at(count[1], j, x.copies[i])
+        if pairs:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"node": np.concatenate([x.names, y.names]), "links": np.concatenate(count)})
+
+    fields = nodes.select("alone", "unit", "lo", "hi", "own", "node", "n", "tokens", "copies")
+    return fields.groupBy("alone", "unit", "lo", "hi").applyInArrow(compare, "a long, b long" if pairs else "node long, links long")
+
+
+def _joined(docs: DataFrame, words: int, percent: int, *carry: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with node, number of shingles and component g (null without words); the sets; and (node, root)."""
+    rows = materialize(set_names(docs, words, *carry), "names")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    roots = components(links(shared_sets(docs, total, words, percent), percent))
-    rows = rows.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node"))
+    sets = shared_sets(docs, total, words, percent)
+    roots = materialize(components(links(sets, percent)), "roots")
+    return rows.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root"), sets, roots
+
+
+def _with_least(rows: DataFrame) -> DataFrame:
     least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "g", "left").select("doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
+    return _with_least(_joined(docs, words, percent)[0]).select("doc_id", "n_shingles", "component_id")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    return rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As near_duplicates, with n_links: to how many other rows each row is linked, equal sets included."""
+    rows, sets, roots = _joined(docs, words, percent)
+    copies = materialize(_copies(rows), "copies")
+    links = _compared(sets, roots, copies, percent, False).groupBy("node").agg(F.sum("links").alias("links"))
+    counts = copies.join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return _with_least(rows).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: every pair of different sets that are linked, once, by the names that set_names gives."""
+    rows, sets, roots = _joined(docs, words, percent)
+    return _compared(sets, roots, _copies(rows), percent, True)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

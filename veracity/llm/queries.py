@@ -51,7 +51,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_jaccard.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: Categories of the chain, in order: of low quality, toxic.
