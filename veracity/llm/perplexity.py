@@ -20,6 +20,7 @@ gives an empty result; extra columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,12 +235,17 @@ def _shard_column(g: Column, shards: int) -> Column:
 
 
 def quantiles(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(lang, lo, hi): steps of log perplexity, from counts per language and step; lang '*' is all trusted text."""
+    """(l, lo, hi): steps of log perplexity, from counts per language and step; l '*' is all trusted text.
+
+    A language has limits of its own only from 1 / min(low, 1 - high) trusted texts on (500 for the usual quantiles):
+    of fewer, one text is more than the share outside a limit.
+    """
+    least = math.ceil(1 / max(1e-9, min(low, 1 - high)) - 1e-6)
     steps = scored.where("trusted and n > 0").groupBy(F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("n")).alias("l"), "step").agg(F.count(F.lit(1)).alias("c"))
     steps = steps.unionByName(steps.groupBy("step").agg(F.sum("c").alias("c")).withColumn("l", F.lit("*")))
     whole = W.partitionBy("l")
     upto = F.sum("c").over(whole.orderBy("step")) / F.sum("c").over(whole)
-    steps = steps.withColumn("q", upto)
+    steps = steps.withColumn("q", upto).withColumn("texts", F.sum("c").over(whole)).where((F.col("l") == "*") | (F.col("texts") >= least))
     return steps.groupBy("l").agg(F.min(F.when(F.col("q") > low, F.col("step"))).alias("lo"), F.min(F.when(F.col("q") >= high, F.col("step"))).alias("hi"))
 
 
