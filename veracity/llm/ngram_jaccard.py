@@ -466,6 +466,10 @@ def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that stay: of each component the one with the smallest id, and documents without words."""
-    found = near_duplicates(docs, words, percent).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that stay: one row of each component, by id (null last), text and place; and rows without words."""
+    placed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.xxhash64("text")), "rows")
+    rows = _joined(placed, words, percent, "__row", "__text")[0].where("g is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")
+    stays = rows.groupBy("g").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
+    goes = rows.select("__row").join(stays, "__row", "left_anti")
+    return placed.join(goes, "__row", "left_anti").select(*docs.columns)
