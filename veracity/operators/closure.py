@@ -46,7 +46,7 @@ def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10,
     return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, max_depth, reflexive)
 
 
-def nearest_values(edges: DataFrame, values: DataFrame, max_depth: int | None = 10) -> DataFrame:
+def nearest_values(edges: DataFrame, values: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth, value): the values of each node's nearest ancestors that have any, on every branch.
 
     A branch ends at its first ancestor with values. `values` has (node, value); a node's own values don't count.

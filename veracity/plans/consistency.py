@@ -43,7 +43,7 @@ def first_of(declared: DataFrame) -> DataFrame:
     return declared.groupBy("p_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "ord").alias("value"))
 
 
-def cycle_issues(edges: DataFrame, titles: DataFrame, max_length: int | None = 10) -> DataFrame:
+def cycle_issues(edges: DataFrame, titles: DataFrame, max_length: int | None = None) -> DataFrame:
     """Each cycle once, about its smallest member, with the titles of all."""
     found = cycles(edges, max_length).withColumn("first", F.col("members")[0])
     named = found.select("first", "members", F.posexplode("members").alias("i", "id")).join(titles, "id", "left")
@@ -51,7 +51,7 @@ def cycle_issues(edges: DataFrame, titles: DataFrame, max_length: int | None = 1
     return issues(joined, BOT, "cycle", "first", value="all")
 
 
-def inherited(graph: DataFrame, own: DataFrame, seed: int, largest: bool, max_depth: int | None = 10) -> DataFrame:
+def inherited(graph: DataFrame, own: DataFrame, seed: int, largest: bool, max_depth: int | None = None) -> DataFrame:
     """(p_id, bound): the largest (smallest) of the nearest inherited bounds and `seed`."""
     near = nearest_values(graph, own.select(F.col("p_id").alias("node"), leading_int(F.col("value")).alias("value")), max_depth)
     best = F.max("value") if largest else F.min("value")
@@ -59,9 +59,9 @@ def inherited(graph: DataFrame, own: DataFrame, seed: int, largest: bool, max_de
     return near.groupBy(F.col("node").alias("p_id")).agg(limit.alias("bound"))
 
 
-def min_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame) -> DataFrame:
+def min_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.minima)
-    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_MIN, True), "p_id", "left")
+    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_MIN, True, max_depth), "p_id", "left")
     number = F.when(F.col("value").isNull(), F.lit(0)).otherwise(leading_int(F.col("value")))
     below, covariant = number < 0, number >= F.coalesce("bound", F.lit(CARDINALITY_MIN))
     return union(
@@ -72,9 +72,9 @@ def min_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFra
     )
 
 
-def max_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame) -> DataFrame:
+def max_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.maxima)
-    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_UNLIMITED, False), "p_id", "left")
+    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_UNLIMITED, False, max_depth), "p_id", "left")
     number = F.when(F.col("value").isNull(), F.lit(CARDINALITY_UNLIMITED)).otherwise(leading_int(F.col("value")))
     zero, covariant = number == 0, number <= F.coalesce("bound", F.lit(CARDINALITY_UNLIMITED))
     return union(
@@ -99,12 +99,12 @@ def definition_issues(schema: Schema, properties: DataFrame) -> DataFrame:
     )
 
 
-def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, schema: Schema) -> DataFrame:
+def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, schema: Schema, max_depth: int | None = None) -> DataFrame:
     """Of each own pair, the inherited pair that fits best (both sides, then one, then by order) must fit."""
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
-    near = nearest_values(property_graph, pairs.select(F.col("p_id").alias("node"), F.struct("ord", "domain", "range").alias("value")))
+    near = nearest_values(property_graph, pairs.select(F.col("p_id").alias("node"), F.struct("ord", "domain", "range").alias("value")), max_depth)
     both = pairs.join(near.select(F.col("node").alias("p_id"), "value"), "p_id")
-    above = reach(category_graph)
+    above = reach(category_graph, max_depth)
     for side in ("domain", "range"):
         ok = above.select(F.col("src").alias(side), F.col("dst").alias(f"up_{side}"), F.lit(True).alias(f"ok_{side}"))
         both = both.withColumn(f"up_{side}", F.col(f"value.{side}")).join(ok, [side, f"up_{side}"], "left")
@@ -119,9 +119,9 @@ def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, sche
     )
 
 
-def type_issues(graph: DataFrame, schema: Schema, properties: DataFrame) -> DataFrame:
+def type_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.types)
-    near = nearest_values(graph, own.select(F.col("p_id").alias("node"), "value"))
+    near = nearest_values(graph, own.select(F.col("p_id").alias("node"), "value"), max_depth)
     above = near.groupBy(F.col("node").alias("p_id")).agg(F.countDistinct("value").alias("kinds"), F.min("value").alias("above"))
     rows = properties.select("p_id").join(own, "p_id", "left").join(above, "p_id", "left")
     one = F.coalesce("n", F.lit(0)) <= 1
@@ -142,9 +142,9 @@ def _fits(facts: DataFrame, end: str, g: Graph, side: str, pairs: DataFrame, abo
     return wild.select(*facts.columns, "ord").unionByName(found.select(*facts.columns, "ord")).distinct()
 
 
-def annotation_issues(g: Graph, schema: Schema) -> DataFrame:
+def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame:
     """Subjects outside all declared domains; existing targets outside the ranges of the pairs whose domain fits."""
-    above = reach(g.category_graph())
+    above = reach(g.category_graph(), max_depth)
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
     declared = pairs.select("p_id").distinct()
     subjects = g.facts.distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("s_id")), "s_id", "left_semi")
@@ -157,18 +157,18 @@ def annotation_issues(g: Graph, schema: Schema) -> DataFrame:
     return union(issues(outside, BOT, "wrong_domain_value", "s_id", "p_id"), issues(wrong, BOT, "wrong_target_value", "s_id", "p_id", "title"))
 
 
-def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: DataFrame) -> DataFrame:
+def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(p_id, s_id, n): values of each property, its sub-properties included, each counted once."""
-    below = closure(property_graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")), properties.select(F.col("p_id").alias("node")))
+    below = closure(property_graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")), properties.select(F.col("p_id").alias("node")), max_depth)
     return facts.join(below.select("root", F.col("node").alias("p_id")), "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bounds(graph: DataFrame, schema: Schema, properties: DataFrame) -> DataFrame:
+def bounds(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(p_id, lo, hi): own bounds, or else the inherited ones."""
     out = properties.select("p_id")
     for name, declared, seed, largest in (("lo", schema.minima, CARDINALITY_MIN, True), ("hi", schema.maxima, CARDINALITY_UNLIMITED, False)):
         own = first_of(declared)
-        out = out.join(own.select("p_id", leading_int(F.col("value")).alias("own")), "p_id", "left").join(inherited(graph, own, seed, largest), "p_id", "left")
+        out = out.join(own.select("p_id", leading_int(F.col("value")).alias("own")), "p_id", "left").join(inherited(graph, own, seed, largest, max_depth), "p_id", "left")
         out = out.withColumn(name, F.coalesce("own", "bound", F.lit(seed))).drop("own", "bound")
     return out
 
@@ -179,14 +179,14 @@ def cardinality_breaches(counts: DataFrame, limits: DataFrame) -> DataFrame:
     return both.select("p_id", "s_id", (F.col("lo") - F.col("n")).alias("low"), (F.col("n") - F.col("hi")).alias("high")).where("low > 0 or high > 0")
 
 
-def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: DataFrame) -> DataFrame:
+def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Too few or too many values, and none at all where the members of a domain need some."""
-    limits = bounds(graph, schema, properties)
-    counts = instance_counts(g.facts, graph, properties)
+    limits = bounds(graph, schema, properties, max_depth)
+    counts = instance_counts(g.facts, graph, properties, max_depth)
     breach = cardinality_breaches(counts, limits)
     need = limits.where("lo > 0").join(schema.pairs.where("domain is not null").select("p_id", F.col("domain").alias("node")).distinct(), "p_id")
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("node"), F.col("title").alias("category"))
-    below = closure(g.category_graph().select(F.col("dst").alias("src"), F.col("src").alias("dst")), need.select("node").distinct())
+    below = closure(g.category_graph().select(F.col("dst").alias("src"), F.col("src").alias("dst")), need.select("node").distinct(), max_depth)
     members = need.join(below.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").join(g.member, "category")
     members = members.join(g.page.where(F.col("ns") != CATEGORY).select("id"), "id", "left_semi").select("p_id", F.col("id").alias("s_id"), "lo").distinct()
     none = members.join(counts.select("p_id", "s_id"), ["p_id", "s_id"], "left_anti")
@@ -236,15 +236,15 @@ def resolved(g: Graph) -> DataFrame:
     return g.relation.join(to, "o_id", "left").withColumn("o_id", F.coalesce("to", "o_id")).select(*g.relation.columns)
 
 
-def analyze(g: Graph, schema: Schema, max_depth: int | None = 10) -> DataFrame:
+def analyze(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame:
     """All checks, then the propagation of what they found."""
     cats, props = g.category_graph(), g.property_graph()
     properties = g.page.where(F.col("ns") == PROPERTY).select(F.col("id").alias("p_id"))
     titles = g.entity.select("id", "title")
     found = [
-        cycle_issues(cats, titles, max_depth), cycle_issues(props, titles, max_depth), min_cardinality_issues(props, schema, properties), max_cardinality_issues(props, schema, properties),
-        definition_issues(schema, properties), covariance_issues(cats, props, schema), type_issues(props, schema, properties), inverse_issues(schema),
-        annotation_issues(g, schema), cardinality_issues(g, props, schema, properties),
+        cycle_issues(cats, titles, max_depth), cycle_issues(props, titles, max_depth), min_cardinality_issues(props, schema, properties, max_depth), max_cardinality_issues(props, schema, properties, max_depth),
+        definition_issues(schema, properties), covariance_issues(cats, props, schema, max_depth), type_issues(props, schema, properties, max_depth), inverse_issues(schema),
+        annotation_issues(g, schema, max_depth), cardinality_issues(g, props, schema, properties, max_depth),
     ]
     if g.redirect is not None:
         found.append(redirect_issues(g))
