@@ -15,6 +15,8 @@ repeated rows are packed like others; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import json
+import os
 import string
 import struct
 import zlib
@@ -53,18 +55,39 @@ def cut(length: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+#: The pattern by which the tokenizers that `by_words` accepts cut normalised text.
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of these after a letter is a unit of its own.
+_MARKS = string.punctuation.encode()
+#: Byte-level tokenizers write printable bytes as themselves, the others as characters from 256 on.
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its words: lower case, white space and units as assumed below, and no added token that reaches over white space."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    units = [(n["type"], n.get("pattern"), n.get("invert"), n.get("use_regex")) for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    tokens = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]]) for t in spec["added_tokens"])
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and units == [("Split", {"Regex": UNITS}, True, None), ("ByteLevel", None, None, False)]
+        and tokens and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+    )
+
+
 class WordIds(dict):
     """Little-endian 32-bit ids by word, each worked out when first asked for."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(_MARKS)
-        if stem and len(stem) < len(word) and b"<|" not in word and stem.decode()[-1].isalpha():
+        text = stem.decode()
+        if (lower := word.lower()) != word and word.isascii() and b"<|" not in word:
+            ids = self[lower]
+        elif stem and len(stem) < len(word) and b"<|" not in word and max(text) <= "\xff" and text[-1].isalpha():
             ids = self[stem] + self[word[len(stem) :]]
         else:
             found = self._ids(word.decode())
@@ -81,30 +104,31 @@ class WordIds(dict):
         return [t.id for t in self.model.tokenize(text)]
 
 
-#: A run of these after a letter is a unit of its own.
-_MARKS = string.punctuation.encode()
-#: Byte-level tokenizers write printable bytes as themselves, the others as characters from 256 on.
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
-
-
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer whose words end at white space, by remembered words.
+    """Ids of whole texts by remembered words, from a tokenizer that `by_words` accepts; from any other, text by text.
 
-    Neither the tokenizer's merges nor its added tokens cross white space and it lower-cases text, so a text's
-    ids are those of its white-space-separated words one after the other, A-Z lower-cased first (unless the
-    word holds the opening of an added token, as those match case). Final punctuation after a letter is a unit of
-    its own, as is a word of letters up to U+00FF.
+    Neither such a tokenizer's merges nor its added tokens cross white space and it lower-cases text, so a text's
+    ids are those of its white-space-separated words one after the other. ASCII words share the ids of their lower
+    form (unless they hold the opening of an added token, as those match case). In words of characters up to U+00FF,
+    whose normal and lower forms are single characters of the same kind, final punctuation after a letter is a unit
+    of its own, and letters alone are one; other words are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.ids = WordIds(path)
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ids = WordIds(self.tokenizer) if by_words(self.tokenizer) else None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.ids is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
         get = self.ids.__getitem__
-        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -116,9 +140,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     end = np.array([END_TOKEN], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
         own = _TOKENIZERS[tokenizer]
