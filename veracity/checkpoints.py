@@ -5,16 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df as Parquet below spark.checkpoint.dir (a temporary folder only where that is unset) and reads it back."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir. Only a local session without that setting gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='veracity-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/veracity-{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written there; results that still read it must be written out before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
