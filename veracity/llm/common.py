@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import materialize
+
 #: White space of every word rule in this subpackage: space and the bytes 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='veracity-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "part") -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -52,22 +34,22 @@ def before(df: DataFrame, group: list[str], bucket: list[str], value: Column, na
     return sums.withColumn(name, F.coalesce(F.sum("__sum").over(w), F.lit(0).cast("long"))).drop("__sum")
 
 
-def prefix_sum(df: DataFrame, group: list[str], bucket: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Adds the sum of `value` over the group's earlier rows, in the order of bucket, then `order`. Keys must not be null."""
-    w = W.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    base = before(df, group, bucket, value, "__base")
-    return df.join(base, [*group, *bucket]).withColumn(name, F.col("__base") + F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))).drop("__base")
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, under each name, the sum of a value over the earlier rows of the row's group, in a total order.
 
-
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds each row's number from 0 in a total order: sorted ranges, then one count per range."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = materialize(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
-    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per range
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    w = W.partitionBy("__p").orderBy(*order)
-    return parts.join(F.broadcast(base), "__p").withColumn(name, (F.col("__base") + F.row_number().over(w) - 1).cast("long")).drop("__p", "__n", "__base")
+    Rows are sorted into ranges of (group, order), so a group of a third of all rows lies in a third of the ranges;
+    one row per range and group is ordered within the group, then each range sums its own rows. Groups must not be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.withColumns({f"__{name}": value.cast("long") for name, value in sums.items()})
+    parts = materialize(parts.repartitionByRange(n, *map(F.col, group), *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    base = parts.groupBy(*group, "__p").agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])
+    base = base.select(*group, "__p", *[F.coalesce(F.sum(f"__{name}").over(earlier(W.partitionBy(*group).orderBy("__p"))), zero).alias(f"__base_{name}") for name in sums])
+    own = earlier(W.partitionBy(*group, "__p").orderBy(*order))
+    out = parts.join(base, [*group, "__p"])
+    return out.select(*df.columns, *[(F.col(f"__base_{name}") + F.coalesce(F.sum(f"__{name}").over(own), zero)).alias(name) for name in sums])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -85,6 +85,54 @@ QUERIES = {
     "op10_harmonic_packing": op10_harmonic_packing,
 }
 
+
+
+def _rounds(table: str, source: str) -> str:
+    """`source` with (x, n, keys): x permuted, round by round."""
+    mirror = "((k.centre + n - a.centre) % n)"
+    bit = f"(((greatest(a.centre, {mirror}) + k.shift) % 2147483647 * k.factor % 2147483647 >> 9) & 1)"
+    step = f"lambda a, k: struct_pack(centre := case when {bit} = 1 then {mirror} else a.centre end, shift := 0::bigint, factor := 0::bigint)"
+    return f"{table} as (select * exclude (x), list_reduce(keys, {step}, struct_pack(centre := x, shift := 0::bigint, factor := 0::bigint)).centre as x from {source})"
+
+
+_MIXING = rf"""
+with d as (
+  select doc_id, source, coalesce('s' || source, 'n') as key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as r from documents
+), s as (
+  select key, source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by key, source
+), w as (select *, rank % 3 + 1 as weight, source_size * 3 as cap from s
+), c as (
+  select *, (select sum(source_size) from s) as total, coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as capped,
+         sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as free, row_number() over (order by cap / weight, rank) as o from w
+), l as (select coalesce(arg_min((total - capped) / free, o) filter ((total - capped) / free * weight <= cap and total > 0), 0) as share from c
+), t as (
+  select key, source_size, rank, least(cap::double, share * weight) as target, ceil(source_size / 64)::bigint as blocks from w, l
+), k as (
+  select *, least(case when source_size > 0 then round(target * blocks / source_size)::bigint else 0 end, 3 * blocks) as slots from t
+), f as (select *, coalesce(sum(slots) over (order by rank rows between unbounded preceding and 1 preceding), 0)::bigint as before, (sum(slots) over ())::bigint as total from k
+), seeds as (select 0::bigint as seed, max(total) as n from f union all select rank * 3 + turn + 1, blocks from f, range(3) t(turn)
+), kv as (select seed, n, r, i, (seed * 24 + r) * 4 + i as v from seeds, range(24) a(r), range(4) b(i)
+), ku as (select *, ((v & 2147483647) + (v >> 31) + 1013904223) % 2147483647 as u from kv
+), ks as (select *, u * 48271 % 2147483647 as s from ku
+), kx as (select seed, n, r, i, ((s * s + 12345) % 2147483647 * 69621 + u) % 2147483647 as x from ks
+), kr as (select seed, n, r, max(x) filter (i = 0) as a, max(x) filter (i = 1) as b, max(x) filter (i = 2) as c, max(x) filter (i = 3) as d from kx group by all
+), keys as (select seed, list(struct_pack(centre := (a * 2147483647 + b) % greatest(n, 1), shift := c, factor := d + 1) order by r) as keys from kr group by seed
+), {_rounds("dealt", "(select key, before + j as x, total as n, keys from (select *, unnest(range(slots)) as j from f), (select keys from keys where seed = 0))")}
+, counts as (select key, x // 16384 as shard, count(*) as n from dealt group by all
+), based as (select *, coalesce(sum(n) over (partition by key order by shard rows between unbounded preceding and 1 preceding), 0)::bigint as base from counts
+), numbered as (select key, shard, base + i as j from (select *, unnest(range(n)) as i from based)
+), {_rounds("slots", "(select key, shard, j % blocks as x, blocks as n, keys from numbered join f using (key) join keys on seed = rank * 3 + j // blocks + 1)")}
+, b as (
+  select key, x as block, count(*) as times, min(shard) as first_shard from slots group by all
+), o as (
+  select r, doc_id, key, size, coalesce(sum(size) over (partition by key order by doc_id nulls last, size, r rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d
+), e as (
+  select r, key, pos, size, unnest(range(pos // 64, (pos + size - 1) // 64 + 1)) as block from o where size > 0
+), x as (
+  select r, sum((least((block + 1) * 64, pos + size) - greatest(block * 64, pos)) * times)::bigint as taken, min(first_shard) as first_shard from e join b using (key, block) group by r
+)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_shard from o join t using (key) left join x using (r)"""
+
 ORACLES = {
     "op1_preference_formatting": r"""
 with t as (
@@ -128,35 +176,7 @@ with u as (
 )
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m
 qualify row_number() over (partition by page_id, host, path order by n desc nulls last) = 1""",
-    "op6_mixing": r"""
-with d as (
-  select doc_id, source, coalesce('s' || source, 'n') as key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, row_number() over () as r from documents
-), s as (
-  select key, source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by key, source
-), w as (select *, rank % 3 + 1 as weight, source_size * 3 as cap from s
-), c as (
-  select *, (select sum(source_size) from s) as total, coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as capped,
-         sum(weight) over (order by cap / weight, rank rows between current row and unbounded following) as free, row_number() over (order by cap / weight, rank) as o from w
-), l as (select coalesce(arg_min((total - capped) / free, o) filter ((total - capped) / free * weight <= cap and total > 0), 0) as share from c
-), t as (
-  select key, source_size, rank, least(cap::double, share * weight) as target, ceil(source_size / 64)::bigint as blocks from w, l
-), k as (
-  select *, least(case when source_size > 0 then round(target * blocks / source_size)::bigint else 0 end, 3 * blocks) as slots from t
-), j as (select key, rank, blocks, unnest(range(slots)) as j from k
-), a as (
-  select key, blocks, j % blocks as i, (j // blocks + rank) as turn, [1000003, 998244353, 1000000007] as p from j
-), q as (
-  select key, blocks, i, turn, case when blocks % p[(turn % 3 + 1)::int] <> 0 then p[(turn % 3 + 1)::int] when blocks % p[((turn + 1) % 3 + 1)::int] <> 0 then p[((turn + 1) % 3 + 1)::int] else p[((turn + 2) % 3 + 1)::int] end as m from a
-), b as (
-  select key, ((m::hugeint * i + turn * 7919) % blocks)::bigint as block, count(*) as times from q group by all
-), o as (
-  select r, doc_id, key, size, coalesce(sum(size) over (partition by key order by coalesce(doc_id >> 16, 4611686018427387904), size % 4, doc_id nulls first, size, r rows between unbounded preceding and 1 preceding), 0)::bigint as pos from d
-), e as (
-  select r, key, pos, size, unnest(range(pos // 64, (pos + size - 1) // 64 + 1)) as block from o where size > 0
-), x as (
-  select r, sum((least((block + 1) * 64, pos + size) - greatest(block * 64, pos)) * times)::bigint as taken from e join b using (key, block) group by r
-)
-select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from o join t using (key) left join x using (r)""",
+    "op6_mixing": _MIXING,
     "op7_secret_scans": r"""
 with p(kind, rank, pat, grp, least) as (values
   ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
