@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from veracity.checkpoints import materialize
 
 
 @dataclass(frozen=True)
@@ -118,16 +118,29 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(r.kind) for r in RULES], F.sha2(joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The rows of `docs` with every found span replaced by `mark`, and n_chars counted anew where a text changed."""
-    spans_all = F.array_sort(F.flatten(F.array(*[spans_of(F.col("text"), r) for r in RULES])))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact(docs: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` with every found span replaced by `mark`; n_chars, if there, is counted anew where a text changed.
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    Spans come from the ledger, so equal texts are scanned once, and with a ledger only unseen ones; they are joined
+    back by content address.
+    """
+    kept = docs.columns
+    row = addressed(docs.select(F.struct(*kept).alias("doc"), F.col("text")))
+    _, new = scan_incremental(docs.select("text"), ledger)
+    whole = new if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(new)
+    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in RULES])
+    found = whole.where(F.array_contains(current, F.struct("kind", "version")) & (F.size("spans") > 0))
+    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    out = row.join(found, "blob", "left")
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    clean = F.aggregate("__s", state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = docs.withColumn("__s", spans_all).withColumn("__t", F.when(F.size("__s") > 0, clean).otherwise(F.col("text")))
-    n = F.when(F.size("__s") > 0, F.length("__t")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns({"n_chars": n, "text": F.col("__t")}).select(*docs.columns)
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("spans", state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = out.withColumn("new", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    values = {c: F.col(f"doc.`{c}`") for c in kept} | {"text": F.col("new")}
+    if "n_chars" in kept:
+        values["n_chars"] = F.when(F.col("spans").isNotNull(), F.length("new")).otherwise(values["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in values.items()])
