@@ -53,3 +53,25 @@ def test_links_equal_brute_force(spark, rows, monkeypatch, block):
 
 def test_links_of_empty_table(spark):
     assert ngram_jaccard.linked_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_shingles_keys_of_many_nodes_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "HOT", 12)
+    monkeypatch.setattr(ngram_jaccard, "LOCAL", 2)
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", 3)
+    rng = random.Random(21)
+    passage = [" ".join(f"p{k}_{i}" for i in range(20)) for k in range(3)]
+    texts = [" ".join([*rng.sample(passage, 2), *(f"u{i}_{j}" for j in range(rng.choice([1, 2, 4, 30])))]) for i in range(90)]
+    texts += texts[:5] + [None, "", "one TWO three", "One two\tthree", "x" * 300_000 + " y", passage[0]]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(5)
+    assert len(ngram_jaccard.hot_shingles(ngram_jaccard.set_names(docs))[0]) > 10
+    sets = [shingles(t) for t in texts]
+    linked = {i: [j for j in range(len(sets)) if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    got = {r.doc_id: r for r in ngram_jaccard.linked_documents(docs).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(x) for i, x in linked.items()} and {i: r.n_shingles for i, r in got.items()} == {i: len(x) for i, x in enumerate(sets)}
+    for i in linked:
+        group, todo = {i}, [i]
+        while todo:
+            todo += [j for j in linked[todo.pop()] if j not in group and not group.add(j)]
+        assert got[i].component_id == min(group)

@@ -6,7 +6,8 @@ A document's set holds its distinct word shingles (hashed to 48 bits). Two docum
 1. Equal sets are one node, named by a 64-bit hash of the set.
 2. Shingles are dealt by hash range, in packed runs, and counted: the number of nodes that hold each. A shingle
    of one node can match nothing, so from here a node is its size, the number of its unique shingles, and the
-   others with their counts. A node with more unique shingles than it may miss is done.
+   others with their counts. A node with more unique shingles than it may miss is done. Shingles that very many
+   nodes hold are counted beforehand, by partial sums, and never meet in a range: their holders are dealt by node.
 3. In the order of rising counts a node's prefix is extended until no partner can avoid it. A rare shingle is a
    key by itself. Frequent shingles are dealt to classes, and every pair of a class in the prefix is a key; of c
    such shingles a partner can miss all but one without sharing a key, so they count c - 1. A prefix is long
@@ -15,7 +16,8 @@ A document's set holds its distinct word shingles (hashed to 48 bits). Two docum
 4. Nodes of a key are compared with a hub first, the one with fewest unique shingles, and linked nodes are
    contracted. Only then are pairs of different components compared, if they pass a lower bound of their
    difference: unique shingles of both, and the bits in which their parity maps differ. So a large group of near
-   copies costs its size, not its square, and yet every pair that shares a key is settled.
+   copies costs its size, not its square, and yet every pair that shares a key is settled. The nodes of a key are
+   dealt to buckets for that, so that a key of many nodes is many tasks' work.
 5. What passes is verified on the shingles; components come from large-star and small-star rounds.
 6. Every link is inside a component. So that none is lost, all pairs of a component's nodes are then compared on
    their shingles, in blocks: a component of many shingles is dealt to several, whose pairs are tasks of their own;
@@ -34,12 +36,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from veracity.checkpoints import materialize
+
+from .common import components
 
 WORDS = 5
 PERCENT = 80
@@ -50,7 +53,13 @@ CLASS_SIZE = 12
 #: Shingles that a map task packs at once, and that a range holds about.
 RUN = 1_500_000
 RANGE = 3_000_000
-WORD_CACHE = 500_000
+#: Bytes that are hashed at once.
+CHUNK = 1 << 18
+#: A shingle of more nodes than HOT, of those that hold it LOCAL times in a run at least, stays out of the ranges; at
+#: most MAX_HOT of these, the most frequent ones, are broadcast (16 MB), the others go the way of all shingles.
+HOT, LOCAL, MAX_HOT = 20_000, 48, 1_000_000
+#: Nodes of a bucket when all pairs of a key are compared.
+BUCKET = 1_000
 #: Rounds against a hub before all pairs of different components.
 HUB_ROUNDS = 2
 BITS = 48
@@ -70,41 +79,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _MULTIPLIERS = _mix(np.arange(1, 65).astype(np.uint64)) | np.uint64(1)
 
 
+_BYTE = _mix(np.arange(1, 257).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z are a-z
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_BASE = 0xA24BAED4963EE407
+
+
 class Shingler:
-    """Distinct shingles of texts, by remembered word hashes."""
+    """Distinct shingles of texts. A word's hash is a polynomial of its bytes, so words are hashed all at once by running sums."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.index, self.hashes = words, {}, np.zeros(1 << 16, np.uint64)
-
-    def _ids(self, words: list[bytes]) -> np.ndarray:
-        for w in set(words).difference(self.index):
-            i = len(self.index)
-            if i == len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.index[w], self.hashes[i] = i, xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.words, self.powers, self.inverse = words, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _word_hashes(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            lo = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+            n = ends[j - 1] - lo
+            if n >= len(self.powers):
+                size, inverse = 2 * max(n, CHUNK), np.uint64(pow(_BASE, -1, 1 << 64))
+                self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, np.uint64(_BASE))]))
+                self.inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, inverse)]))
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[b[lo : lo + n]] * self.powers[:n], out=total[1:])
+            at, end = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = (total[end] - total[at]) * self.inverse[at] + (end - at).astype(np.uint64)
+            i = j
+        return _mix(out)
 
     def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(keys, sizes, names): sorted keys of text number << 48 | shingle, and each text's set size and set hash."""
-        if len(self.index) > WORD_CACHE:
-            self.index.clear()
-        split = [t.lower().split() for t in texts]
-        ids = self._ids([w for ws in split for w in ws])  # may replace self.hashes
-        h = self.hashes[ids]
-        n = np.array([len(ws) for ws in split], np.int64)
+        b = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        edge = np.diff(_IS_SPACE[b].view(np.int8), prepend=1, append=1)
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        h = self._word_hashes(b, starts, ends)
+        n = np.diff(np.searchsorted(starts, begins))
         k = self.words
         owner = np.repeat(np.arange(len(texts)), n)
         at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)  # place in its text
-        total = np.zeros(len(h), np.uint64)
-        for j in range(k):
-            part = np.zeros(len(h), np.uint64)
-            part[: max(0, len(h) - j)] = h[j:] * _MULTIPLIERS[j]
-            inside = at + j < n[owner]
-            total += np.where(inside, part, np.uint64(0))
+        total = h * _MULTIPLIERS[0]
+        for j in range(1, k):
+            part = h[j:] * _MULTIPLIERS[j]
+            part[at[: len(part)] + j >= n[owner[: len(part)]]] = 0
+            total[: len(part)] += part
         total += np.minimum(n, k)[owner].astype(np.uint64)
-        starts = (at <= n[owner] - k) | (at == 0)
-        tokens = _mix(total[starts]) >> np.uint64(64 - BITS)
-        keys = np.unique(owner[starts].astype(np.uint64) << np.uint64(BITS) | tokens)
+        first = (at <= n[owner] - k) | (at == 0)
+        tokens = _mix(total[first]) >> np.uint64(64 - BITS)
+        keys = np.sort(owner[first].astype(np.uint64) << np.uint64(BITS) | tokens)
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         of = (keys >> np.uint64(BITS)).astype(np.int64)
         sizes = np.bincount(of, minlength=len(texts))
         names = np.zeros(len(texts), np.uint64)
@@ -130,19 +155,58 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
 
 
+def _common(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are `least` times or more in the run, and how often."""
+    tokens = np.concatenate(held)
+    cell = (tokens & np.uint64((1 << 20) - 1)).astype(np.int64)
+    token, times = np.unique(tokens[(np.bincount(cell, minlength=1 << 20) >= least)[cell]], return_counts=True)
+    return token[times >= least].astype(np.int64), times[times >= least]
+
+
 def set_names(docs: DataFrame, words: int = WORDS, *carry: str) -> DataFrame:
-    """doc_id, node (hash of its set; null if empty) and n_shingles of each row, and the whole numbers in the columns `carry`."""
-    names = ["doc_id", "node", "n_shingles", *carry]
+    """doc_id, node (hash of its set; null if empty) and n_shingles of each row, and the whole numbers in the columns `carry`.
+
+    Further rows have a shingle that is common in some run (`token`) and how many of the run's different sets hold it (`times`).
+    """
+    names = ["doc_id", "node", "n_shingles", *carry, "token", "times"]
+    least = LOCAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        count = 0
+
+        def common() -> pa.RecordBatch:
+            token, times = _common(held, least)
+            held.clear()
+            seen.clear()
+            none = pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([*[none] * (3 + len(carry)), pa.array(token), pa.array(times)], names)
+
         for b in _slices(batches):
-            _, sizes, nodes = shingler.sets(_texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), *b.columns[2:]], names)
+            keys, sizes, nodes = shingler.sets(_texts(b.column(1)))
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, mask=sizes == 0), pa.array(sizes), *b.columns[2:], none, none], names)
+            new = np.array([bool(s) and not (v in seen or seen.add(v)) for v, s in zip(nodes.tolist(), sizes.tolist(), strict=True)], bool)
+            held.append(keys[new[(keys >> np.uint64(BITS)).astype(np.int64)]] & np.uint64((1 << BITS) - 1))
+            count += len(held[-1])
+            if count >= RUN:
+                yield common()
+                count = 0
+        if count:
+            yield common()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *carry).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def hot_shingles(names: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of very many nodes, sorted, and an upper bound of the nodes' number; MAX_HOT at most."""
+    times = names.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") > HOT)
+    rows = times.orderBy(F.desc("times"), "token").limit(MAX_HOT).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), np.minimum(rows["times"].to_numpy(np.int64), (1 << 31) - 1)
+
+
 def _packed(tokens: np.ndarray, owner: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> bytes:
     """Sorted shingles with the nodes that hold them: differences, byte by byte, compressed."""
     own, owner = np.unique(owner, return_inverse=True)
@@ -160,8 +224,12 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return tokens, owner, names, sizes
 
 
-def _runs(docs: DataFrame, bits: int, words: int) -> DataFrame:
-    """Rows (range, run): packed shingles of one of 2^bits hash ranges from some documents, each set once."""
+def _runs(docs: DataFrame, bits: int, words: int, hot: np.ndarray) -> DataFrame:
+    """Rows (range, run): packed shingles of one of 2^bits hash ranges from some documents, each set once.
+
+    Hot shingles are in runs of their own, of one of as many ranges of nodes, numbered from -1 downwards.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hot.astype(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -171,6 +239,16 @@ def _runs(docs: DataFrame, bits: int, words: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             tokens, owner, names, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            often, apart = sent.value, []
+            if len(often):
+                at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+                is_hot = often[at] == tokens
+                part = (_mix(names.view(np.uint64)) >> np.uint64(64 - 16)).astype(np.int64) % (1 << bits)
+                for p in np.unique(part[owner[is_hot]]).tolist():
+                    own = is_hot & (part[owner] == p)
+                    inside = np.lexsort((owner[own], tokens[own]))
+                    apart.append((-1 - p, _packed(tokens[own][inside], owner[own][inside], names, sizes)))
+                tokens, owner = tokens[~is_hot], owner[~is_hot]
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             cuts = np.searchsorted(tokens >> np.uint64(BITS - bits), np.arange((1 << bits) + 1).astype(np.uint64))
@@ -178,7 +256,7 @@ def _runs(docs: DataFrame, bits: int, words: int) -> DataFrame:
             blobs = [_packed(tokens[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]], names, sizes) for p in parts]
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["range", "run"])
+            return pa.RecordBatch.from_arrays([pa.array([*parts.tolist(), *[p for p, _ in apart]], pa.int32()), pa.array([*blobs, *[x for _, x in apart]], pa.binary())], ["range", "run"])
 
         for b in _slices(batches):
             keys, sizes, names = shingler.sets(_texts(b.column(1)))
@@ -197,39 +275,45 @@ def _runs(docs: DataFrame, bits: int, words: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "range int, run binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one range: each node's shingles that other nodes hold too, with the number of nodes."""
+def _by_node(token: np.ndarray, node: np.ndarray, size: np.ndarray, df: np.ndarray) -> pa.Table:
+    order = np.argsort(node, kind="stable")
+    token, node, size, df = token[order], node[order], size[order], df[order]
+    firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(firsts, len(node)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((token.astype(np.int64), pa.int64()), (df, pa.int32()))]
+    return pa.Table.from_arrays([pa.array(node[firsts]), pa.array(size[firsts]), *lists], ["node", "n", "tokens", "dfs"])
+
+
+def _shared(table: pa.Table, hot: np.ndarray | None = None, hot_df: np.ndarray | None = None) -> pa.Table:
+    """Of one range: each node's shingles that other nodes hold too, with the number of nodes; hot ones with the number known."""
     tokens, nodes, sizes = [], [], []
-    for x in table.column("run").to_pylist():
-        t, owner, names, size = _unpacked(x)
+    for x in table.column("run"):
+        t, owner, names, size = _unpacked(x.as_py())
         tokens.append(t)
         nodes.append(names[owner])
         sizes.append(size[owner])
     token, node, size = (np.concatenate(x) for x in (tokens, nodes, sizes))
     del tokens, nodes, sizes
-    order = np.argsort(token, kind="stable")
-    token = token[order]
-    many = np.zeros(len(token), bool)  # in more than one run's row
-    same = token[1:] == token[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    token, order = token[many], order[many]
-    node, size = node[order], size[order]
+    if hot is None:
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        many = np.zeros(len(token), bool)  # in more than one run's row
+        same = token[1:] == token[:-1]
+        many[1:] |= same
+        many[:-1] |= same
+        token, order = token[many], order[many]
+        node, size = node[order], size[order]
     order = np.lexsort((node, token))
     token, node, size = token[order], node[order], size[order]
     first = np.ones(len(token), bool)
     first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies from several runs
     token, node, size = token[first], node[first], size[first]
+    if hot is not None:
+        return _by_node(token, node, size, hot_df[np.searchsorted(hot, token.astype(np.int64))])
     _, inverse, df = np.unique(token, return_inverse=True, return_counts=True)
     df = df[inverse] if len(token) else df
     shared = df > 1
-    token, node, size, df = token[shared], node[shared], size[shared], df[shared]
-    order = np.argsort(node, kind="stable")
-    token, node, size, df = token[order], node[order], size[order], df[order]
-    firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-    offsets = pa.array(np.append(firsts, len(node)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((token.astype(np.int64), pa.int64()), (df, pa.int32()))]
-    return pa.Table.from_arrays([pa.array(node[firsts]), pa.array(size[firsts]), *lists], ["node", "n", "tokens", "dfs"])
+    return _by_node(token[shared], node[shared], size[shared], df[shared])
 
 
 def may_miss(n: Column | np.ndarray | int, percent: int = PERCENT):
@@ -237,11 +321,16 @@ def may_miss(n: Column | np.ndarray | int, percent: int = PERCENT):
     return F.expr(f"({100 - percent} * n) div 100") if isinstance(n, Column) else (100 - percent) * n // 100
 
 
-def shared_sets(docs: DataFrame, total: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def shared_sets(docs: DataFrame, total: int, hot: np.ndarray, hot_df: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, n, tokens, dfs) of the nodes that can have a partner."""
     bits = max(0, int(np.ceil(np.log2(max(1, total) / RANGE))))
-    runs = _runs(docs, bits, words).repartition(1 << bits, "range")
-    rows = runs.groupBy("range").applyInArrow(_shared, "node long, n long, tokens array<long>, dfs array<int>")
+    runs = _runs(docs, bits, words, hot).repartition(1 << bits, "range")
+    sent = docs.sparkSession.sparkContext.broadcast((hot, hot_df))  # at most MAX_HOT
+
+    def shared(key: tuple, table: pa.Table) -> pa.Table:
+        return _shared(table, *(sent.value if key[0].as_py() < 0 else ()))
+
+    rows = runs.groupBy("range").applyInArrow(shared, "node long, n long, tokens array<long>, dfs array<int>")
     whole = rows.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
     return materialize(whole.where(F.col("n") - F.size("tokens") <= may_miss(F.col("n"), percent)), "sets")
 
@@ -332,8 +421,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             hubs = entries.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("y"))
             pairs = entries.join(hubs, "key").select(F.struct(*fields).alias("x"), "y")
         else:
-            x, y = (entries.select("key", F.struct(*fields).alias(c)) for c in "xy")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent))
+            sizes = entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("buckets"))
+            dealt = entries.join(sizes, "key").select("key", "buckets", F.struct(*fields).alias("v"))
+            x = dealt.select("key", F.pmod(F.xxhash64("v.node"), "buckets").cast("int").alias("bucket"), F.col("v").alias("x"))
+            y = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.col("v").alias("y"))
+            pairs = x.join(y, (x["key"] == y["key"]) & (x["bucket"] == y["bucket"]) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent))
         pairs = pairs.where((F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent))
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         new = materialize(_verified(pairs, sets, percent), "links")
@@ -427,48 +519,51 @@ def _compared(sets: DataFrame, roots: DataFrame, copies: DataFrame, percent: int
     return fields.groupBy("alone", "unit", "lo", "hi").applyInArrow(compare, "a long, b long" if pairs else "node long, links long")
 
 
-def _joined(docs: DataFrame, words: int, percent: int, *carry: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with node, number of shingles and component g (null without words); the sets; and (node, root)."""
-    rows = materialize(set_names(docs, words, *carry), "names")
+def _joined(docs: DataFrame, words: int, percent: int, *carry: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows with words with their node, number of shingles and component g; those without; the sets; and (node, root)."""
+    every = materialize(set_names(docs, words, *carry), "names")
+    rows = every.where("token is null").drop("token", "times")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    sets = shared_sets(docs, total, words, percent)
+    sets = shared_sets(docs, total, *hot_shingles(every), words, percent)
     roots = materialize(components(links(sets, percent)), "roots")
-    return rows.join(roots, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root"), sets, roots
+    grouped = rows.where("node is not null").join(roots, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root")
+    return grouped, rows.where("node is null"), sets, roots
 
 
 def _with_least(rows: DataFrame) -> DataFrame:
-    least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    return rows.join(rows.groupBy("g").agg(F.min("doc_id").alias("component_id")), "g", "left")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
-    return _with_least(_joined(docs, words, percent)[0]).select("doc_id", "n_shingles", "component_id")
+    rows, alone, _, _ = _joined(docs, words, percent)
+    return _with_least(rows).select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    return rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def linked_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """As near_duplicates, with n_links: to how many other rows each row is linked, equal sets included."""
-    rows, sets, roots = _joined(docs, words, percent)
+    rows, alone, sets, roots = _joined(docs, words, percent)
     copies = materialize(_copies(rows), "copies")
     links = _compared(sets, roots, copies, percent, False).groupBy("node").agg(F.sum("links").alias("links"))
     counts = copies.join(links, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return _with_least(rows).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    linked = _with_least(rows).join(counts, "node").select("doc_id", "n_shingles", "component_id", "n_links")
+    return linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: every pair of different sets that are linked, once, by the names that set_names gives."""
-    rows, sets, roots = _joined(docs, words, percent)
+    rows, _, sets, roots = _joined(docs, words, percent)
     return _compared(sets, roots, _copies(rows), percent, True)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stay: one row of each component, by id (null last), text and place; and rows without words."""
     placed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.xxhash64("text")), "rows")
-    rows = _joined(placed, words, percent, "__row", "__text")[0].where("g is not null")
+    rows = _joined(placed, words, percent, "__row", "__text")[0]
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")
     stays = rows.groupBy("g").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
     goes = rows.select("__row").join(stays, "__row", "left_anti")
