@@ -243,7 +243,7 @@ def _runs(docs: DataFrame, bits: int, words: int, hot: np.ndarray) -> DataFrame:
             if len(often):
                 at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
                 is_hot = often[at] == tokens
-                part = (_mix(names.view(np.uint64)) >> np.uint64(64 - 16)).astype(np.int64) % (1 << bits)
+                part = _parts(names, bits)
                 for p in np.unique(part[owner[is_hot]]).tolist():
                     own = is_hot & (part[owner] == p)
                     inside = np.lexsort((owner[own], tokens[own]))
@@ -275,17 +275,47 @@ def _runs(docs: DataFrame, bits: int, words: int, hot: np.ndarray) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "range int, run binary")
 
 
-def _by_node(token: np.ndarray, node: np.ndarray, size: np.ndarray, df: np.ndarray) -> pa.Table:
+def _parts(node: np.ndarray, bits: int) -> np.ndarray:
+    """One of 2^bits buckets of each node."""
+    return (_mix(node.view(np.uint64)) >> np.uint64(48)).astype(np.int64) % (1 << bits)
+
+
+def _by_bucket(token: np.ndarray, node: np.ndarray, size: np.ndarray, df: np.ndarray, bits: int) -> pa.Table:
+    """One row per bucket of nodes: its nodes, their sizes, and (node, shingle, number of nodes) of the range, compressed."""
+    part = _parts(node, bits)
+    order = np.argsort(part, kind="stable")
+    part, blobs = part[order], []
+    firsts = np.flatnonzero(np.diff(part, prepend=-1))
+    for at in np.split(order, firsts[1:]) if len(firsts) else ():
+        names, first, owner = np.unique(node[at], return_index=True, return_inverse=True)
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) for x in (owner.astype("<u4"), token[at].astype("<u8"), df[at].astype("<u4"))]
+        body = b"".join([names.astype("<i8").tobytes(), size[at][first].astype("<i8").tobytes(), *[x.tobytes() for x in planes]])
+        blobs.append(np.array([len(names), len(at)], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(body))
+    return pa.table({"bucket": pa.array(part[firsts], pa.int32()), "run": pa.array(blobs, pa.binary())})
+
+
+def _by_node(table: pa.Table) -> pa.Table:
+    """Of one bucket: each node with its shingles from all ranges."""
+    every: list[tuple] = []
+    for x in table.column("run"):
+        blob = x.as_py()
+        n, m = map(int, np.frombuffer(blob, "<i8", 2))
+        body = zstandard.ZstdDecompressor().decompress(blob[16:])
+        names, sizes = np.frombuffer(body, "<i8", n), np.frombuffer(body, "<i8", n, 8 * n)
+        plane = lambda w, at: np.frombuffer(body, np.uint8, w * m, 16 * n + at * m).reshape(w, m).T.copy().view(f"<u{w}").ravel()  # noqa: B023, E731
+        owner = plane(4, 0)
+        every.append((names[owner], sizes[owner], plane(8, 4), plane(4, 12)))
+    node, size, token, df = (np.concatenate(x) for x in zip(*every, strict=True))
     order = np.argsort(node, kind="stable")
-    token, node, size, df = token[order], node[order], size[order], df[order]
-    firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
+    node = node[order]
+    firsts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     offsets = pa.array(np.append(firsts, len(node)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((token.astype(np.int64), pa.int64()), (df, pa.int32()))]
-    return pa.Table.from_arrays([pa.array(node[firsts]), pa.array(size[firsts]), *lists], ["node", "n", "tokens", "dfs"])
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token[order].view(np.int64), df[order].view(np.int32))]
+    return pa.Table.from_arrays([pa.array(node[firsts]), pa.array(size[order][firsts]), *lists], ["node", "n", "tokens", "dfs"])
 
 
-def _shared(table: pa.Table, hot: np.ndarray | None = None, hot_df: np.ndarray | None = None) -> pa.Table:
-    """Of one range: each node's shingles that other nodes hold too, with the number of nodes; hot ones with the number known."""
+def _shared(table: pa.Table, bits: int, hot: np.ndarray | None = None, hot_df: np.ndarray | None = None) -> pa.Table:
+    """Of one range: each node's shingles that other nodes hold too, with the number of nodes; hot ones with the number known. By bucket of nodes."""
     tokens, nodes, sizes = [], [], []
     for x in table.column("run"):
         t, owner, names, size = _unpacked(x.as_py())
@@ -309,11 +339,11 @@ def _shared(table: pa.Table, hot: np.ndarray | None = None, hot_df: np.ndarray |
     first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies from several runs
     token, node, size = token[first], node[first], size[first]
     if hot is not None:
-        return _by_node(token, node, size, hot_df[np.searchsorted(hot, token.astype(np.int64))])
+        return _by_bucket(token, node, size, hot_df[np.searchsorted(hot, token.astype(np.int64))], bits)
     _, inverse, df = np.unique(token, return_inverse=True, return_counts=True)
     df = df[inverse] if len(token) else df
     shared = df > 1
-    return _by_node(token[shared], node[shared], size[shared], df[shared])
+    return _by_bucket(token[shared], node[shared], size[shared], df[shared], bits)
 
 
 def may_miss(n: Column | np.ndarray | int, percent: int = PERCENT):
@@ -328,10 +358,10 @@ def shared_sets(docs: DataFrame, total: int, hot: np.ndarray, hot_df: np.ndarray
     sent = docs.sparkSession.sparkContext.broadcast((hot, hot_df))  # at most MAX_HOT
 
     def shared(key: tuple, table: pa.Table) -> pa.Table:
-        return _shared(table, *(sent.value if key[0].as_py() < 0 else ()))
+        return _shared(table, bits, *(sent.value if key[0].as_py() < 0 else ()))
 
-    rows = runs.groupBy("range").applyInArrow(shared, "node long, n long, tokens array<long>, dfs array<int>")
-    whole = rows.groupBy("node").agg(F.first("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
+    buckets = runs.groupBy("range").applyInArrow(shared, "bucket int, run binary").repartition(1 << bits, "bucket")
+    whole = buckets.groupBy("bucket").applyInArrow(_by_node, "node long, n long, tokens array<long>, dfs array<int>")
     return materialize(whole.where(F.col("n") - F.size("tokens") <= may_miss(F.col("n"), percent)), "sets")
 
 
