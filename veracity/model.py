@@ -26,13 +26,13 @@ CODES = {
     "mincard_below_null": 10302, "wrong_mincard_value": 10303, "wrong_maxcard_value": 10304, "wrong_target_value": 10305,
     "wrong_domain_value": 10306, "too_low_card": 10307, "too_high_card": 10308, "wrong_unit": 10309, "missing_param": 10310,
     "missing_annotations": 10311, "domain_not_range": 10401, "incompatible_entity": 10402, "incompatible_supertypes": 10404, "cycle": 10501,
-    "propagation": 100001, "similar_schema_entity": 20001, "distinct_by_affix": 20003, "share_categories": 20004, "similar_annotation": 20101,
+    "propagation": 100001, "similar_schema_entity": 20001, "distinct_by_affix": 20003, "share_categories": 20004, "share_domains": 20005, "share_ranges": 20006, "share_types": 20007, "similar_annotation": 20101,
     "instance_without_category": 30001, "property_undefined": 30102, "category_undefined": 30203, "target_undefined": 30304,
     "update_article": 40001, "not_annotated": 50001, "category_leaf": 60001, "subcategory_anomaly": 60101,
 }
 
 #: Properties of the schema itself, which no check is about.
-BUILT_IN_PROPERTIES = ("Has domain and range", "Has min cardinality", "Has max cardinality", "Is inverse of")
+BUILT_IN_PROPERTIES = ("Has_domain_and_range", "Has_min_cardinality", "Has_max_cardinality", "Is_inverse_of")
 CARDINALITY_MIN, CARDINALITY_UNLIMITED = 0, (1 << 63) - 1
 ISSUE = "bot string, code int, class int, p1_id long, p2_id long, value string, value_int int, modified boolean"
 

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from veracity.checkpoints import materialize
 
 
+#: Levels after which what has been reached is written anew as one table.
+MERGE_EVERY = 16
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
     """(root, node, depth): what each seed node reaches along the edges, with its smallest depth.
 
-    Every level is written out, so neither the lineage nor a recomputation grows with the depth.
+    Every level is written out, so neither the lineage nor a recomputation grows with the depth. Where the depth
+    doesn't matter, `reachable` takes a number of steps that grows with its logarithm only.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     frontier = materialize(seeds.select(F.col("node").alias("root"), "node").distinct(), "level")
@@ -29,16 +34,44 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, re
             seen, first = level, None
         else:
             seen = seen.unionByName(level)
+        if depth % MERGE_EVERY == 0:
+            seen = materialize(seen, "seen")
     return seen if first is None else seen.limit(0)
 
 
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node): all that each seed node reaches, itself included, in steps of 1, 2, 4, 8 and more edges.
+
+    After i steps the pairs within 2^i - 1 edges are known; the next step adds those at walks of 2^i edges from them.
+    """
+    walks = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    pairs = seeds.select(F.col("node").alias("root"), "node").distinct()
+    n = -1
+    while True:
+        walks = materialize(walks, "walks")
+        further = pairs.join(walks, pairs["node"] == walks["src"]).select("root", F.col("dst").alias("node"))
+        pairs = materialize(pairs.unionByName(further).distinct(), "pairs")
+        n, before = pairs.count(), n
+        if n == before:
+            return pairs
+        twice = walks.withColumnsRenamed({"src": "first", "dst": "mid"}).join(walks, F.col("mid") == F.col("src"))
+        walks = twice.select(F.col("first").alias("src"), "dst").distinct()
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
 
 
-def reach(edges: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
-    """(src, dst) pairs of the closure of all nodes."""
-    return closure(edges, nodes(edges), max_depth, reflexive).select(F.col("root").alias("src"), F.col("node").alias("dst"))
+def reach(edges: DataFrame, max_depth: int | None = None, reflexive: bool = True, seeds: DataFrame | None = None) -> DataFrame:
+    """(src, dst) pairs of the closure of all nodes of the edges, or of the seeds, which need no edge to reach themselves."""
+    seeds = nodes(edges) if seeds is None else seeds
+    found = reachable(edges, seeds) if max_depth is None and reflexive else closure(edges, seeds, max_depth, reflexive)
+    return found.select(F.col("root").alias("src"), F.col("node").alias("dst"))
+
+
+def below(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node): each root with what reaches it, itself included."""
+    return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth, True, roots).select(F.col("src").alias("root"), F.col("dst").alias("node"))
 
 
 def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10, reflexive: bool = True) -> DataFrame:

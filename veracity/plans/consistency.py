@@ -6,7 +6,7 @@ category ids, either may be null) and inverses (p_id, o_id).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veracity.functions.text import is_cardinality, leading_int, units_of
-from veracity.model import CARDINALITY_MIN, CARDINALITY_UNLIMITED, CATEGORY, PROPERTY, Graph
-from veracity.operators.closure import closure, cycles, nearest_values, reach
+from veracity.checkpoints import materialize
+from veracity.model import BUILT_IN_PROPERTIES, CARDINALITY_MIN, CARDINALITY_UNLIMITED, CATEGORY, PROPERTY, Graph
+from veracity.operators.closure import below, cycles, nearest_values, reach
 from veracity.plans.issues import issues, propagated
 
 BOT = "consistency"
-PAGE_TYPE = "Page"
+#: The types of links to pages and of values of several fields.
+PAGE_TYPE, NARY_TYPE = "Page", "N-ary"
 
 
 @dataclass
@@ -86,16 +88,25 @@ def max_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFra
 
 
 def definition_issues(schema: Schema, properties: DataFrame) -> DataFrame:
-    """Missing domains and ranges: of properties between pages both are needed, of others a domain."""
+    """Missing domains and ranges: of properties between pages both are needed, of others a domain.
+
+    A property of several fields is between pages if one of its fields is a page; without either side it counts as one.
+    """
     declared = schema.pairs.groupBy("p_id").agg(F.bool_or(F.col("domain").isNotNull()).alias("has_domain"), F.bool_or(F.col("range").isNotNull()).alias("has_range"))
     types = first_of(schema.types).select("p_id", F.col("value").alias("type"))
     rows = properties.select("p_id").join(declared, "p_id", "left").join(types, "p_id", "left")
+    if schema.record_fields is None:
+        rows = rows.withColumn("page_field", F.lit(False))
+    else:
+        fields = schema.record_fields.where(F.col("field") == PAGE_TYPE).select("p_id", F.lit(True).alias("page_field")).distinct()
+        rows = rows.join(fields, "p_id", "left").withColumn("page_field", F.coalesce("page_field", F.lit(False)))
     domain, range_ = F.coalesce("has_domain", F.lit(False)), F.coalesce("has_range", F.lit(False))
-    between = F.col("type").isNull() | (F.col("type") == PAGE_TYPE)
+    nary = F.coalesce(F.col("type") == NARY_TYPE, F.lit(False))
+    between = F.col("type").isNull() | (F.col("type") == PAGE_TYPE) | nary
     return union(
         issues(rows.where(between & ~domain & ~range_), BOT, "domains_and_ranges_not_defined", "p_id"),
         issues(rows.where(~domain & (~between | range_)), BOT, "domains_not_defined", "p_id"),
-        issues(rows.where(between & domain & ~range_), BOT, "ranges_not_defined", "p_id"),
+        issues(rows.where(between & domain & ~range_ & (~nary | F.col("page_field"))), BOT, "ranges_not_defined", "p_id"),
     )
 
 
@@ -104,7 +115,7 @@ def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, sche
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
     near = nearest_values(property_graph, pairs.select(F.col("p_id").alias("node"), F.struct("ord", "domain", "range").alias("value")), max_depth)
     both = pairs.join(near.select(F.col("node").alias("p_id"), "value"), "p_id")
-    above = reach(category_graph, max_depth)
+    above = reach(category_graph, max_depth, True, pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct())
     for side in ("domain", "range"):
         ok = above.select(F.col("src").alias(side), F.col("dst").alias(f"up_{side}"), F.lit(True).alias(f"ok_{side}"))
         both = both.withColumn(f"up_{side}", F.col(f"value.{side}")).join(ok, [side, f"up_{side}"], "left")
@@ -143,15 +154,19 @@ def _fits(facts: DataFrame, end: str, g: Graph, side: str, pairs: DataFrame, abo
 
 
 def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame:
-    """Subjects outside all declared domains; existing targets outside the ranges of the pairs whose domain fits."""
-    above = reach(g.category_graph(), max_depth)
+    """Subjects outside all declared domains; existing targets outside the ranges of the pairs whose domain fits.
+
+    Categories are followed downwards from the declared ones, each of which holds itself, with or without others.
+    """
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
+    ends = pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct()
+    above = materialize(below(g.category_graph(), ends, max_depth).select(F.col("node").alias("src"), F.col("root").alias("dst")), "above")
     declared = pairs.select("p_id").distinct()
-    subjects = g.facts.distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("s_id")), "s_id", "left_semi")
-    domain_ok = _fits(subjects, "s_id", g, "domain", pairs, above)
+    subjects = materialize(g.facts.distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("s_id")), "s_id", "left_semi"), "subjects")
+    domain_ok = materialize(_fits(subjects, "s_id", g, "domain", pairs, above), "domains")
     outside = subjects.join(domain_ok.select("s_id", "p_id"), ["s_id", "p_id"], "left_anti")
-    facts = g.relation.select("s_id", "p_id", "o_id").distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("o_id")), "o_id", "left_semi")
-    range_ok = _fits(facts, "o_id", g, "range", pairs, above)
+    facts = materialize(g.relation.select("s_id", "p_id", "o_id").distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("o_id")), "o_id", "left_semi"), "facts")
+    range_ok = materialize(_fits(facts, "o_id", g, "range", pairs, above), "ranges")
     fitting = range_ok.join(domain_ok, ["s_id", "p_id", "ord"], "left_semi").unionByName(range_ok.join(outside, ["s_id", "p_id"], "left_semi"))
     wrong = facts.join(fitting.select("s_id", "p_id", "o_id"), ["s_id", "p_id", "o_id"], "left_anti").join(g.entity.select(F.col("id").alias("o_id"), "title"), "o_id", "left")
     return union(issues(outside, BOT, "wrong_domain_value", "s_id", "p_id"), issues(wrong, BOT, "wrong_target_value", "s_id", "p_id", "title"))
@@ -159,8 +174,8 @@ def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) ->
 
 def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(p_id, s_id, n): values of each property, its sub-properties included, each counted once."""
-    below = closure(property_graph.select(F.col("dst").alias("src"), F.col("src").alias("dst")), properties.select(F.col("p_id").alias("node")), max_depth)
-    return facts.join(below.select("root", F.col("node").alias("p_id")), "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
+    under = below(property_graph, properties.select(F.col("p_id").alias("node")), max_depth)
+    return facts.join(under.select("root", F.col("node").alias("p_id")), "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bounds(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -186,8 +201,8 @@ def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: D
     breach = cardinality_breaches(counts, limits)
     need = limits.where("lo > 0").join(schema.pairs.where("domain is not null").select("p_id", F.col("domain").alias("node")).distinct(), "p_id")
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("node"), F.col("title").alias("category"))
-    below = closure(g.category_graph().select(F.col("dst").alias("src"), F.col("src").alias("dst")), need.select("node").distinct(), max_depth)
-    members = need.join(below.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").join(g.member, "category")
+    under = below(g.category_graph(), need.select("node").distinct(), max_depth)
+    members = need.join(under.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").join(g.member, "category")
     members = members.join(g.page.where(F.col("ns") != CATEGORY).select("id"), "id", "left_semi").select("p_id", F.col("id").alias("s_id"), "lo").distinct()
     none = members.join(counts.select("p_id", "s_id"), ["p_id", "s_id"], "left_anti")
     return union(
@@ -237,9 +252,11 @@ def resolved(g: Graph) -> DataFrame:
 
 
 def analyze(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame:
-    """All checks, then the propagation of what they found."""
+    """All checks, then the propagation of what they found. Relations to redirects count as relations to what these lead to."""
     cats, props = g.category_graph(), g.property_graph()
-    properties = g.page.where(F.col("ns") == PROPERTY).select(F.col("id").alias("p_id"))
+    properties = g.page.where((F.col("ns") == PROPERTY) & ~F.col("title").isin(*BUILT_IN_PROPERTIES) & ~F.col("is_redirect")).select(F.col("id").alias("p_id"))
+    if g.redirect is not None:
+        g = replace(g, relation=materialize(resolved(g), "resolved"))
     titles = g.entity.select("id", "title")
     found = [
         cycle_issues(cats, titles, max_depth), cycle_issues(props, titles, max_depth), min_cardinality_issues(props, schema, properties, max_depth), max_cardinality_issues(props, schema, properties, max_depth),
@@ -255,9 +272,3 @@ def analyze(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame
     rows = union(*found)
     up = propagated(g, rows, schema.pairs.where("domain is not null").select("p_id", F.col("domain").alias("category_id")), max_depth)
     return rows.unionByName(issues(up, BOT, "propagation", "id"))
-
-
-def roots(g: Graph) -> DataFrame:
-    """Categories without supercategory."""
-    return g.page.where(F.col("ns") == CATEGORY).select("id").join(g.category_graph().select(F.col("src").alias("id")), "id", "left_anti")
-

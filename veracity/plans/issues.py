@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions.text import payload
 from veracity.model import CATEGORY, CODES, Graph
-from veracity.operators.closure import closure
+from veracity.operators.closure import reach
 from veracity.operators.filters import all_of, equals, one_of, page_of, signed_class
 
 
@@ -71,11 +71,11 @@ def visible(table: DataFrame) -> DataFrame:
     return table.where(F.col("code") < 100000)
 
 
-def propagated(g: Graph, table: DataFrame, domains: DataFrame, max_depth: int | None = 10) -> DataFrame:
+def propagated(g: Graph, table: DataFrame, domains: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id): categories of entities with issues, supercategories of categories and domains of properties with
     issues, and all their ancestors. `domains` has (p_id, category id)."""
     bad = visible(table).select(F.col("p1_id").alias("id")).distinct()
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("node"), F.col("title").alias("category"))
     of_members = g.member.join(bad, "id", "left_semi").join(cats, "category").select("node")
     of_properties = domains.join(bad.withColumnRenamed("id", "p_id"), "p_id", "left_semi").select(F.col("category_id").alias("node"))
-    return closure(g.category_graph(), of_members.unionByName(of_properties).distinct(), max_depth).select(F.col("node").alias("id")).distinct()
+    return reach(g.category_graph(), max_depth, True, of_members.unionByName(of_properties).distinct()).select(F.col("dst").alias("id")).distinct()

@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Kinds of work: bot, class and code of the issues that they show.
-KINDS = {1: ("consistency", 0, 0), 2: ("consistency", 103, 10311), 3: ("missing", 0, 0), 4: ("undefined", 0, 30001), 5: ("anomalies", 0, 60001), 6: ("anomalies", 0, 60101)}
+from veracity.plans.issues import condition
+
+#: Kinds of work with the bot, class and code of the issues that they show; None is no constraint.
+KINDS = {
+    0: (None, None, None), 1: ("consistency", None, None), 2: ("missing", None, 10307), 3: ("consistency", 101, None), 4: ("undefined", None, 30001),
+    5: ("anomalies", None, 60001), 6: ("anomalies", None, 60101), 7: ("undefined", None, 30203), 8: ("undefined", None, 30102), 9: (None, None, None),
+}
+
+
+def of_kind(issues: DataFrame, kind: int) -> DataFrame:
+    """The issues that a kind of work shows."""
+    bot, klass, code = KINDS[kind]
+    return issues.where(condition(bot=bot, klass=klass, codes=code))
 
 
 def last_edits(revisions: DataFrame, user: str | None = None) -> DataFrame:

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.functions.text import first_upper, is_cardinality, leading_int, title_key, units_of, xml_escape, xml_id
-from veracity.model import CODES
+from veracity.model import CATEGORY, CODES
 from veracity.operators.closure import closure, cycles, descendants, nearest_values, reach
 from veracity.operators.edit_join import similar_pairs
 from veracity.operators.filters import page_of, text_match
 from veracity.plans import consistency as C
 from veracity.plans import runs, similarity, undefined, worklist
 from veracity.plans.issues import condition, containers, distinct_entities, issues, listed, marked_modified, visible, without
-from veracity.sources.star import CUSTOMER, KIND, NATION, ORDER, PROP, PROPERTIES, REGION, graph, ident, mod_graph, prop, table
+from veracity.sources.star import CUSTOMER, KIND, NATION, ORDER, PROP, PROPERTIES, REGION, SUPPLIER, graph, ident, mod_graph, part_schema, prop, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +55,7 @@ def undefined_target_usages(spark, d):
     return undefined.target_usages(g, undefined.undefined_targets(g))
 
 
-@query(f"select {prop('acted_by')}::bigint as id, 'acted_by' as title")
+@query(f"select distinct {prop('acted_by')}::bigint as id, 'acted_by' as title from events")
 def undefined_properties(spark, d):
     return undefined.undefined_properties(graph(spark, d))
 
@@ -98,12 +99,14 @@ def subcategory_anomalies(spark, d):
     return undefined.subcategory_anomalies(graph(spark, d))
 
 
-@query(f"""select n_nationkey + {NATION * KIND} as id, n_name as title from nation where n_nationkey % 5 = 0""")
+@query(f"""select n_nationkey + {NATION * KIND} as id, n_name as title from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal > 9500)""")
 def category_leaves(spark, d):
+    """Nations, which lie below the regions, without rich customers."""
     g = graph(spark, d)
-    empty = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("category"))
-    g.member = g.member.join(empty, "category", "left_anti")
-    return undefined.category_leaves(g)
+    rich = table(spark, d, "customer").where("c_acctbal > 9500").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    inside = g.member.join(g.page.where(F.col("ns") == CATEGORY).select("id"), "id", "left_semi")  # nations in regions
+    g.member = inside.unionByName(rich.select(ident(CUSTOMER, "c_custkey"), F.col("n_name").alias("category")))
+    return undefined.category_leaves(g, table(spark, d, "region").select(ident(REGION, "r_regionkey").alias("node")))
 
 
 @query(f"""select s_id, p_id, 2 - n as low, n - 8 as high from (
@@ -230,14 +233,13 @@ def last_edits(spark, d):
     return worklist.last_edits(graph(spark, d).revision)
 
 
-@query("""with own as (select distinct source from documents where doc_id % 500 = 0), i as (select doc_id from labels where quality = 0)
-select doc_id as p1_id from documents where source in (select source from own) and doc_id in (select doc_id from i) order by doc_id limit 20""")
+@query("""with r as (select cast(json_extract_string(props, '$.k') as bigint) as id, max(ts) as ts from events where user_id = 7 group by 1),
+o as (select source, max(ts) as ts from r join documents on doc_id = id where source is not null group by 1)
+select doc_id as p1_id, max(ts) as ts from documents join o using (source) where doc_id in (select doc_id from labels where quality = 0) group by 1 order by 2 desc, 1 limit 20""")
 def same_category_work(spark, d):
-    docs = table(spark, d, "documents")
-    member = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("category"))
-    edits = docs.where("doc_id % 500 = 0").select(F.col("doc_id").alias("id"), F.lit("me").alias("user"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    member = table(spark, d, "documents").where("source is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("category"))
     bad = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("p1_id"))
-    return worklist.in_edited_categories(bad, edits, member, "me").select("p1_id")
+    return worklist.in_edited_categories(bad, graph(spark, d).revision, member, "7")
 
 
 @query(f"select c_custkey + {CUSTOMER * KIND} as s_id, {prop('has_balance')}::bigint as p_id, -1 as rating from customer where c_acctbal < 0 order by s_id limit 1000000")
@@ -324,56 +326,97 @@ def title_search_page(spark, d):
     return page_of(c.where(text_match("c_name", " ") | text_match("c_name", "00")), [F.col("c_name"), F.col("c_custkey")], 30, 3)
 
 
-@query("select 3::bigint as p1_id, 1::bigint as p2_id, 'Nm' as value, 10309 as code")
-def unit_violations(spark, d):
-    facts = spark.createDataFrame([(1, 1, "5", "g"), (2, 1, "7", "kg"), (3, 1, "9", "Nm"), (4, 1, "9", "")], "s_id long, p_id long, value string, unit string")
-    specs = spark.createDataFrame([(1, "1 kg, kilogram"), (1, "1000 g, gram")], "p_id long, spec string")
-    return C.unit_issues(facts, specs).select("p1_id", "p2_id", "value", "code")
+_PART = f"""part_(p, size, type, brand) as (select p_partkey::bigint, p_size, p_type, p_brand from part),
+types(p, ord, value) as (select p, 0, type from part_ where size > 8 union all select p, 1, brand from part_ where size > 42),
+minima(p, ord, value) as (select p, 0, (size - 10)::varchar from part_ where size < 30 union all select p, 1, 'x' || size from part_ where size < 4),
+maxima(p, ord, value) as (select p, 0, (size - 20)::varchar from part_ where size between 20 and 45 union all select p, 1, '9' from part_ where size = 21),
+pairs(p, dom, ran) as (select p, case when size > 20 then p % 25 + {NATION * KIND} when size > 6 then p % 5 + {REGION * KIND} end, case when size < 44 then size % 5 + {REGION * KIND} end from part_ where size <> 25)"""
+
 
+def _near(declared: str) -> str:
+    """own: each part's number of declarations and the first; near: the part above that has the nearest ones."""
+    return f"""own as (select p, count(*) as n, arg_min(value, ord) as value from {declared} group by 1),
+up(p, here) as (select p, p // 3 from part_ where p > 0 union all select p, here // 3 from up where here not in (select p from {declared}) and here > 0),
+near as (select up.p, own.value from up join own on up.here = own.p)"""
 
-def _schema(spark: SparkSession, **tables) -> C.Schema:
-    kinds = {"types": "p_id long, ord int, value string", "minima": "p_id long, ord int, value string", "maxima": "p_id long, ord int, value string", "pairs": "p_id long, ord int, domain long, range long", "inverses": "p_id long, o_id long", "record_fields": "p_id long, field string, n long", "records": "s_id long, p_id long, record long, field string"}
-    return C.Schema(**{k: spark.createDataFrame(tables.get(k, []), s) for k, s in kinds.items()})
+
+@query(f"""with {_PART} select distinct p_partkey as p1_id, {prop('has_balance')}::bigint as p2_id, p_brand as value, 10309 as code from part
+where p_brand not in (select p_brand from part where p_size > 48 union all select p_type from part where p_size > 48)""")
+def unit_violations(spark, d):
+    prices = table(spark, d, "part").select(F.col("p_partkey").alias("s_id"), F.lit(prop("has_balance")).alias("p_id"), F.col("p_retailprice").cast("string").alias("value"), F.col("p_brand").alias("unit"))
+    return C.unit_issues(prices, part_schema(spark, d)[2].units).select("p1_id", "p2_id", "value", "code")
 
 
-@query("select * from (values (1::bigint, 2::bigint, 10401), (2::bigint, 1::bigint, 10401)) t(p1_id, p2_id, code)")
+@query(f"""with {_PART}, i as (select a.p, b.p as o, a.dom, a.ran, b.dom as odom, b.ran as oran from pairs a join pairs b on b.p = a.p + 1)
+select p as p1_id, o as p2_id, 10401 as code from i where dom <> oran union all select o, p, 10401 from i where odom <> ran""")
 def inverse_mismatch(spark, d):
-    s = _schema(spark, pairs=[(1, 0, 10, 11), (2, 0, 12, 13), (3, 0, 20, 21), (4, 0, 21, 20)], inverses=[(1, 2), (3, 4)])
-    return C.inverse_issues(s).select("p1_id", "p2_id", "code")
+    return C.inverse_issues(part_schema(spark, d)[2]).select("p1_id", "p2_id", "code")
+
+
+def _cardinalities(declared: str, unset: str, far: str, wrong: int, double: int, edge: str, edge_code: int, beyond: str, code: int) -> str:
+    number = lambda c: f"coalesce(try_cast(regexp_extract({c}, '^\\s*([+-]?\\d+)', 1) as bigint), 0)"
+    return f"""with recursive {_PART}, {_near(declared)},
+x as (select part_.p, n, own.value, case when own.value is null then {unset} else {number('own.value')} end as number, case when near.p is null then {unset} else {far}({number('near.value')}, {unset}) end as bound from part_ left join own using (p) left join near using (p))
+select p as p1_id, {double} as code from x where n > 1 union all select p, {wrong} from x where not regexp_matches(trim(value), '^\\d+$')
+union all select p, {edge_code} from x where {edge} union all select p, {code} from x where not ({edge}) and {beyond}"""
+
 
+@query(_cardinalities("minima", "0", "greatest", 10303, 10203, "number < 0", 10302, "number < bound", 10004))
+def min_cardinality_declarations(spark, d):
+    properties, tree, schema = part_schema(spark, d)
+    return C.min_cardinality_issues(tree, schema, properties).select("p1_id", "code")
 
-@query("""select * from (values (2::bigint, 10004), (3::bigint, 10302), (3::bigint, 10303), (4::bigint, 10203), (3::bigint, 10301), (2::bigint, 10005), (4::bigint, 10202), (5::bigint, 10004), (5::bigint, 10005)) t(p1_id, code)""")
-def cardinality_declarations(spark, d):
-    s = _schema(spark, minima=[(1, 0, "1"), (2, 0, "0"), (3, 0, "-1"), (4, 0, "1"), (4, 1, "4")], maxima=[(1, 0, "1"), (2, 0, "2"), (3, 0, "0"), (4, 0, "2"), (4, 1, "3")])
-    tree = spark.createDataFrame([(2, 1), (5, 1)], "src long, dst long")
-    own = spark.createDataFrame([(i,) for i in range(1, 6)], "p_id long")
-    return C.min_cardinality_issues(tree, s, own).unionByName(C.max_cardinality_issues(tree, s, own)).select("p1_id", "code")
 
+@query(_cardinalities("maxima", "9223372036854775807", "least", 10304, 10202, "number = 0", 10301, "number > bound", 10005))
+def max_cardinality_declarations(spark, d):
+    properties, tree, schema = part_schema(spark, d)
+    return C.max_cardinality_issues(tree, schema, properties).select("p1_id", "code")
 
-@query("select * from (values (3::bigint, 10003), (4::bigint, 10105), (5::bigint, 10201), (6::bigint, 10404)) t(p1_id, code)")
+
+@query(f"""with recursive {_PART}, {_near('types')} select p as p1_id, 10105 as code from part_ where p not in (select p from types) union all select p, 10201 from own where n > 1
+union all select own.p, 10003 from own join near using (p) where n = 1 and own.value <> near.value""")
 def type_declarations(spark, d):
-    s = _schema(spark, types=[(1, 0, "String"), (2, 0, "Page"), (3, 0, "Number"), (5, 0, "String"), (5, 1, "Page"), (6, 0, "String"), (7, 0, "String")])
-    tree = spark.createDataFrame([(3, 1), (7, 1), (6, 1), (6, 2)], "src long, dst long")
-    return C.type_issues(tree, s, spark.createDataFrame([(i,) for i in range(1, 8)], "p_id long")).select("p1_id", "code")
+    properties, tree, schema = part_schema(spark, d)
+    return C.type_issues(tree, schema, properties).select("p1_id", "code")
 
 
-@query("select * from (values (1::bigint, 10102), (2::bigint, 10104), (3::bigint, 10101), (4::bigint, 10101)) t(p1_id, code)")
+@query(f"""with {_PART}, x as (select p, p not in (select p from types) as page, dom is not null as d, ran is not null as r from part_ left join pairs using (p))
+select p as p1_id, 10102 as code from x where page and not d and not r union all select p, 10101 from x where not d and (not page or r) union all select p, 10104 from x where page and d and not r""")
 def definition_gaps(spark, d):
-    s = _schema(spark, types=[(2, 0, "Page"), (3, 0, "Page"), (4, 0, "String"), (5, 0, "Page")], pairs=[(2, 0, 10, None), (3, 0, None, 11), (5, 0, 10, 11)])
-    return C.definition_issues(s, spark.createDataFrame([(i,) for i in range(1, 6)], "p_id long")).select("p1_id", "code")
+    properties, _, schema = part_schema(spark, d)
+    return C.definition_issues(schema, properties).select("p1_id", "code")
 
 
-@query("select * from (values (2::bigint, 12::bigint, 10001), (3::bigint, 12::bigint, 10002)) t(p1_id, p2_id, code)")
+@query(f"""with recursive {_PART}, up(p, here) as (select p, p // 3 from part_ where p > 0 union all select p, here // 3 from up where here not in (select p from pairs) and here > 0),
+x as (select o.p, o.dom, o.ran, a.dom as adom, a.ran as aran, n_regionkey + {REGION * KIND} as above from pairs o join up on up.p = o.p join pairs a on a.p = up.here left join nation on n_nationkey + {NATION * KIND} = o.dom)
+select p as p1_id, dom as p2_id, 10001 as code from x where dom <> adom and (above is null or above <> adom) union all select p, ran, 10002 from x where ran <> aran""")
 def covariance_gaps(spark, d):
-    s = _schema(spark, pairs=[(1, 0, 10, 20), (2, 0, 12, 21), (3, 0, 11, 12), (4, 0, 11, 21)])
-    cats = spark.createDataFrame([(11, 10), (21, 20)], "src long, dst long")
-    return C.covariance_issues(cats, spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "src long, dst long"), s).select("p1_id", "p2_id", "code")
+    _, tree, schema = part_schema(spark, d)
+    return C.covariance_issues(graph(spark, d).category_graph(), tree, schema).select("p1_id", "p2_id", "code")
 
 
-@query("select 2::bigint as p1_id, 1::bigint as p2_id, 10310 as code, 1 as value_int")
+@query(f"""with f as (select distinct l_returnflag as f from lineitem), o as (select distinct l_orderkey as o from lineitem)
+select distinct o + {ORDER * KIND} as p1_id, {prop('has_part')}::bigint as p2_id, 10310 as code, 1 as value_int from o, f where (select count(*) from lineitem where l_orderkey = o and l_returnflag = f) <> 1""")
 def record_gaps(spark, d):
-    s = _schema(spark, record_fields=[(1, "a", 2), (1, "b", 1)], records=[(1, 1, 1, "a"), (1, 1, 1, "a"), (1, 1, 1, "b"), (2, 1, 2, "a"), (2, 1, 2, "b")])
-    return C.record_issues(s).select("p1_id", "p2_id", "code", "value_int")
+    return C.record_issues(part_schema(spark, d)[2]).select("p1_id", "p2_id", "code", "value_int")
+
+
+@query(f"""with recursive {_MOD}, p(start, node, path) as (
+  select src, dst, [src] from e union all select start, e.dst, list_append(path, p.node) from p join e on p.node = e.src where p.node <> start and not list_contains(path, p.node)),
+c as (select distinct list_sort(path) as path from p where node = start)
+select path[1] as p1_id, 10501 as code, array_to_string(list_transform(path, lambda x: 'NATION_' || x), ';') as value from c""")
+def cycle_issues(spark, d):
+    titles = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"))
+    return C.cycle_issues(mod_graph(spark, d), titles).select("p1_id", "code", "value")
+
+
+@query(f"""select n_nationkey + {NATION * KIND} as p1_id, s_suppkey + {4 * KIND} as p2_id, 10402 as code from supplier join nation on s_nationkey = n_nationkey""")
+def redirect_issues(spark, d):
+    """Supplier pages as redirects to their nations, which are categories."""
+    g = graph(spark, d)
+    to = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    g.redirect = to.select(ident(SUPPLIER, "s_suppkey"), F.lit(CATEGORY).alias("ns"), F.col("n_name").alias("title"))
+    return C.redirect_issues(g).select("p1_id", "p2_id", "code")
 
 
 @query(f"""select distinct l_orderkey + {ORDER * KIND} as p1_id, 10306 as code from lineitem
@@ -384,8 +427,9 @@ def annotation_violations(spark, d):
     asia = REGION * KIND + 2
     g = graph(spark, d)
     g.relation = g.relation.withColumn("p_id", F.when(F.col("p_id").isin([prop(f"has_part_{f}") for f in "ANR"]), F.lit(prop("has_part"))).otherwise(F.col("p_id"))).where(F.col("p_id") != prop("acted_by"))
-    s = _schema(spark, pairs=[(prop("has_balance"), 0, asia, None), (prop("has_customer"), 0, asia, asia), (prop("has_part"), 0, asia, None)])
-    return C.annotation_issues(g, s).select("p1_id", "code")
+    pairs = spark.createDataFrame([(prop("has_balance"), 0, asia, None), (prop("has_customer"), 0, asia, asia), (prop("has_part"), 0, asia, None)], "p_id long, ord int, domain long, range long")
+    none = part_schema(spark, d)[2]
+    return C.annotation_issues(g, replace(none, pairs=pairs)).select("p1_id", "code")
 
 
 @query("select c_custkey, array_to_string(['g', 'gram'], '|') as units, replace(replace(c_name, '&', '&amp;'), '<', '&lt;') as safe, replace(c_name, '#', '') as id from customer")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.model import CATEGORY, MAIN, PROPERTY, TEMPLATE, Graph
+from veracity.plans.consistency import Schema
 
 KIND = 10**12
 REGION, NATION, CUSTOMER, SUPPLIER, PART, ORDER, USER, PROP, TMPL = range(1, 10)
@@ -63,3 +64,31 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 def mod_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph with cycles: nation key to twice the key, modulo 25."""
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_nationkey") * 2 % 25).cast("long").alias("dst"))
+
+
+def part_schema(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Schema]:
+    """Every part as a property: (p_id), the inheritance graph (part to a third of its key), and what the columns make it declare.
+
+    Sizes give types, cardinalities, domains and ranges, which are nations and regions; each part is the inverse of the
+    next; a part's brand is the unit of its price, and large parts name the units known; return flags are the fields of
+    an order's record.
+    """
+    part = table(spark, sf_dir, "part").withColumn("p_id", F.col("p_partkey").cast("long"))
+
+    def declared(*rules: tuple[str, str]) -> DataFrame:
+        some = [part.where(where).select("p_id", F.lit(i).alias("ord"), F.expr(value).cast("string").alias("value")) for i, (where, value) in enumerate(rules)]
+        return some[0] if len(some) == 1 else some[0].unionByName(some[1])
+
+    types = declared(("p_size > 8", "p_type"), ("p_size > 42", "p_brand"))
+    minima = declared(("p_size < 30", "p_size - 10"), ("p_size < 4", "concat('x', p_size)"))
+    maxima = declared(("p_size between 20 and 45", "p_size - 20"), ("p_size = 21", "'9'"))
+    domain = F.when(F.col("p_size") > 20, ident(NATION, F.col("p_partkey") % 25)).when(F.col("p_size") > 6, ident(REGION, F.col("p_partkey") % 5))
+    range_ = F.when(F.col("p_size") < 44, ident(REGION, F.col("p_size") % 5))
+    pairs = part.where("p_size <> 25").select("p_id", F.lit(0).alias("ord"), domain.alias("domain"), range_.alias("range"))
+    inverses = part.select("p_id", (F.col("p_id") + 1).alias("o_id"))
+    lines = table(spark, sf_dir, "lineitem")
+    fields = lines.select("l_returnflag").distinct().select(F.lit(prop("has_part")).alias("p_id"), F.col("l_returnflag").alias("field"), F.lit(1).cast("long").alias("n"))
+    records = lines.select(ident(ORDER, "l_orderkey").alias("s_id"), F.lit(prop("has_part")).alias("p_id"), F.col("l_orderkey").alias("record"), F.col("l_returnflag").alias("field"))
+    units = part.where("p_size > 48").select(F.lit(prop("has_balance")).alias("p_id"), F.concat(F.lit("1 "), F.col("p_brand"), F.lit(", "), F.col("p_type")).alias("spec")).distinct()
+    tree = part.where("p_id > 0").select(F.col("p_id").alias("src"), F.expr("p_id div 3").alias("dst"))
+    return part.select("p_id"), tree, Schema(types, minima, maxima, pairs, inverses, fields, records, units)

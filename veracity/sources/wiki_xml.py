@@ -35,7 +35,7 @@ def load(spark: SparkSession, path: str) -> tuple[Graph, Schema]:
     """The graph and what its properties declare. Names without page get ids below 0."""
     p = pages(spark, path)
     found = annotations(p)
-    schema_names = ["Has_domain_and_range", "Has_type", "Has_min_cardinality", "Has_max_cardinality", "Is_inverse_of", "Subproperty_of"]
+    schema_names = ["Has_domain_and_range", "Has_type", "Has_min_cardinality", "Has_max_cardinality", "Is_inverse_of", "Subproperty_of", "Has_fields", "Corresponds_to"]
     target = lambda c: title_key(F.regexp_replace(c, r"(?i)^\s*:?(category|property|type|template)\s*:", ""))
     member = p.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\[\[\s*category\s*:\s*([^\]|:]+)"), F.lit(1))).alias("category")).select("id", title_key(F.col("category")).alias("category")).distinct()
     page = p.select("id", "ns", "title", (F.col("to") != "").alias("is_redirect"), F.col("ts").alias("touched"))
@@ -61,5 +61,13 @@ def load(spark: SparkSession, path: str) -> tuple[Graph, Schema]:
     ns_of = F.coalesce(*[F.when(F.lower(F.col("to")).startswith(k + ":"), F.lit(n)) for k, n in PREFIXES.items()], F.lit(MAIN))
     redirect = p.where(F.col("to") != "").select("id", ns_of.alias("ns"), to.alias("title"))
     types = declared("Has_type").select("p_id", "ord", target(F.col("value")).alias("value"))
+    # values of several fields: parts between semicolons, in the order of the declared fields; empty ones and ? are missing
+    cut = lambda c: F.transform(F.split(c, ";"), lambda x: F.trim(x))
+    fields = declared("Has_fields").groupBy("p_id").agg(F.min_by("value", "ord").alias("value")).select("p_id", F.transform(cut(F.col("value")), target).alias("fields"))
+    record_fields = fields.select("p_id", F.explode("fields").alias("field")).groupBy("p_id", "field").agg(F.count(F.lit(1)).alias("n"))
+    held = facts.where(~is_page).join(props, "property").join(fields, "p_id").select(F.col("id").alias("s_id"), "p_id", F.xxhash64("id", "p_id", "ord").alias("record"), F.arrays_zip(cut(F.col("value")).alias("value"), F.col("fields").alias("field")).alias("parts"))
+    records = held.select("s_id", "p_id", "record", F.explode("parts").alias("x")).select("s_id", "p_id", "record", F.when(~F.coalesce(F.col("x.value"), F.lit("")).isin("", "?"), F.col("x.field")).alias("field"))
+    specs = found.where((F.col("ns") == TYPE) & (F.col("property") == "Corresponds_to")).select(F.col("title").alias("type"), F.col("value").alias("spec"))
+    units = types.groupBy("p_id").agg(F.min_by("value", "ord").alias("type")).join(specs, "type").select("p_id", "spec")
     graph = Graph(entity, page, member, rel, att, sub, redirect, p.select("id", "user", "ts"), None)
-    return graph, Schema(types, declared("Has_min_cardinality"), declared("Has_max_cardinality"), pair, pointing("Is_inverse_of"))
+    return graph, Schema(types, declared("Has_min_cardinality"), declared("Has_max_cardinality"), pair, pointing("Is_inverse_of"), record_fields, records, units)
