@@ -1,21 +1,25 @@
 """Quality by an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Characters are code points of the lower-cased text, digits and white space folded; four of 16 bits (larger code
-points are one symbol) make a gram, a long, so contexts and suffixes are shifts and masks in SQL. Words would not
-do here: most words of the corpus occur once.
-
-1. Map tasks count the distinct grams of many documents at once; Spark adds these up, trusted counts apart.
-2. Counts, continuation counts, discounts and context sums are joined, level by level, into the log probability of
-   every gram of the corpus; the joins are sharded by gram, context and suffix.
-3. Map tasks pack which documents hold which grams how often; runs meet the shard of log probabilities that they
-   need, and come back as one partial sum per document and shard, which Spark adds up to perplexities.
-4. In each language the documents between two quantiles of trusted documents are kept. Quantiles are exact over
+Characters are code points of the lower-cased text, digits and white space folded, between opening symbols and an
+end symbol; four of 16 bits (larger code points are one symbol) make a gram, a long, so contexts and suffixes are
+shifts and masks in SQL. Words would not do here: most words of the corpus occur once.
+
+1. Texts are dealt to two halves by hash. A half is scored by the model of the other half's trusted text, so no
+   text, trusted or not, is scored by a model that has seen it or its copies.
+2. Map tasks count the distinct grams of many documents at once; Spark adds these up, trusted counts of each half apart.
+3. Counts, continuation counts, discounts and context sums are joined, level by level, into the log probabilities of
+   every gram of the corpus in both models; the joins are sharded by gram, context and suffix. Below single symbols
+   every symbol is as likely as any other, so probabilities add up to 1 over all of them.
+4. The grams that most documents hold (more than HEAD_DOCS, at most MAX_HEAD of them: 24 MB) are broadcast and added
+   up where the text is. The others meet the shard of log probabilities that they need, packed by document and
+   shard, so no gram of a shard is held by very many documents; partial sums come back to their rows.
+5. In each language the documents between two quantiles of trusted documents are kept. Quantiles are exact over
    log perplexities in steps of 0.0001.
 
 Cases: a null or empty text has perplexity 1 and is not kept; texts are handled whole; a null language is a
-language; rows that share id and language share their mean score; a language without trusted text takes the quantiles of all trusted text, and without any trusted text
-all with text are kept; label rows without document take no part; an empty table
-gives an empty result; extra columns are not carried.
+language; every row has a score of its own, repeated rows and null ids too; a language with few trusted texts takes
+the quantiles of all trusted text, and without any trusted text all with text are kept; label rows without document
+take no part; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,23 +36,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from veracity.checkpoints import materialize
 
 ORDER, SYMBOL_BITS = 4, 16
+#: Fixed choices: symbols of control characters, of the opening and of the end.
+CONTROL, OPENING, END = 1, 2, 3
 #: Trusted ids are broadcast up to this number (some 40 MB), and joined by a shuffle beyond it.
 MAX_BROADCAST_IDS = 1_000_000
-#: Characters that a map task packs at once, grams of a shard, characters of the runs that meet one copy of a shard.
-RUN, SHARD, GROUP = 2_000_000, 1 << 18, 1 << 26
+#: Characters that a map task packs at once, grams of a shard, and gram-document pairs that meet a shard.
+RUN, SHARD, PAIRS = 2_000_000, 1 << 18, 4_000_000
+HEAD_DOCS, MAX_HEAD = 1_000, 1_000_000
 #: Quantiles of trusted documents between which a document is kept.
 LOW, HIGH = 0.002, 0.995
 STEPS = 10_000
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Folded code points after an opening of ORDER - 1 blanks."""
-    c = np.frombuffer(("   " + (text or "").lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where((c >= 9) & (c <= 13) | (c == 0x85) | (c == 0xA0), 32, np.where((c >= 49) & (c <= 57), 48, c))
-    return np.minimum(c, 0xFFFF).astype(np.uint16)
+    """Folded code points between the opening and the end; of an empty text the opening alone."""
+    c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((c >= 9) & (c <= 13) | (c == 0x85) | (c == 0xA0), 32, np.where((c >= 49) & (c <= 57), 48, np.where(c < 32, CONTROL, c)))
+    return np.concatenate([[OPENING] * (ORDER - 1), np.minimum(c, 0xFFFF), [END] * bool(len(c))]).astype(np.uint16)
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,39 +104,51 @@ def _runs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBat
 
 
 def with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, lang, text and whether `trusted` has the id."""
+    """doc_id, lang, text, half (of equal texts the same), and whether `trusted` has the id."""
     ids = materialize(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True)), "trusted")
     side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(side, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"))
+    return rows.join(side, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sums by gram of (gram, numbers...)."""
+    gram, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    return gram[new], *[np.add.reduceat(v[order], new) for v in values]
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """(g, c): every gram of the corpus with its count in trusted text."""
+    """(g, c0, c1, d): every gram of the corpus with its count in the trusted text that scores half 0 or 1, and its number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.Series | None = None
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(s: pd.Series) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(s.index.to_numpy()), pa.array(s.to_numpy())], ["g", "c"])
+        def out() -> pa.RecordBatch:
+            gram, *values = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), *map(pa.array, values)], ["g", "c0", "c1", "d"])
 
         for b in _runs(batches, 0):
             gram, own, count = _grams(b.column(0).to_pylist())
-            count = count * np.array(b.column(1).to_pylist(), np.int64)[own]
-            new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
-            s = pd.Series(np.add.reduceat(count, new), gram[new].view(np.int64)) if len(gram) else pd.Series(dtype=np.int64)
-            held = s if held is None else held.add(s, fill_value=0).astype(np.int64)
-            if len(held) > 2_000_000:
-                yield out(held)
-                held = None
-        if held is not None and len(held):
-            yield out(held)
+            if not len(gram):
+                continue
+            half, trusted = (np.array(b.column(i).to_pylist(), np.int64)[own] for i in (1, 2))
+            held.append((gram, count * trusted * half, count * trusted * (1 - half), np.ones(len(gram), np.int64)))
+            held = [_added(held)]
+            if len(held[0][0]) > 2_000_000:
+                yield out()
+        if held:
+            yield out()
 
-    return rows.select("text", "trusted").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counted = rows.select("text", "half", F.col("trusted").cast("int")).mapInArrow(run, "g long, c0 long, c1 long, d long")
+    return counted.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("c0", "c1", "d")])
 
 
-def _discounts(counts: DataFrame) -> list[float]:
+def _discounts(counts: DataFrame, c: str) -> list[float]:
     """For counts of 1, 2 and more, from how many grams have counts 1 to 4."""
-    n = dict(counts.where("c between 1 and 4").groupBy("c").agg(F.count(F.lit(1))).collect())
+    n = dict(counts.where(f"{c} between 1 and 4").groupBy(c).agg(F.count(F.lit(1))).collect())
     n1, n2, n3, n4 = (float(n.get(i, 0)) for i in range(1, 5))
     if not (n1 and n2 and n3):
         return [0.5, 1.0, 1.5]
@@ -139,89 +158,107 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(g, lp): log probability of each gram's last character after the others."""
+    """(g, lp0, lp1): log probability of each gram's last symbol after the others, in the model that scores half 0 or 1."""
     mask = lambda k: (1 << SYMBOL_BITS * k) - 1
-    context = lambda g: F.shiftrightunsigned(g, SYMBOL_BITS)
-    levels = {ORDER: counts}
+    levels = {ORDER: counts.select("g", "c0", "c1")}
     for k in range(ORDER - 1, 0, -1):  # every suffix that the corpus has, with its number of trusted continuations
-        upper = levels[k + 1]
-        levels[k] = materialize(upper.groupBy(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")), f"level{k}")
-    known = levels[1].where("c > 0").count()
-    lower = levels[1].select("g").withColumn("p", F.lit(1.0 / (known + 1)))
+        one = lambda m: F.sum((F.col(f"c{m}") > 0).cast("long")).alias(f"c{m}")
+        levels[k] = materialize(levels[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).agg(one(0), one(1)), f"level{k}")
+    lower = None
     for k in range(1, ORDER + 1):
-        d = _discounts(levels[k])
-        cut = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = levels[k].select("g", "c", context(F.col("g")).alias("ctx"), cut.alias("d"))
-        sums = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
+        rows = levels[k].withColumn("ctx", F.shiftrightunsigned("g", SYMBOL_BITS))
+        for m in "01":
+            d = _discounts(levels[k], f"c{m}")
+            c = F.col(f"c{m}")
+            rows = rows.withColumn(f"d{m}", F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]))
+        sums = rows.groupBy("ctx").agg(*[F.sum(f"{x}{m}").alias(f"{name}{m}") for m in "01" for x, name in (("c", "total"), ("d", "freed"))])
         rows = rows.join(sums, "ctx")
-        if k == 1:
-            rows = rows.join(lower, "g")
+        if lower is None:
+            rows = rows.withColumns({f"p{m}": F.lit(1.0 / (1 << SYMBOL_BITS)) for m in "01"})
         else:
             rows = rows.withColumn("suffix", F.col("g").bitwiseAND(F.lit(mask(k - 1)))).join(lower.withColumnRenamed("g", "suffix"), "suffix")
-        p = F.when(F.col("total") > 0, ((F.col("c") - F.col("d")) + F.col("freed") * F.col("p")) / F.col("total")).otherwise(F.col("p"))
-        lower = materialize(rows.select("g", p.alias("p")), f"p{k}")
-    return lower.select("g", F.log("p").alias("lp"))
+        p = lambda m: F.when(F.col(f"total{m}") > 0, (F.col(f"c{m}") - F.col(f"d{m}") + F.col(f"freed{m}") * F.col(f"p{m}")) / F.col(f"total{m}")).otherwise(F.col(f"p{m}"))
+        lower = materialize(rows.select("g", *[p(m).alias(f"p{m}") for m in "01"]), f"p{k}")
+    return lower.select("g", *[F.log(f"p{m}").alias(f"lp{m}") for m in "01"])
 
 
 def _shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
     return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Byte planes of whole numbers of one length, compressed."""
-    planes = [a.astype("<u8" if a.dtype.itemsize > 4 else "<u4").view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, at, out = len(body) // sum(widths), 0, []
-    for w in widths:
-        out.append(body[at : at + n * w].reshape(w, n).T.copy().view(f"<u{w}").ravel())
-        at += n * w
-    return out
-
-
-RUNS = "shard int, grp int, doc_id array<long>, lang array<string>, trusted array<boolean>, run binary"
-SUMS = "shard int, doc_id long, lang string, trusted boolean, n long, lp double"
-
-
-def perplexities(rows: DataFrame, model: DataFrame, shards: int, groups: int) -> DataFrame:
-    """doc_id, lang, trusted, n (characters) and lp (sum of log probabilities) of each row."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 2):
-            gram, own, count = _grams(b.column(2).to_pylist())
+def _pack(names: np.ndarray, gram: np.ndarray, own: np.ndarray, count: np.ndarray) -> bytes:
+    """Some rows' grams: names of the rows, and gram, place of the row and count, byte plane by byte plane, compressed."""
+    planes = [a.astype(t).view(np.uint8).reshape(len(a), -1).T.tobytes() for a, t in ((np.diff(gram, prepend=np.uint64(0)), "<u8"), (own, "<u4"), (count, "<u4"))]
+    return np.array([len(names)], "<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(names.astype("<i8").tobytes() + b"".join(planes))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, "<i8", 1)[0])
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8)
+    m, at, out = (len(body) - 8 * n) // 16, 8 * n, [body[: 8 * n].view("<i8")]
+    for w in (8, 4, 4):
+        out.append(body[at : at + m * w].reshape(w, m).T.copy().view(f"<u{w}").ravel())
+        at += m * w
+    return [out[0], out[1].cumsum(dtype=np.uint64), *out[2:]]
+
+
+PARTS = "row long, doc_id long, lang string, trusted boolean, n long, lp double, shard int, run binary"
+
+
+def perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """doc_id, lang, trusted, n (symbols scored) and lp (sum of log probabilities) of each row. `model`: (g, lp0, lp1, d)."""
+    often = model.where(F.col("d") > HEAD_DOCS).orderBy(F.desc("d")).limit(MAX_HEAD + 1).toArrow()  # bounded by MAX_HEAD
+    cut = HEAD_DOCS + 1 if often.num_rows <= MAX_HEAD else often.column("d").to_numpy().min() + 1
+    often = often.filter(pc.greater_equal(often.column("d"), int(cut))).sort_by("g")
+    grams = often.column("g").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    head = rows.sparkSession.sparkContext.broadcast((grams[order], np.stack([often.column(c).to_numpy()[order] for c in ("lp0", "lp1")])))
+    tail = model.where(F.col("d") < int(cut))
+    kinds, pairs = tail.agg(F.count(F.lit(1)), F.coalesce(F.sum("d"), F.lit(0))).first()
+    shards = max(1, -(-kinds // SHARD), -(-pairs // PAIRS))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = head.value
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        for b in _runs(batches, 3):
+            gram, own, count = _grams(b.column(3).to_pylist())
+            half = np.array(b.column(5).to_pylist(), np.int64)
+            at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+            hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+            lp = np.bincount(own[hit], count[hit] * values[half[own[hit]], at[hit]], b.num_rows).astype(float)
+            n = np.bincount(own, count, b.num_rows).astype(np.int64)
+            none = lambda t, size=b.num_rows: pa.nulls(size, t)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in (0, 1, 2, 4)], pa.array(n), pa.array(lp), none(pa.int32()), none(pa.binary())], names)
+            gram, own, count = gram[~hit], own[~hit], count[~hit]
             shard = _shard_of(gram, shards)
-            head = [pa.array([b.column(i).to_pylist()], t) for i, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.string())), (3, pa.list_(pa.bool_())))]
-            group = int(gram[:1000].sum() % np.uint64(groups)) if len(gram) else 0
-            for s in range(shards):
-                at = shard == s
-                run = _pack([np.diff(gram[at], prepend=np.uint64(0)), own[at].astype(np.uint32), count[at].astype(np.uint32)])
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([group], pa.int32()), *head, pa.array([run], pa.binary())], [x.split()[0] for x in RUNS.split(", ")])
-
-    def add(runs: pa.Table, values: pa.Table) -> pa.Table:
-        grams = values.column("g").to_numpy().view(np.uint64)
+            row = np.array(b.column(0).to_pylist(), np.int64) * 2 + half
+            inside = np.argsort(shard, kind="stable")
+            firsts = np.flatnonzero(np.diff(shard[inside], prepend=-1))
+            blobs = []
+            for part in np.split(inside, firsts[1:]) if len(firsts) else ():
+                owners, place = np.unique(own[part], return_inverse=True)
+                blobs.append(_pack(row[owners], gram[part], place, count[part]))
+            size = len(blobs)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.float64())], pa.array(shard[inside][firsts], pa.int32()), pa.array(blobs, pa.binary())], names)
+
+    def add(runs: pa.Table, part: pa.Table) -> pa.Table:
+        grams = part.column("g").to_numpy().view(np.uint64)
         order = np.argsort(grams)
-        grams, lp = grams[order], values.column("lp").to_numpy()[order]
-        parts = []
-        for r in runs.to_pylist():
-            gram, own, count = _unpack(r["run"], (8, 4, 4))
-            gram = gram.cumsum(dtype=np.uint64)
-            n = len(r["doc_id"])
-            new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, bool)
-            value = lp[np.searchsorted(grams, gram[new])][np.cumsum(new) - 1] if len(gram) else np.zeros(0)
-            parts.append(pa.table({
-                "shard": pa.array(np.full(n, r["shard"]), pa.int32()), "doc_id": pa.array(r["doc_id"], pa.int64()), "lang": pa.array(r["lang"], pa.string()),
-                "trusted": pa.array(r["trusted"], pa.bool_()),
-                "n": pa.array(np.bincount(own, count, n).astype(np.int64)), "lp": pa.array(np.bincount(own, count * value, n)),
-            }))
-        return pa.concat_tables(parts) if parts else pa.table({x.split()[0]: [] for x in SUMS.split(", ")})
-
-    runs = rows.select("doc_id", "lang", "text", "trusted").mapInArrow(pack, RUNS)
-    values = model.withColumn("shard", _shard_column(F.col("g"), shards)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    parts = runs.groupBy("shard", "grp").cogroup(values.groupBy("shard", "grp")).applyInArrow(add, SUMS)
-    return parts
+        grams, values = grams[order], np.stack([part.column(c).to_numpy()[order] for c in ("lp0", "lp1")])
+        out = []
+        for r in runs.column("run"):
+            names, gram, own, count = _unpack(r.as_py())
+            lp = np.bincount(own, count * values[(names & 1)[own], np.searchsorted(grams, gram)], len(names)).astype(float)
+            out.append(pa.table({"row": pa.array(names >> 1), "tail": pa.array(lp)}))
+        return pa.concat_tables(out) if out else pa.table({"row": pa.array([], pa.int64()), "tail": pa.array([], pa.float64())})
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text", "trusted", "half")
+    parts = materialize(numbered.mapInArrow(score, PARTS), "scores")
+    values = tail.withColumn("shard", _shard_column(F.col("g"), shards)).select("shard", "g", "lp0", "lp1")
+    met = parts.where("shard is not null").select("shard", "run").groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(add, "row long, tail double")
+    sums = met.groupBy("row").agg(F.sum("tail").alias("tail"))
+    whole = parts.where("row is not null").join(sums, "row", "left")
+    return whole.select("doc_id", "lang", "trusted", "n", (F.col("lp") + F.coalesce("tail", F.lit(0.0))).alias("lp"))
 
 
 def _shard_column(g: Column, shards: int) -> Column:
@@ -250,17 +287,12 @@ def quantiles(scored: DataFrame, low: float = LOW, high: float = HIGH) -> DataFr
 
 
 def quality(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, lang, n_chars scored, perplexity, lo, hi (of its language) and keep, a row for each row of `docs`."""
+    """doc_id, lang, n_scored, perplexity, lo, hi (of its language) and keep, a row for each row of `docs`."""
     rows = with_trust(docs, trusted)
     counts = materialize(gram_counts(rows), "grams")
-    total = counts.count()
-    characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    model = log_probabilities(counts)
-    parts = perplexities(rows, model, max(1, -(-total // SHARD)), max(1, -(-characters // GROUP)))
-    # rows that repeat add up here and are shared out again
-    whole = parts.groupBy("doc_id", "lang", "trusted").agg(F.count_if(F.col("shard") == 0).alias("times"), F.sum("n").alias("n"), F.sum("lp").alias("lp"))
-    whole = whole.withColumn("step", F.round(-F.col("lp") / F.when(F.col("n") > 0, F.col("n")) * STEPS).cast("long"))
-    whole = materialize(whole.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("__i"), "scored")
+    model = materialize(log_probabilities(counts).join(counts.select("g", "d"), "g"), "model")
+    step = F.round(-F.col("lp") / F.when(F.col("n") > 0, F.col("n")) * STEPS).cast("long")
+    whole = materialize(perplexities(rows, model).withColumn("step", step), "scored")
     q = quantiles(whole, low, high)
     every = q.where("l = '*'").select(F.col("lo").alias("lo_all"), F.col("hi").alias("hi_all")).first()
     lo_all, hi_all = (every["lo_all"], every["hi_all"]) if every else (None, None)
