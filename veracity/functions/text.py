@@ -52,3 +52,30 @@ def iso_time(c: Column) -> Column:
 
 def payload(value: Column, value_int: Column) -> Column:
     return F.coalesce(F.when(value != "", value), value_int.cast("string"))
+
+
+def number_and_unit(c: Column) -> Column:
+    """struct(value double, unit string) of texts like `1,234.5 km`: commas between digits group thousands."""
+    number = F.regexp_extract(c, r"^\s*([+-]?[\d,]*\.?\d+(?:[eE][+-]?\d+)?)", 1)
+    return F.struct(F.regexp_replace(number, ",", "").try_cast("double").alias("value"), F.trim(F.regexp_replace(c, r"^\s*[+-]?[\d,]*\.?\d+(?:[eE][+-]?\d+)?", "")).alias("unit"))
+
+
+def converted(c: Column, factor: Column) -> Column:
+    """The number of a text in the base unit: divided by how many of its unit make one base unit."""
+    return number_and_unit(c)["value"] / F.when(factor != 0, factor)
+
+
+def factor_of(spec: Column) -> Column:
+    """The number before a conversion text's first blank."""
+    return F.regexp_extract(F.trim(spec), r"^(\S+)\s", 1).try_cast("double")
+
+
+def has_suffix(c: Column, suffix: str) -> Column:
+    """Whether a type's id ends with the suffix."""
+    return F.right(c, F.lit(len(suffix))) == suffix
+
+
+def links_of(titles: Column) -> Column:
+    """Titles between semicolons as links, in order."""
+    kept = F.filter(F.transform(F.split(titles, ";"), lambda t: F.trim(t)), lambda t: t != "")
+    return F.transform(kept, lambda t: F.concat(F.lit("[["), t, F.lit("]]")))

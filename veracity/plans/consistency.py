@@ -178,6 +178,19 @@ def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: Dat
     return facts.join(under.select("root", F.col("node").alias("p_id")), "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def instances_using(g: Graph, p_id: int, categories: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(s_id): members of the categories (node) and of those below them that have a value of the property."""
+    under = below(g.category_graph(), categories, max_depth).select(F.col("node").alias("id")).distinct()
+    titles = g.page.where(F.col("ns") == CATEGORY).join(under, "id", "left_semi").select(F.col("title").alias("category"))
+    members = g.member.join(titles, "category", "left_semi").select(F.col("id").alias("s_id")).distinct()
+    return members.join(g.facts.where(F.col("p_id") == p_id), "s_id", "left_semi")
+
+
+def lacking(instances: DataFrame, facts: DataFrame, property_graph: DataFrame, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(p_id, s_id) of the instances (p_id, s_id) without a value of the property or of one below it."""
+    return instances.join(instance_counts(facts, property_graph, properties, max_depth), ["p_id", "s_id"], "left_anti").select("p_id", "s_id")
+
+
 def bounds(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(p_id, lo, hi): own bounds, or else the inherited ones."""
     out = properties.select("p_id")
@@ -194,16 +207,18 @@ def cardinality_breaches(counts: DataFrame, limits: DataFrame) -> DataFrame:
     return both.select("p_id", "s_id", (F.col("lo") - F.col("n")).alias("low"), (F.col("n") - F.col("hi")).alias("high")).where("low > 0 or high > 0")
 
 
-def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Too few or too many values, and none at all where the members of a domain need some."""
+def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None, instances: DataFrame | None = None) -> DataFrame:
+    """Too few or too many values, and none at all where the members of a domain need some; of some instances (id) only, if given."""
     limits = bounds(graph, schema, properties, max_depth)
-    counts = instance_counts(g.facts, graph, properties, max_depth)
+    facts = g.facts if instances is None else g.facts.join(instances.withColumnRenamed("id", "s_id"), "s_id", "left_semi")
+    counts = instance_counts(facts, graph, properties, max_depth)
     breach = cardinality_breaches(counts, limits)
     need = limits.where("lo > 0").join(schema.pairs.where("domain is not null").select("p_id", F.col("domain").alias("node")).distinct(), "p_id")
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("node"), F.col("title").alias("category"))
     under = below(g.category_graph(), need.select("node").distinct(), max_depth)
     members = need.join(under.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").join(g.member, "category")
     members = members.join(g.page.where(F.col("ns") != CATEGORY).select("id"), "id", "left_semi").select("p_id", F.col("id").alias("s_id"), "lo").distinct()
+    members = members if instances is None else members.join(instances.withColumnRenamed("id", "s_id"), "s_id", "left_semi")
     none = members.join(counts.select("p_id", "s_id"), ["p_id", "s_id"], "left_anti")
     return union(
         issues(breach.where("low > 0"), BOT, "too_low_card", "s_id", "p_id", "low"),

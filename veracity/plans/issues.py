@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracity.functions.text import payload
+from veracity.functions.text import payload, xml_escape
 from veracity.model import CATEGORY, CODES, Graph
 from veracity.operators.closure import reach
 from veracity.operators.filters import all_of, equals, one_of, page_of, signed_class
@@ -79,3 +79,41 @@ def propagated(g: Graph, table: DataFrame, domains: DataFrame, max_depth: int |
     of_members = g.member.join(bad, "id", "left_semi").join(cats, "category").select("node")
     of_properties = domains.join(bad.withColumnRenamed("id", "p_id"), "p_id", "left_semi").select(F.col("category_id").alias("node"))
     return reach(g.category_graph(), max_depth, True, of_members.unionByName(of_properties).distinct()).select(F.col("dst").alias("id")).distinct()
+
+
+#: What an issue says; {1} and {2} are titles, {v} is the value.
+MESSAGES = {
+    10305: "{1} points by {2} to {v}, which is outside its range", 10306: "{1} is outside the domain of {2}", 10307: "{1} has {v} values of {2} too few", 10308: "{1} has {v} values of {2} too many",
+    10309: "{1} uses {v}, which is no unit of {2}", 10311: "{1} has no value of {2} but needs {v}", 10501: "{1} lies on a cycle: {v}", 30001: "{1} has no category", 30102: "{2} uses {1}, which has no page",
+    30203: "{2} is in {v}, which has no page", 30304: "{2} leads to {v}, which has no page", 50001: "{1} has no annotation", 60001: "{1} has no members", 60101: "{1} has {v} subcategories", 20001: "{1} and {2} have similar names",
+}
+
+
+def described(table: DataFrame, titles: DataFrame) -> DataFrame:
+    """Adds `message`: what the issue says with the titles (id, title) of its entities, or its code where nothing is said."""
+    named = table
+    for i in (1, 2):
+        named = named.join(titles.select(F.col("id").alias(f"p{i}_id"), F.col("title").alias(f"__t{i}")), f"p{i}_id", "left")
+    text = F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("code"))
+    for mark, c in (("{1}", F.col("__t1")), ("{2}", F.col("__t2")), ("{v}", payload(F.col("value"), F.col("value_int")))):
+        text = F.replace(text, F.lit(mark), F.coalesce(c, F.lit("")))
+    return named.withColumn("message", F.coalesce(text, F.col("code").cast("string"))).select(*table.columns, "message")
+
+
+def overlay(rows: DataFrame, table: DataFrame, **filters: object) -> DataFrame:
+    """Rows (s_id, p_id, ...) with `issues`: the sorted codes of issues about this subject and property."""
+    found = table.where(condition(**filters)).groupBy(F.col("p1_id").alias("s_id"), F.col("p2_id").alias("p_id")).agg(F.array_sort(F.collect_set("code")).alias("issues"))
+    return rows.join(found, ["s_id", "p_id"], "left").withColumn("issues", F.coalesce("issues", F.array().cast("array<int>")))
+
+
+def as_xml(table: DataFrame, titles: DataFrame) -> DataFrame:
+    """(p1_id, xml): an entity's issues of all bots as one element, by bot and code."""
+    rows = described(table, titles).withColumn("line", F.concat(F.lit('<issue bot="'), F.col("bot"), F.lit('" code="'), F.col("code"), F.lit('">'), xml_escape(F.col("message")), F.lit("</issue>")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bot", "code", "p2_id", "line"))), lambda x: x["line"]), "")
+    return rows.groupBy("p1_id").agg(F.concat(F.lit("<issues>"), lines, F.lit("</issues>")).alias("xml"))
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that only one of two tables has, once each, with `added` telling which."""
+    rows = lambda a, b, added: a.distinct().exceptAll(b.distinct()).withColumn("added", F.lit(added))
+    return rows(after, before, True).unionByName(rows(before, after, False))

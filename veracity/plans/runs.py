@@ -50,3 +50,12 @@ def retained(log: DataFrame, now: str) -> DataFrame:
 
 def as_json(log: DataFrame) -> DataFrame:
     return log.select("id", F.to_json(F.struct(*log.columns)).alias("json"))
+
+
+def newest_first(log: DataFrame) -> DataFrame:
+    return log.orderBy(F.desc("id"))
+
+
+def log_page(log: DataFrame) -> DataFrame:
+    """(id, title): the name of each run's page, of its analyzer and start."""
+    return log.select("id", F.concat_ws(" ", "bot", F.date_format("started", "yyyy-MM-dd HH:mm:ss")).alias("title"))

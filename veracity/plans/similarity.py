@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracity.model import MAIN, PROPERTY
+from veracity.model import PROPERTY
 from veracity.operators.edit_join import similar_titles
 
 
@@ -36,7 +36,8 @@ def similar_entities(names: DataFrame, degree: int = 1, limit: int = 100, least:
         pairs = shared_values(pairs, values[kind], kind) if values and kind in values else pairs.withColumn(kind, F.array().cast("array<string>"))
     affix = lambda c: F.lower(c).rlike("^has|of$")
     ns = F.when(F.col("ns1") == F.col("ns2"), F.col("ns1"))
-    found = pairs.withColumn("score", score(ns, F.lit(float(degree)), *[F.size(k) for k in shares], affix(F.col("a")) != affix(F.col("b"))))
+    pairs = pairs.withColumn("one_affix", affix(F.col("a")) != affix(F.col("b")))
+    found = pairs.withColumn("score", score(ns, F.lit(float(degree)), *[F.size(k) for k in shares], F.col("one_affix")))
     return found.where(F.col("score") > least).orderBy(F.desc("score"), "a", "b", "id1", "id2").limit(limit)
 
 
@@ -44,7 +45,3 @@ def similar_annotations(facts: DataFrame, properties: DataFrame, term: str, degr
     """(s_id, name, distance) of facts with a property (p_id, name) whose name is within `degree` edits of the term."""
     near = properties.withColumn("distance", F.levenshtein(F.upper("name"), F.lit(term.upper()), degree)).where("distance >= 0")
     return facts.join(near, "p_id").select("s_id", "name", "distance").distinct()
-
-
-def main_only(names: DataFrame) -> DataFrame:
-    return names.where(F.col("ns") == MAIN)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veracity.model import CATEGORY, IMAGE, MAIN, PROPERTY, Graph
+from veracity.model import CATEGORY, IMAGE, MAIN, PROPERTY, TEMPLATE, Graph
 from veracity.operators.closure import descendants
 from veracity.operators.filters import text_match
 
@@ -98,13 +98,40 @@ def subcategory_anomalies(g: Graph, roots: DataFrame | None = None, max_depth: i
 
 def template_pages(g: Graph, touched_after: str | None = None, template: str | None = None) -> DataFrame:
     """(id, template) of pages that use templates, of those touched after a time."""
-    templates = g.page.where(F.col("ns") == 10)
+    templates = g.page.where(F.col("ns") == TEMPLATE)
     if touched_after is not None:
         templates = templates.where(F.col("touched") > F.lit(touched_after).cast("timestamp"))
     uses = g.template_use if template is None else g.template_use.where(F.col("template") == template)
     return uses.join(templates.select(F.col("title").alias("template")), "template", "left_semi").select("id", "template").distinct()
 
 
+def template_use_count(g: Graph, template: str | None = None) -> DataFrame:
+    """(n): uses of templates that have pages, each use counted."""
+    uses = g.template_use if template is None else g.template_use.where(F.col("template") == template)
+    return uses.join(g.page.where(F.col("ns") == TEMPLATE).select(F.col("title").alias("template")), "template").agg(F.count(F.lit(1)).alias("n"))
+
+
+def leaves_to_remove(g: Graph, roots: DataFrame | None = None, max_depth: int = 10) -> DataFrame:
+    """(id, parent): categories without members, with the categories that lose them. A plan only; nothing is changed."""
+    leaves = category_leaves(g, roots, max_depth).select("id")
+    return leaves.join(g.category_graph().select(F.col("src").alias("id"), F.col("dst").alias("parent")), "id", "left")
+
+
+def without_undefined_links(texts: DataFrame, g: Graph) -> DataFrame:
+    """(id, text): wikitexts (id, text) of pages in undefined categories, without the links to these."""
+    bad = g.member.join(undefined_categories(g), "category", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("bad"))
+    link = lambda c: F.concat(F.lit(r"(?i)\[\[\s*category\s*:\s*\Q"), F.replace(c, F.lit("_"), F.lit(" ")), F.lit(r"\E\s*(\|[^\]]*)?\]\]"))
+    return texts.join(bad, "id").select("id", F.aggregate("bad", F.col("text"), lambda t, c: F.regexp_replace(t, link(c), F.lit(""))).alias("text"))
+
+
+def files_by_extension(files: DataFrame, extensions: list[str], name: str = "name") -> DataFrame:
+    """Files whose names end in one of the extensions, in any case, by name."""
+    ends = F.lit(False)
+    for e in extensions:
+        ends = ends | F.lower(name).endswith("." + e.lower().lstrip("."))
+    return files.where(ends).orderBy(name)
+
+
 def comparable_titles(g: Graph) -> DataFrame:
     """Names that the similarity analysis compares: no redirects, images or internal names."""
     return g.page.where(~F.col("is_redirect") & (F.col("ns") != IMAGE) & ~F.col("title").like("Smw%")).select("id", "ns", F.col("title").alias("name"))

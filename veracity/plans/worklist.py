@@ -71,3 +71,8 @@ def recommend(issues: DataFrame, revisions: DataFrame, member: DataFrame, user:
         if not found.isEmpty():
             return found.select("p1_id")
     return issues.select("p1_id").distinct().orderBy("p1_id").limit(limit)
+
+
+def sample(issues: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n entities with issues, drawn at random by seed."""
+    return issues.select("p1_id").distinct().orderBy(F.xxhash64("p1_id", F.lit(seed)), "p1_id").limit(n)

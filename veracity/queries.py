@@ -8,14 +8,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.functions.text import first_upper, is_cardinality, leading_int, title_key, units_of, xml_escape, xml_id
+from veracity.functions.text import converted, factor_of, first_upper, links_of, number_and_unit, is_cardinality, leading_int, title_key, units_of, xml_escape, xml_id
 from veracity.model import CATEGORY, CODES
 from veracity.operators.closure import closure, cycles, descendants, nearest_values, reach
 from veracity.operators.edit_join import similar_pairs
 from veracity.operators.filters import page_of, text_match
 from veracity.plans import consistency as C
-from veracity.plans import runs, similarity, undefined, worklist
-from veracity.plans.issues import condition, containers, distinct_entities, issues, listed, marked_modified, visible, without
+from veracity.plans import analyzers, runs, similarity, undefined, worklist
+from veracity.plans.issues import as_xml, changed, condition, containers, described, distinct_entities, issues, listed, marked_modified, overlay, visible, without
 from veracity.sources.star import CUSTOMER, KIND, NATION, ORDER, PROP, PROPERTIES, REGION, SUPPLIER, graph, ident, mod_graph, part_schema, prop, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,3 +436,83 @@ def annotation_violations(spark, d):
 def export_texts(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", F.array_join(units_of(F.lit("1000 g, gram")), "|").alias("units"), xml_escape(F.col("c_name")).alias("safe"), xml_id(F.col("c_name")).alias("id"))
+
+
+@query(f"""with c as (select c_mktsegment as category, c_custkey + {CUSTOMER * KIND} as id, row_number() over (partition by c_mktsegment order by c_custkey) as n from customer),
+p as (select event_id from events order by event_id limit 10), u as (select distinct user_id from events)
+select 30203 as code, -1::bigint as p1_id, id as p2_id, category as value from c where n <= 10 union all select 30102, {prop('acted_by')}::bigint, event_id, 'acted_by' from p
+union all select 30304, user_id + {7 * KIND}, {prop('acted_by')}::bigint, 'user:' || user_id from u union all select 30001, o_orderkey + {ORDER * KIND}, -1, null from orders union all select 30001, p_partkey + {5 * KIND}, -1, null from part""")
+def undefined_issues(spark, d):
+    return analyzers.run("undefined", graph(spark, d), None, "usages=10").select("code", "p1_id", "p2_id", "value")
+
+
+@query(f"select 50001 as code, s_suppkey + {4 * KIND} as p1_id from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
+def missing_annotation_issues(spark, d):
+    return analyzers.run("missing", graph(spark, d), None, '#json:{"category": "ASIA"}').where("code = 50001").select("code", "p1_id")
+
+
+@query(f"""select 60001 as code, n_nationkey + {NATION * KIND} as p1_id, null::int as value_int from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA' and n_nationkey not in (select s_nationkey from supplier where s_acctbal > 9000)
+union all select 60101, r_regionkey + {REGION * KIND}, count(*)::int from region join nation on r_regionkey = n_regionkey where r_name = 'ASIA' and n_nationkey in (select n_nationkey from nation where n_name > 'NATION_2') group by r_regionkey having count(*) < 2 or count(*) > 8""")
+def anomaly_issues(spark, d):
+    """Below one region, of which some nations are left, with rich suppliers as their only members."""
+    g = graph(spark, d)
+    nation = table(spark, d, "nation")
+    inside = nation.where("n_name > 'NATION_2'").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(ident(NATION, "n_nationkey"), F.col("r_name").alias("category"))
+    rest = nation.where("n_name <= 'NATION_2'").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(ident(NATION, "n_nationkey"), F.col("r_name").alias("category"))
+    rich = table(spark, d, "supplier").where("s_acctbal > 9000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(ident(SUPPLIER, "s_suppkey"), F.col("n_name").alias("category"))
+    g.member = inside.unionByName(rest).unionByName(rich)
+    leaves = analyzers.run("anomalies", g, None, {"category": "ASIA"}).where("code = 60001")
+    g.member = inside.unionByName(rich)
+    return leaves.unionByName(analyzers.run("anomalies", g, None, {"category": "ASIA"}).where("code = 60101")).select("code", "p1_id", "value_int")
+
+
+@query("select distinct 40001 as code, doc_id as p1_id from documents where source is not null")
+def template_issues(spark, d):
+    return analyzers.run("templates", graph(spark, d), None, {"touched_after": "2023-12-31"}).select("code", "p1_id")
+
+
+@query("select count(*) as n from documents where source is not null")
+def template_use_count(spark, d):
+    return undefined.template_use_count(graph(spark, d))
+
+
+@query(f"select distinct c_custkey + {CUSTOMER * KIND} as s_id from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
+def instances_using_property(spark, d):
+    g = graph(spark, d)
+    return C.instances_using(g, prop("has_balance"), g.page.where("title = 'ASIA'").select(F.col("id").alias("node")))
+
+
+@query("with i as (select 'consistency' as bot, case when count(*) < 2 then 10307 else 10308 end as code, l_orderkey as id, count(*) as n from lineitem group by l_orderkey having count(*) < 2 or count(*) > 8) select id as p1_id, 'order ' || id || ' has ' || n || ' values of  too ' || case code when 10307 then 'few' else 'many' end as message from i")
+def issue_messages(spark, d):
+    titles = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("title"))
+    return described(_anomalies(spark, d).where("bot = 'consistency'"), titles).select("p1_id", "message")
+
+
+@query("with i as (select case when count(*) < 2 then 10307 else 10308 end as code, l_orderkey as id, count(*) as n from lineitem group by l_orderkey having count(*) < 2 or count(*) > 8) select id as p1_id, '<issues><issue bot=\"consistency\" code=\"' || code || '\">' || ' has ' || n || ' values of  too ' || case code when 10307 then 'few' else 'many' end || '</issue></issues>' as xml from i")
+def issue_xml(spark, d):
+    none = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("title"))
+    return as_xml(_anomalies(spark, d).where("bot = 'consistency'"), none)
+
+
+@query("with i as (select l_orderkey, count(*) as n from lineitem group by 1) select o_orderkey as s_id, -1::bigint as p_id, case when n < 2 then '10307' when n > 8 then '10308' else '' end as issues from orders left join i on l_orderkey = o_orderkey")
+def issue_overlay(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("s_id"), F.lit(-1).cast("long").alias("p_id"))
+    return overlay(rows, _anomalies(spark, d), bot="consistency").withColumn("issues", F.array_join("issues", ","))
+
+
+@query("select distinct l_partkey as part, true as added from lineitem where l_returnflag = 'R' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'A') union all select distinct l_partkey, false from lineitem where l_returnflag = 'A' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'R')")
+def changed_rows(spark, d):
+    parts = lambda flag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("part"))
+    return changed(parts("A"), parts("R"))
+
+
+@query("with r as (select event_id as id, event_type as bot, ts from events) select id, bot || ' ' || strftime(ts, '%Y-%m-%d %H:%M:%S') as title from r order by id desc limit 50")
+def run_pages(spark, d):
+    return runs.log_page(runs.newest_first(_log(spark, d))).orderBy(F.desc("id")).limit(50)
+
+
+@query("select p_partkey, p_size::double * 1000 as value, 'g' as unit, p_size::double as kilos, '[[' || p_brand || ']],[[' || p_type || ']]' as links from part")
+def quantities(spark, d):
+    p = table(spark, d, "part")
+    text = F.concat(F.col("p_size"), F.lit(",000.0 g"))
+    return p.select("p_partkey", number_and_unit(text)["value"].alias("value"), number_and_unit(text)["unit"].alias("unit"), converted(text, factor_of(F.lit("1000 g, gram"))).alias("kilos"), F.array_join(links_of(F.concat_ws("; ", "p_brand", "p_type", F.lit(""))), ",").alias("links"))
