@@ -2,12 +2,13 @@
 
 `mux` stores a payload as a programme of one private elementary stream: PAT and PMT at each random-access
 point, one PES packet with a time stamp per access unit, split into packets of 188 bytes. `demux` parses the
-program tables (checksums included), checks continuity counters per PID, reassembles the PES packets and
-returns payload, time stamps and random-access points.
+program tables (checksums included, also of sections that span packets), checks continuity counters per PID (a
+packet sent twice is taken once, a jump is no error where the packet announces it), reassembles the PES packets
+(those without a length end where the next begins) and returns payload, time stamps and random-access points.
 
 Cases: a null text is empty and is stored as one padded unit; equal texts give equal bytes; texts of any length
 are handled whole, one row at a time in memory; null ids and repeated rows pass through; an empty table gives
-an empty result; damage is reported (`errors`), bytes without a sync byte raise ValueError.
+an empty result; damage is counted (`errors`) and never raises, but bytes without sync bytes raise ValueError.
 """
 
 from __future__ import annotations
@@ -125,17 +126,47 @@ class Stream:
     errors: int = 0  # broken counters, checksums and lengths
 
 
-def _sections(packets: np.ndarray, pid: np.ndarray, want: int) -> Iterator[bytes]:
-    for i in np.flatnonzero((pid == want) & ((packets[:, 1] & 0x40) > 0)):
-        body = packets[i, 4:].tobytes()
-        if packets[i, 3] & 0x20:
-            body = body[1 + body[0] :]
-        body = body[1 + body[0] :]
-        yield body[: 3 + (struct.unpack(">H", body[1:3])[0] & 0x0FFF)]
+def _sections(parts: list[tuple[bool, bytes]]) -> Iterator[bytes]:
+    """Whole sections from the payloads of a PID's packets, each with whether a section begins in it; cut-off ones are left out."""
+    held: bytes | None = None
+    for begins, data in parts:
+        if begins:
+            if not data or data[0] >= len(data):
+                held = None
+                continue
+            if held is not None:
+                held += data[1 : 1 + data[0]]
+                if len(held) >= 3 and len(held) >= (size := 3 + (struct.unpack(">H", held[1:3])[0] & 0x0FFF)):
+                    yield held[:size]
+            held, data = b"", data[1 + data[0] :]
+        if held is None:
+            continue
+        held += data
+        while len(held) >= 3 and held[0] != 0xFF and len(held) >= (size := 3 + (struct.unpack(">H", held[1:3])[0] & 0x0FFF)):
+            yield held[:size]
+            held = held[size:]
+
+
+def _usable(packets: np.ndarray, pid: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where each packet's payload begins, which packets have one to take, and the number of errors found in headers and counters."""
+    adapted = (packets[:, 3] & 0x20) > 0
+    start = np.where(adapted, 5 + packets[:, 4].astype(np.int32), 4)
+    broken = ((packets[:, 1] & 0x80) > 0) | (start > PACKET)
+    jump = adapted & (packets[:, 4] > 0) & ((packets[:, 5] & 0x80) > 0)
+    take = ((packets[:, 3] & 0x10) > 0) & ~broken
+    errors = int(broken.sum())
+    for p in np.unique(pid[take & (pid != 0x1FFF)]):
+        at = np.flatnonzero(take & (pid == p))
+        step = np.diff(packets[at, 3].astype(np.int16) & 15) & 15
+        twice = (step == 0) & (packets[at[1:], 4:] == packets[at[:-1], 4:]).all(1)
+        twice[1:] &= ~twice[:-1]  # a packet may be sent twice, not more
+        errors += int(((step != 1) & ~twice & ~jump[at[1:]]).sum())
+        take[at[1:][twice]] = False
+    return start, take, errors
 
 
 def demux(media: bytes) -> Stream:
-    """Parses what `mux` or another writer of single-section tables made."""
+    """Parses a transport stream: the first elementary stream of its programmes."""
     out = Stream()
     if not media:
         return out
@@ -145,43 +176,52 @@ def demux(media: bytes) -> Stream:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("lost sync")
     pid = ((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]
-    carries = (packets[:, 3] & 0x10) > 0
-    for p in np.unique(pid[carries]):
-        counter = packets[carries & (pid == p), 3].astype(np.int16) & 15
-        out.errors += int((np.diff(counter) & 15 != 1).sum())
+    start, take, out.errors = _usable(packets, pid)
+    begins_unit = (packets[:, 1] & 0x40) > 0
+    parts = lambda p: [(bool(begins_unit[i]), packets[i, start[i] :].tobytes()) for i in np.flatnonzero(take & (pid == p))]
+
+    def tables(p: int, table_id: int, least: int) -> Iterator[bytes]:
+        for s in _sections(parts(p)):
+            if section_crc(s):
+                out.errors += 1
+            elif s[0] == table_id and len(s) >= least:
+                yield s
+
     programs: dict[int, int] = {}
-    for s in _sections(packets, pid, PAT_PID):
-        out.errors += section_crc(s) != 0
-        programs.update((n, p & 0x1FFF) for n, p in struct.iter_unpack(">HH", s[8:-4]) if n)
+    for s in tables(PAT_PID, 0x00, 12):
+        programs.update((n, p & 0x1FFF) for n, p in struct.iter_unpack(">HH", s[8 : len(s) - 4 - len(s) % 4]) if n)
     for pmt in dict.fromkeys(programs.values()):
-        for s in _sections(packets, pid, pmt):
-            out.errors += section_crc(s) != 0
+        for s in tables(pmt, 0x02, 16):
             at = 12 + (struct.unpack(">H", s[10:12])[0] & 0x0FFF)
-            while at < len(s) - 4:
+            while at + 5 <= len(s) - 4:
                 kind, es, info = struct.unpack(">BHH", s[at : at + 5])
                 if out.es_pid is None:
                     out.stream_type, out.es_pid = kind, es & 0x1FFF
                 at += 5 + (info & 0x0FFF)
     if out.es_pid is None:
         return out
-    own = packets[carries & (pid == out.es_pid)]
-    adapted = (own[:, 3] & 0x20) > 0
-    start = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
+    mine = take & (pid == out.es_pid)
+    own, start = packets[mine], start[mine]
     data = own[np.arange(PACKET) >= start[:, None]].tobytes()
-    begins = np.flatnonzero((own[:, 1] & 0x40) > 0)
+    begins = np.flatnonzero(begins_unit[mine])
     ends = np.concatenate([[0], np.cumsum(PACKET - start)])
-    random = adapted & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
+    random = ((own[:, 3] & 0x20) > 0) & (own[:, 4] > 0) & ((own[:, 5] & 0x40) > 0)
     units = []
     for k, first in enumerate(begins):
         pes = data[ends[first] : ends[begins[k + 1]] if k + 1 < len(begins) else len(data)]
-        length, flags, head = struct.unpack(">H", pes[4:6])[0], pes[7], pes[8]
-        out.errors += pes[:3] != b"\x00\x00\x01" or length != len(pes) - 6
-        if flags & 0x80:
+        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or len(pes) < 9 + pes[8] or (pes[7] & 0x80 and pes[8] < 5):
+            out.errors += 1
+            continue
+        length = struct.unpack(">H", pes[4:6])[0]
+        out.errors += length not in (0, len(pes) - 6)
+        if random[first]:
+            out.access.append(len(out.pts))
+        if pes[7] & 0x80:
             a, b, c, d, e = pes[9:14]
             out.pts.append((a & 0x0E) << 29 | b << 22 | (c & 0xFE) << 14 | d << 7 | e >> 1)
-        if random[first]:
-            out.access.append(k)
-        units.append(pes[9 + head :])
+        else:
+            out.pts.append(-1)
+        units.append(pes[9 + pes[8] :])
     out.payload = b"".join(units)
     return out
 
