@@ -86,7 +86,7 @@ def test_top_k_equals_brute_force(spark):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(700) if j != i)[:10]
         assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert got[800] == [(1, 900, (1 * 3 + 2 * 4) << 20)]
-    assert exact_topk.search(np.zeros((2, 1)), np.array([1, 2]), np.zeros((1, 1)), np.array([1]))[0][1].tolist() == [2]
+    assert exact_topk.search(exact_topk.Lists(np.zeros((2, 1), np.int64)), np.array([1, 2]), np.zeros((1, 1), np.int64), np.array([1]))[0][1].tolist() == [2]
 
 
 def test_transport_stream_round_trip(spark, odd):
