@@ -34,13 +34,13 @@ def test_fit_equals_a_plain_solver():
     assert toxicity.fit(pd.Series([np.array([1])] * 3), np.zeros((3, 0)), np.ones(3)) is None
 
 
-def test_threshold_balances_both_shares():
+def test_threshold_weighs_both_mistakes():
     rng = random.Random(2)
     for _ in range(50):
         scores = [(round(rng.random(), 1), float(rng.random() < 0.3)) for _ in range(30)]
         ones = sum(y for _, y in scores)
-        share = lambda t: min(sum(y for p, y in scores if p >= t) / ones, sum(1 - y for p, y in scores if p < t) / (30 - ones))
-        assert share(toxicity.best_threshold(scores)) == max(share(t) for t in [p for p, _ in scores] + [2])
+        gain = lambda t: sum(y for p, y in scores if p >= t) / ones - 2 * sum(1 - y for p, y in scores if p >= t) / (30 - ones)
+        assert abs(gain(toxicity.best_threshold(scores)) - max(gain(t) for t in [p for p, _ in scores] + [2])) < 1e-9
     assert toxicity.best_threshold([]) > 1 and toxicity.best_threshold([(0.9, 1.0)]) > 1
 
 

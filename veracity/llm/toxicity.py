@@ -4,8 +4,9 @@ Categories are label columns of 0 and 1, in chain order. The model of a category
 an elastic-net penalty over the words of a text and the beginnings of these words (inflected forms share them),
 and, for each earlier category, that category's probability. Later models are trained with out-of-fold
 probabilities of the earlier ones, so that they see these as wrong as they will be on new text; for scoring, each
-model is fitted again on all training rows. A category's threshold balances the two mistakes: over the out-of-fold
-probabilities it makes the smaller of two shares as large as possible, the toxic rows caught and the clean ones kept.
+model is fitted again on all training rows. A category's threshold weighs the two mistakes: over the out-of-fold
+probabilities it makes the share of toxic rows caught less CLEAN times the share of clean rows rejected as large as
+possible, so that a model that can't tell them apart, as of very few labels, rejects nothing.
 
 Features are named by 64-bit hashes, so that a text of however many words meets no weight by chance, and a
 model is a short sorted list of the features with a weight.
@@ -41,6 +42,8 @@ L1, L2 = 1.6e-3, 4e-4
 ROUNDS = 150
 #: Training rows that a feature occurs in at least.
 MIN_ROWS = 4
+#: How many shares of toxic rows kept a share of clean rows rejected weighs.
+CLEAN = 2
 #: Turns in which features enter a model at most.
 TURNS = 4
 #: Lengths of the beginnings of longer words.
@@ -201,7 +204,7 @@ def _fold_models(rows: DataFrame, name: str, earlier: list[str]) -> DataFrame:
 
 
 def best_threshold(scores: list[tuple[float, float]]) -> float:
-    """Where the smaller of two shares is largest, ones at or above it and zeros below it; between the scores on its two sides. Over 1 without both."""
+    """Where the share of ones at or above it, less CLEAN times that of zeros, is largest; between the scores on its two sides. Over 1 without both."""
     ones = sum(y for _, y in scores)
     zeros = len(scores) - ones
     if not ones or not zeros:
@@ -211,8 +214,8 @@ def best_threshold(scores: list[tuple[float, float]]) -> float:
     for i, (p, y) in enumerate(ranked):
         hit += y
         after = ranked[i + 1][0] if i + 1 < len(ranked) else 0.0
-        if p > after and (share := min(hit / ones, 1 - (i + 1 - hit) / zeros)) > best:
-            best, out = share, (p + after) / 2
+        if p > after and (gain := hit / ones - CLEAN * (i + 1 - hit) / zeros) > best + 1e-12:
+            best, out = gain, (p + after) / 2
     return out
 
 
