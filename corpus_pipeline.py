@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import materialize
 from veracity.llm import mixing, ngram_jaccard, packing, secrets, toxicity
-from veracity.llm.common import materialize, table
+from veracity.llm.common import table
 from veracity.llm.queries import CATEGORIES, label_columns, tokenizer_path
 
-#: No SQL for trained models and a tokenizer; tests/llm compares the stages with brute-force versions.
+#: No SQL for trained models and a tokenizer; tests/llm compares the operators that the stages call with plain versions.
 ORACLE_SQL = None
 
 
@@ -20,12 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
+    """Of each group of linked documents one row, that with the smallest id (null last)."""
     return ngram_jaccard.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret found replaced by a mark."""
+    """All documents, every secret found replaced by a mark; equal texts are scanned once."""
     return secrets.redact(docs)
 
 
