@@ -52,6 +52,24 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group:
     return out.select(*df.columns, *[(F.col(f"__base_{name}") + F.coalesce(F.sum(f"__{name}").over(own), zero)).alias(name) for name in sums])
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """Adds i, a row's place in its group from 0, and n, the group's number of rows.
+
+    Rows are sorted into ranges of (group, order) and numbered where they lie; one row per range and group is summed
+    within the group, so a group that holds a third of all rows costs one row a range. Groups must not be null; rows
+    equal in group and order get places in any order. `df` is read twice, so it should be a written table.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    # an id's upper bits are the range, its lower 33 bits the row's place there
+    placed = materialize(ranges.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__p", F.shiftright("__at", 33))
+    runs = placed.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
+    w = W.partitionBy(*group)
+    earlier = F.coalesce(F.sum("__rows").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    runs = runs.select(*group, "__p", (earlier - F.col("__first")).alias("__shift"), F.sum("__rows").over(w).alias("n"))
+    return placed.join(runs, [*group, "__p"]).select(*df.columns, (F.col("__at") + F.col("__shift")).alias("i"), "n")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of `edges` with the smallest node that it reaches.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_topk, mixing, ngram_jaccard, packing, perplexity, secrets, toxicity, transport_stream, url_filter
-from .common import table
+from . import chat_format, collocations, exact_topk, merkle, mixing, ngram_jaccard, packing, perplexity, secrets, sharding, toxicity, transport_stream, url_filter
+from .common import LOWER, UPPER, table
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -72,6 +72,18 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op12_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_preference_formatting": op1_preference_formatting,
     "op2_kneser_ney_quality": op2_kneser_ney_quality,
@@ -83,6 +95,9 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_virtual_slots": op12_virtual_slots,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -133,6 +148,62 @@ with d as (
 )
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, first_shard from o join t using (key) left join x using (r)"""
 
+
+
+def _digest(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in fields) + ")"
+
+
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(8 * length(s)), lambda i: case when i % 8 = 0 then ascii(s[(i // 8 + 1)::int])::bigint else 0::bigint end),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint), 4294967295::bigint)"""
+
+_MERKLE = f"""
+with recursive d as (
+  select row_number() over () as r, *, coalesce('s' || lang, 'n') as key, coalesce(doc_id::varchar, '') as s, {_digest('doc_id', 'source', 'lang', 'n_chars', 'text')} as leaf from documents
+), c as (select *, case when doc_id is not null and {_CRC} % 7 = 0 then {_digest('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')} else leaf end as claim from d
+), o as (select r, doc_id, key, leaf, claim, row_number() over (partition by key order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by key) as n from c
+), t(key, lvl, i, n, node) as (
+  select key, 0, i, n, leaf from o union all
+  select key, lvl + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(next, '')) from (select *, lead(node) over (partition by key order by i) as next from t where n > 1) where i % 2 = 0
+), s as (select key, lvl as h, node as subroot, row_number() over (order by key) - 1 as rank, count(*) over () as n from t where n = 1
+), u(lvl, i, n, node) as (
+  select 0, rank, n, subroot from s union all
+  select lvl + 1, i // 2, (n + 1) // 2, sha256(node || coalesce(next, '')) from (select *, lead(node) over (order by i) as next from u where n > 1) where i % 2 = 0
+), g as (select range as lvl from range(64)
+), e as (
+  select o.r, g.lvl as step, (o.i >> g.lvl) % 2 as side, x.node as sib from o join s using (key) join g on g.lvl < s.h left join t x on x.key = o.key and x.lvl = g.lvl and x.i = xor(o.i >> g.lvl, 1)
+  union all select o.r, s.h + g.lvl, (s.rank >> g.lvl) % 2, x.node from o join s using (key) join g on g.lvl < (select max(lvl) from u) left join u x on x.lvl = g.lvl and x.i = xor(s.rank >> g.lvl, 1)
+), p as (select r, string_agg(sib, '' order by step) as proof from e group by r
+), f(r, step, node) as (
+  select r, 0, claim from o union all
+  select f.r, f.step + 1, sha256(case when side = 0 then node || coalesce(sib, '') else sib || node end) from f join e on e.r = f.r and e.step = f.step
+), z as (select r, arg_max(node, step) as folded_root from f group by r)
+select doc_id, leaf, subroot, (select node from u where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = (select node from u where n = 1) as verified
+from o join s using (key) join z using (r) left join p using (r)"""
+
+_COLLOCATIONS = rf"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?
+-
+]')) as piece from documents
+), w as materialized (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p
+), n as (select lang, sum(len(w))::bigint as n from w group by lang
+), i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w
+), g as (select lang, 1 as m, w[i] as phrase from i union all select lang, 2, w[i] || ' ' || w[i + 1] from i where i < len(w) union all select lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from i where i + 1 < len(w)
+), f as materialized (select lang, m, phrase, count(*) as f from g group by all
+), c as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 10
+), k as (select *, unnest(range(1, m)) as k from c
+), y as materialized (select lang, phrase, m, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest from k
+), x as (
+  select y.lang, y.phrase, y.m, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a // (l.f::hugeint * r.f))::bigint as score
+  from y join f l on l.lang = y.lang and l.phrase = y.first join f r on r.lang = y.lang and r.phrase = y.rest
+), b as (select * from x qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), h as (select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a from c where m = 3
+), s as (select b.* from b left join (select lang, phrase, max(a) as held from h group by all) h on h.lang = b.lang and h.phrase = b.phrase where coalesce(100 * held < 50 * a, true)
+)
+select s.lang, row_number() over (partition by s.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from s join n on n.lang = s.lang qualify rank <= 2000"""
+
 ORACLES = {
     "op1_preference_formatting": r"""
 with t as (
@@ -177,6 +248,8 @@ with u as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m
 qualify row_number() over (partition by page_id, host, path order by n desc nulls last) = 1""",
     "op6_mixing": _MIXING,
+    "op11_merkle_manifest": _MERKLE,
+    "op13_collocations": _COLLOCATIONS,
     "op7_secret_scans": r"""
 with p(kind, rank, pat, grp, least) as (values
   ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
