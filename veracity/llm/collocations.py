@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, LOWER, materialize
 
 #: Bytes of text whose phrases a task counts at once; nodes that a range should have at most; segments merged at once.
-SHARD_BYTES, RANGE_NODES, FAN_IN = 16 << 20, 2_000_000, 64
+SHARD_BYTES, RANGE_NODES, FAN_IN = 8 << 20, 2_000_000, 64
 #: Bits of the first ranges, and by which a round of merging makes them finer.
 FIRST_BITS, MORE_BITS = 8, 6
 #: What ends a piece of text; words stand between blanks and tabs.
@@ -193,6 +193,7 @@ def _shards(bits: int, depth: int, shard_bytes: int):
             for lang, texts in held.items():
                 rows = [(lang, r, (task << 24) + flushes, t.nodes, t.dump()) for r, t in by_prefix(counted(b"\n".join(texts), depth), bits)]
                 yield pd.DataFrame(rows, columns=["lang", "range", "part", "nodes", "blob"])
+            pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed
 
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
