@@ -30,15 +30,20 @@ def units_of(spec: Column) -> Column:
 
 
 def xml_id(c: Column) -> Column:
-    """A name that XML takes as an id: an underscore before anything but a letter, other characters dropped."""
-    clean = F.regexp_replace(c, r"[^\p{L}\p{N}_.-]", "")
-    return F.when(clean.rlike(r"^[\p{L}_]"), clean).otherwise(F.concat(F.lit("_"), clean))
+    """A name as an XML id, different for different names.
+
+    Letters but Z and underscores stay, as do digits and hyphens after the first character; of any other character its
+    UTF-8 bytes in hexadecimal digits stand there, between Z and a dot.
+    """
+    keep = lambda x, i: x.rlike(r"^[\p{L}_]$|^[\p{N}-]$") & ((i > 0) | x.rlike(r"^[\p{L}_]$")) & (x != "Z")
+    coded = lambda x: F.concat(F.lit("Z"), F.hex(F.encode(x, "UTF-8")), F.lit("."))
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1)), lambda x, i: F.when(keep(x, i), x).otherwise(coded(x))), "")
 
 
 def xml_escape(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
-    return F.regexp_replace(c, "\x07", "")
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")  # characters that XML can't hold
 
 
 def without_category(text: Column, category: str) -> Column:
@@ -60,6 +65,12 @@ def number_and_unit(c: Column) -> Column:
     return F.struct(F.regexp_replace(number, ",", "").try_cast("double").alias("value"), F.trim(F.regexp_replace(c, r"^\s*[+-]?[\d,]*\.?\d+(?:[eE][+-]?\d+)?", "")).alias("unit"))
 
 
+def first_number(c: Column) -> Column:
+    """The number that a text begins with, without grouping commas, as it is written; null without one."""
+    found = F.regexp_replace(F.regexp_extract(c, r"^\s*([+-]?[\d,]*\.?\d+(?:[eE][+-]?\d+)?)", 1), ",", "")
+    return F.when(found != "", found)
+
+
 def converted(c: Column, factor: Column) -> Column:
     """The number of a text in the base unit: divided by how many of its unit make one base unit."""
     return number_and_unit(c)["value"] / F.when(factor != 0, factor)

@@ -10,11 +10,13 @@ redirect(id, ns, title), revision(id, user, ts), template_use(id, template)
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import materialize
+
 #: Namespaces.
 MAIN, IMAGE, TEMPLATE, CATEGORY, PROPERTY, TYPE = 0, 6, 10, 14, 102, 104
 
@@ -50,6 +52,12 @@ class Graph:
     redirect: DataFrame | None = None
     revision: DataFrame | None = None
     template_use: DataFrame | None = None
+    category_edges: DataFrame | None = None
+    property_edges: DataFrame | None = None
+
+    def prepared(self) -> Graph:
+        """The same with both inheritance graphs written out, for several checks of one state."""
+        return replace(self, category_edges=materialize(self.category_graph(), "categories"), property_edges=materialize(self.property_graph(), "properties"))
 
     @property
     def facts(self) -> DataFrame:
@@ -57,10 +65,14 @@ class Graph:
 
     def category_graph(self) -> DataFrame:
         """Child to parent, of the categories that have pages."""
+        if self.category_edges is not None:
+            return self.category_edges
         cats = self.page.where(F.col("ns") == CATEGORY).select("id", "title")
         return self.member.join(cats.withColumnsRenamed({"id": "dst", "title": "category"}), "category").join(cats.select("id"), "id", "left_semi").select(F.col("id").alias("src"), "dst")
 
     def property_graph(self) -> DataFrame:
         """Sub-property to property, of those that have pages."""
+        if self.property_edges is not None:
+            return self.property_edges
         props = self.page.where(F.col("ns") == PROPERTY).select("id")
         return self.sub_property.join(props.withColumnRenamed("id", "src"), "src", "left_semi").join(props.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")

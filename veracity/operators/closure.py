@@ -1,7 +1,18 @@
-"""Closures of graphs given as edges (src, dst): level by level, each pair once, safe on cycles."""
+"""Closures, strongly connected parts and cycles of graphs given as edges (src, dst); all safe on cycles.
+
+What a few nodes reach is searched level by level from them, so it costs its own size. Where that goes deep, every node
+gets a place on one of the disjoint paths that cover the graph: to reach a path at a place is to reach all later places,
+so a path is one row and a step leads from path to path. Places come from pointers that double their reach each round.
+
+Each round is a job or two, too many for the small graphs that category and property trees mostly are. Of a graph of at
+most `SMALL` edges, which is checked, the edges go to every task, and each searches from its own share of the seeds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +21,8 @@ from veracity.checkpoints import materialize
 
 #: Levels after which what has been reached is written anew as one table.
 MERGE_EVERY = 16
+#: Edges that may pass the driver and be sent to every task: some MB.
+SMALL = 100_000
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
@@ -39,23 +52,105 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, re
     return seen if first is None else seen.limit(0)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(root, node): all that each seed node reaches, itself included, in steps of 1, 2, 4, 8 and more edges.
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+
+
+def _neighbours(edges: DataFrame, small: int) -> dict[int, list[int]] | None:
+    """The nodes after each node, if there are at most `small` edges."""
+    rows = edges.select("src", "dst").limit(small + 1).collect() if small else []
+    if not small or len(rows) > small:
+        return None
+    after: dict[int, list[int]] = {}
+    for src, dst in rows:
+        after.setdefault(src, []).append(dst)
+    return after
+
 
-    After i steps the pairs within 2^i - 1 edges are known; the next step adds those at walks of 2^i edges from them.
+def _searched(after: dict[int, list[int]], seeds: DataFrame) -> DataFrame:
+    sent = seeds.sparkSession.sparkContext.broadcast(after)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for root in (int(r) for b in batches for r in b["node"]):
+            seen, todo = {root}, [root]
+            while todo:
+                new = [n for n in sent.value.get(todo.pop(), ()) if n not in seen]
+                seen.update(new)
+                todo += new
+            yield pd.DataFrame({"root": root, "node": list(seen)})
+
+    return seeds.select(F.col("node").cast("long").alias("node")).where("node is not null").distinct().mapInPandas(search, "root long, node long")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, levels: int = 6, small: int = SMALL) -> DataFrame:
+    """(root, node): all that each seed node reaches, itself included.
+
+    Beyond a small graph the first levels are searched edge by edge; what lies deeper is reached along paths (see above).
     """
-    walks = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
-    pairs = seeds.select(F.col("node").alias("root"), "node").distinct()
-    n = -1
-    while True:
-        walks = materialize(walks, "walks")
-        further = pairs.join(walks, pairs["node"] == walks["src"]).select("root", F.col("dst").alias("node"))
-        pairs = materialize(pairs.unionByName(further).distinct(), "pairs")
-        n, before = pairs.count(), n
-        if n == before:
-            return pairs
-        twice = walks.withColumnsRenamed({"src": "first", "dst": "mid"}).join(walks, F.col("mid") == F.col("src"))
-        walks = twice.select(F.col("first").alias("src"), "dst").distinct()
+    edges = _clean(edges)
+    if (after := _neighbours(edges, small)) is not None:
+        return _searched(after, seeds)
+    frontier = materialize(seeds.select(F.col("node").alias("root"), "node").where("node is not null").distinct(), "level")
+    seen = frontier
+    for _ in range(levels):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        frontier = materialize(step.join(seen, ["root", "node"], "left_anti"), "level")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    return materialize(seen.unionByName(_along_paths(edges, frontier)).distinct(), "reached")
+
+
+def ranked(links: DataFrame) -> DataFrame:
+    """(node, path, pos): the places on the paths that links (src, dst) make, named by their first nodes.
+
+    A node has one link in and one out at most. Rings, too, are paths, from their smallest node. After i rounds each
+    node knows the node 2^i links before it, or its place.
+    """
+    links = materialize(links.select("src", "dst"), "links")
+    first = links.select(F.col("src").alias("node")).join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    placed = materialize(first.select("node", F.col("node").alias("path"), F.lit(0).cast("long").alias("pos")), "placed")
+    rest = links.select(F.col("dst").alias("node"), F.col("src").alias("at"), F.lit(1).cast("long").alias("dist"), F.least("src", "dst").alias("low"))
+    rings = False
+    while not rest.isEmpty():
+        ahead = placed.select(F.col("node").alias("at"), "path", "pos", F.lit(None).cast("long").alias("next"), F.lit(None).cast("long").alias("far"), F.lit(None).cast("long").alias("low2"))
+        ahead = ahead.unionByName(rest.select(F.col("node").alias("at"), F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("pos"), F.col("at").alias("next"), F.col("dist").alias("far"), F.col("low").alias("low2")))
+        step = rest.join(ahead, "at").select("node", "path", (F.col("pos") + F.col("dist")).alias("pos"), F.col("next").alias("at"), (F.col("dist") + F.col("far")).alias("dist"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("lower"))
+        step = materialize(step, "step")
+        known = step.where("path is not null")
+        rest = step.where("path is null").select("node", "at", "dist", "low")
+        if not rings and not known.isEmpty():
+            placed = placed.unionByName(known.select("node", "path", "pos"))
+            continue
+        rings = True  # every path is done; on rings the smallest node is spread until all know it
+        if step.where("lower").isEmpty():
+            opened = links.join(rest.select(F.col("node").alias("dst"), "low"), "dst").where("dst <> low").select("src", "dst")
+            return placed.unionByName(ranked(opened))
+    return placed
+
+
+def _along_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(root, node): what the starts (root, node) reach, themselves included."""
+    edges = materialize(edges, "edges")
+    chosen = edges.groupBy("src").agg(F.min("dst").alias("dst")).groupBy("dst").agg(F.min("src").alias("src")).select("src", "dst")
+    every = nodes(edges).unionByName(starts.select("node")).distinct()
+    place = every.join(ranked(chosen), "node", "left").select("node", F.coalesce("path", "node").alias("path"), F.coalesce("pos", F.lit(0).cast("long")).alias("pos"))
+    place = materialize(place, "places")
+    ends = [place.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"), F.col("pos").alias(f"{c}_pos")) for c in ("src", "dst")]
+    leaps = edges.join(chosen, ["src", "dst"], "left_anti").join(ends[0], "src").join(ends[1], "dst").select("src_path", "src_pos", "dst_path", "dst_pos")
+    leaps = materialize(leaps, "leaps")
+    frontier = materialize(starts.join(place, "node").groupBy("root", "path").agg(F.min("pos").alias("pos")), "frontier")
+    seen, rounds = frontier, 0
+    while not frontier.isEmpty():
+        rounds += 1
+        step = frontier.join(leaps, frontier["path"] == leaps["src_path"]).where("src_pos >= pos").groupBy("root", F.col("dst_path").alias("path")).agg(F.min("dst_pos").alias("pos"))
+        best = seen.groupBy("root", "path").agg(F.min("pos").alias("best"))
+        frontier = materialize(step.join(best, ["root", "path"], "left").where("best is null or pos < best").select("root", "path", "pos"), "frontier")
+        seen = seen.unionByName(frontier)
+        if rounds % MERGE_EVERY == 0:
+            seen = materialize(seen.groupBy("root", "path").agg(F.min("pos").alias("pos")), "seen")
+    best = seen.groupBy("root", "path").agg(F.min("pos").alias("from"))
+    return best.join(place, "path").where("pos >= from").select("root", "node")
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -79,59 +174,211 @@ def descendants(edges: DataFrame, roots: DataFrame, max_depth: int | None = 10,
     return closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots, max_depth, reflexive)
 
 
-def nearest_values(edges: DataFrame, values: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node, depth, value): the values of each node's nearest ancestors that have any, on every branch.
+def nearest(edges: DataFrame, values: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, value): the values of each node's nearest ancestors that have any, on every branch.
 
-    A branch ends at its first ancestor with values. `values` has (node, value); a node's own values don't count.
+    A branch ends at its first ancestor with values. `values` has (node, value); a node's own values don't count. The
+    search goes from the nodes that have values down to the next that have some, so it costs what it finds: the edges
+    that lead up from such a node are cut off it and become a start of their own.
     """
-    edges = edges.select("src", "dst").distinct()
-    have = values.select(F.col("node").alias("dst")).distinct().withColumn("has", F.lit(True))
-    frontier = nodes(edges).select("node", F.col("node").alias("at"))
-    seen, found, depth = frontier, None, 0
+    edges = _clean(edges)
+    have = values.select("node").distinct()
+    starts = edges.join(have, edges["dst"] == have["node"], "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("at"))
+    starts = materialize(starts, "starts")
+    onward = edges.join(have, edges["dst"] == have["node"], "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"))  # downwards
+    below = reachable(onward, starts.select("node"), small=small)
+    found = below.join(starts.select(F.col("node").alias("root"), "at"), "root").select("node", "at").distinct()
+    return found.join(values.select(F.col("node").alias("at"), "value"), "at").select("node", "value")
+
+
+def nearest_values(edges: DataFrame, values: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth, value): as `nearest`, with the smallest number of edges to the ancestor, level by level downwards."""
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    have = values.select("node").distinct()
+    inner = edges.join(have, edges["dst"] == have["node"], "left_anti")
+    frontier = edges.join(have, edges["dst"] == have["node"], "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("at"))
+    seen, depth = None, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, frontier["at"] == edges["src"]).select("node", "dst").distinct()
-        step = materialize(step.join(have, "dst", "left").withColumnRenamed("dst", "at").join(seen, ["node", "at"], "left_anti"), "nearest")
-        if step.isEmpty():
+        new = frontier.distinct() if seen is None else frontier.distinct().join(seen.select("node", "at"), ["node", "at"], "left_anti")
+        new = materialize(new.withColumn("depth", F.lit(depth)), "nearest")
+        if new.isEmpty():
+            break
+        seen = new if seen is None else seen.unionByName(new)
+        if depth % MERGE_EVERY == 0:
+            seen = materialize(seen, "seen")
+        frontier = new.join(inner, new["node"] == inner["dst"]).select(F.col("src").alias("node"), "at")
+    if seen is None:
+        seen = frontier.select("node", "at", F.lit(0).alias("depth")).limit(0)
+    return seen.join(values.select(F.col("node").alias("at"), "value"), "at").select("node", "depth", "value")
+
+
+def trimmed(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """The edges left when nodes without in- or out-edges are removed, some rounds of it; (src, dst, colour)."""
+    now = edges
+    for _ in range(rounds):
+        left = now.join(now.select(F.col("dst").alias("src"), "colour").distinct(), ["src", "colour"], "left_semi")
+        now = materialize(left.join(now.select(F.col("src").alias("dst"), "colour").distinct(), ["dst", "colour"], "left_semi").select("src", "dst", "colour"), "core")
+        if now.isEmpty():
             break
-        hit = step.where("has").select("node", F.lit(depth).alias("depth"), "at")
-        found = hit if found is None else found.unionByName(hit)
-        frontier = step.where("has is null").select("node", "at")
-        seen = seen.unionByName(step.select("node", "at"))
-    spark = edges.sparkSession
-    if found is None:
-        found = spark.createDataFrame([], "node long, depth int, at long")
-    return found.join(values.select(F.col("node").alias("at"), "value"), "at").select("node", "depth", "value")
-
-
-def cyclic_part(edges: DataFrame) -> DataFrame:
-    """The edges that are left when nodes without in- or out-edges are removed again and again."""
-    now = materialize(edges.select("src", "dst").distinct(), "core")
-    n = now.count()
+    return now
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Edges with every run of nodes that have one edge in and one out replaced by one edge; (node, before, after, colour) of those nodes.
+
+    Such a node lies on a cycle just when what comes before and after its run do, together.
+    """
+    one = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("src").alias("before"), F.first("colour").alias("colour")).where("n = 1").drop("n")
+    one = one.join(edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("after")).where("n = 1").drop("n"), "node")
+    one = materialize(one, "runs")
+    if one.isEmpty():
+        return None
+    inside = one.join(one.select(F.col("node").alias("after")), "after", "left_semi").select(F.col("node").alias("src"), F.col("after").alias("dst"))
+    run = one.join(ranked(inside), "node", "left").select("node", "before", "after", "colour", F.coalesce("path", "node").alias("path"), F.coalesce("pos", F.lit(0).cast("long")).alias("pos"))
+    around = run.groupBy("path").agg(F.min_by("before", "pos").alias("before"), F.max_by("after", "pos").alias("after"), F.first("colour").alias("colour"))
+    members = materialize(run.select("node", "path").join(around, "path"), "members")
+    rest = edges.join(one.select(F.col("node").alias("src")), "src", "left_anti").join(one.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", "colour")
+    bridges = members.where("node = path and before <> after").select(F.col("before").alias("src"), F.col("after").alias("dst"), "colour")
+    ring = members.join(one.select(F.col("node").alias("before")), "before", "left_semi").select("node", F.col("path").alias("part"))  # a run that leads into itself
+    bridges = bridges.join(ring.select(F.col("part").alias("src")), "src", "left_anti").join(one.select(F.col("node").alias("src")), "src", "left_anti")
+    return materialize(rest.unionByName(bridges).distinct(), "contracted"), members.join(ring.select("node"), "node", "left_anti").unionByName(ring.select("node", F.col("part").alias("path"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"), F.lit(None).cast("long").alias("colour")))
+
+
+def _parts_of(after: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """(node, part) by one search that keeps a stack of open nodes; no recursion."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_, is_open, out = [], set(), []
+    for start in after:
+        if start in number:
+            continue
+        path = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        is_open.add(start)
+        while path:
+            node, rest = path[-1]
+            for n in rest:
+                if n not in number:
+                    number[n] = low[n] = len(number)
+                    open_.append(n)
+                    is_open.add(n)
+                    path.append((n, iter(after.get(n, ()))))
+                    break
+                if n in is_open:
+                    low[node] = min(low[node], number[n])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = open_.index(node) if open_[-1] != node else len(open_) - 1
+                    part, open_ = open_[at:], open_[:at]
+                    is_open.difference_update(part)
+                    out += [(n, node) for n in part if len(part) > 1]
+    return out
+
+
+def strong_parts(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, part): the strongly connected parts of two and more nodes, each named by one of its nodes.
+
+    Nodes without edges on one side go, runs of nodes become one edge, and of each colour one node is followed forwards
+    and backwards: what both reach is its part, and what is left is coloured by which of the two reach it. An acyclic
+    graph is gone after some trimming and contraction; each further round splits every colour.
+    """
+    now = _clean(edges).withColumn("colour", F.lit(0).cast("long"))
+    if (after := _neighbours(now, small)) is not None:
+        return edges.sparkSession.createDataFrame(_parts_of(after), "node long, part long")
+    parts: list[DataFrame] = []
+    runs: list[DataFrame] = []
     while True:
-        kept = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        now = materialize(kept.select("src", "dst"), "core")
-        n, before = now.count(), n
-        if n == before:
-            return now
+        now = trimmed(now)
+        if now.isEmpty():
+            break
+        if made := _contracted(now):
+            now, members = made
+            runs.append(members)
+            now = trimmed(now, 2)
+            if now.isEmpty():
+                break
+        every = now.select("colour", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        pivots = materialize(every.groupBy("colour").agg(F.min_by("node", F.xxhash64("node")).alias("node")), "pivots")
+        ahead = reachable(now, pivots.select("node"), small=small).withColumnRenamed("root", "part")
+        back = reachable(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots.select("node"), small=small).withColumnRenamed("root", "part")
+        own = materialize(ahead.join(back, ["part", "node"]), "part")
+        many = own.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+        parts.append(own.join(many, "part", "left_semi").select("node", "part"))
+        sides = every.join(own.select("node"), "node", "left_anti").join(ahead.select("node", F.lit(1).alias("f")), "node", "left").join(back.select("node", F.lit(2).alias("b")), "node", "left")
+        fresh = materialize(sides.select("node", F.xxhash64("colour", F.coalesce("f", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("colour")), "colours")
+        now = now.drop("colour").join(fresh.select(F.col("node").alias("src"), "colour"), "src").join(fresh.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour")
+        now = materialize(now, "core")
+    found = parts[0] if parts else now.select(F.col("src").alias("node"), F.col("src").alias("part"))
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    for members in reversed(runs):  # the last contraction first: its ends may lie in runs of earlier ones
+        found = materialize(found, "parts")
+        rings = members.where("before is null").select("node", F.col("path").alias("part"))
+        closed = members.where("before = after")  # a run that comes back to where it began
+        alone = closed.select(F.col("before").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("part"))
+        found = materialize(found.unionByName(rings).unionByName(alone), "parts")
+        ends = members.join(found.select(F.col("node").alias("before"), F.col("part").alias("p1")), "before").join(found.select(F.col("node").alias("after"), F.col("part").alias("p2")), "after")
+        found = found.unionByName(ends.where("p1 = p2").select("node", F.col("p1").alias("part")))
+    return materialize(found, "parts")
 
 
-def cycles(edges: DataFrame, max_length: int | None = 10) -> DataFrame:
-    """(members): the node set, sorted, of every simple cycle of at most `max_length` nodes, each once.
+def preorder(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, key): by `key`, an array of names, nodes (node, name) come depth first, each after one of its parents.
 
-    A path starts at its smallest node and never leaves for a smaller one, so each cycle is found from one node.
+    Of several parents (edges lead from child to parent) the first by name counts; of a ring of such parents the first
+    by name is a root. After i rounds a node knows the 2^i names above it, so rounds grow with the depth's logarithm.
     """
-    core = cyclic_part(edges)
-    loops = core.where("src = dst").select(F.array("src").alias("members"))
-    core = core.where("src <> dst")
-    paths = core.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
-    length, found = 2, loops
+    edges = _clean(edges).join(names.select(F.col("node").alias("src")), "src", "left_semi")
+    first = edges.join(names.select(F.col("node").alias("dst"), "name"), "dst").groupBy("src").agg(F.min(F.struct("name", "dst")).alias("x")).select("src", F.col("x.dst").alias("dst"))
+    first = materialize(first, "parents")
+    rings = strong_parts(first).join(names, "node").groupBy("part").agg(F.min(F.struct("name", "node")).alias("x")).select(F.col("x.node").alias("src"))
+    first = materialize(first.join(rings, "src", "left_anti"), "parents")
+    own = names.select("node", F.array("name").alias("key"))
+    placed = materialize(own.join(first.select(F.col("src").alias("node")), "node", "left_anti"), "placed")
+    rest = own.join(first.withColumnsRenamed({"src": "node", "dst": "at"}), "node")
+    rest = materialize(rest.select("node", "at", "key"), "rest")
+    while not rest.isEmpty():
+        ahead = placed.select(F.col("node").alias("at"), F.col("key").alias("above"), F.lit(None).cast("long").alias("next")).unionByName(rest.select(F.col("node").alias("at"), F.col("key").alias("above"), F.col("at").alias("next")))
+        step = materialize(rest.join(ahead, "at").select("node", F.col("next").alias("at"), F.concat("above", "key").alias("key")), "rest")
+        placed = placed.unionByName(step.where("at is null").select("node", "key"))
+        rest = step.where("at is not null")
+    return placed
+
+
+def cycles(edges: DataFrame, max_length: int | None = 10, most: int = 100_000, small: int = SMALL) -> DataFrame:
+    """(members, dense): the node set, sorted, of every simple cycle of at most `max_length` nodes, each once.
+
+    Paths are followed inside strongly connected parts only, from their smallest nodes. A part in which more than `most`
+    paths of one length begin is dense: it has one row, its whole node set, with `dense` true, and no cycles of its own.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    loops = edges.where("src = dst").select(F.array("src").alias("members"), F.lit(False).alias("dense"))
+    part = strong_parts(edges, small)
+    core = edges.where("src <> dst").join(part.select(F.col("node").alias("src"), "part"), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("other")), "dst").where("part = other").select("part", "src", "dst")
+    core = materialize(core, "core")
+    paths = core.where("dst > src").select("part", F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
+    length, found, dense = 2, None, part.select("part").limit(0)
     while max_length is None or length <= max_length:
         paths = materialize(paths, "paths")
-        if paths.isEmpty():
+        n = paths.count()
+        if n > most:
+            many = materialize(paths.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("part"), "dense")
+            dense = dense.unionByName(many)
+            paths = paths.join(many, "part", "left_anti")
+            n = paths.count()
+        if not n:
             break
-        step = paths.join(core, paths["end"] == core["src"])
-        found = found.unionByName(step.where("dst = start").select(F.array_sort("path").alias("members")))
-        paths = step.where("dst > start and not array_contains(path, dst)").select("start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"))
+        step = paths.join(core.drop("part"), paths["end"] == core["src"])
+        closed = step.where("dst = start").select("part", F.array_sort("path").alias("members"))
+        found = closed if found is None else found.unionByName(closed)
+        paths = step.where("dst > start and not array_contains(path, dst)").select("part", "start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"))
         length += 1
-    return found.distinct()
+    whole = part.join(dense, "part", "left_semi").groupBy("part").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members", F.lit(True).alias("dense"))
+    if found is not None:
+        whole = whole.unionByName(found.join(dense, "part", "left_anti").select("members", F.lit(False).alias("dense")).distinct())
+    return loops.unionByName(whole)

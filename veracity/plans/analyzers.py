@@ -57,8 +57,8 @@ def undefined_issues(g: Graph, schema: Schema | None = None, usages: int = 10) -
     cats = cats.join(g.entity.where(F.col("ns") == CATEGORY).select("id", F.col("title").alias("category")), "category", "left").withColumn("id", F.coalesce("id", F.lit(-1).cast("long")))
     targets = undefined.target_usages(g, undefined.undefined_targets(g), usages).join(g.entity.select("id", "ns", "title"), ["ns", "title"])
     return union(
-        issues(props, "undefined", "property_undefined", "id", "s_id", "title"), issues(cats, "undefined", "category_undefined", "id", "user", "category"),
-        issues(targets, "undefined", "target_undefined", "id", "p_id", "title"), issues(undefined.without_category(g), "undefined", "instance_without_category", "id"),
+        issues(props, "undefined", "property_undefined", "id", "s_id", "title", name=True), issues(cats, "undefined", "category_undefined", "id", "user", "category", name=True),
+        issues(targets, "undefined", "target_undefined", "id", "p_id", "title", name=True), issues(undefined.without_category(g), "undefined", "instance_without_category", "id"),
     )
 
 
@@ -87,7 +87,7 @@ def similarity_issues(g: Graph, schema: Schema, degree: int = 1, limit: int = 10
     types = consistency.first_of(schema.types).select(F.col("p_id").alias("id"), "value")
     values = {"categories": g.member.select("id", F.col("category").alias("value")), "types": types, **sides}
     found = similarity.similar_entities(names, degree, limit, score, values)
-    shared = [issues(found.where(F.size(kind) > 0).withColumn("v", F.array_join(kind, ";")), "similarity", f"share_{kind}", "id1", "id2", "v") for kind in ("categories", "domains", "ranges", "types")]
+    shared = [issues(found.where(F.size(kind) > 0).withColumn("v", F.array_join(kind, ";")), "similarity", f"share_{kind}", "id1", "id2", "v", name=True) for kind in ("categories", "domains", "ranges", "types")]
     return union(issues(found, "similarity", "similar_schema_entity", "id1", "id2", "score"), issues(found.where("one_affix"), "similarity", "distinct_by_affix", "id1", "id2"), *shared)
 
 

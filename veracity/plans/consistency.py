@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veracity.functions.text import is_cardinality, leading_int, units_of
 from veracity.checkpoints import materialize
 from veracity.model import BUILT_IN_PROPERTIES, CARDINALITY_MIN, CARDINALITY_UNLIMITED, CATEGORY, PROPERTY, Graph
-from veracity.operators.closure import below, cycles, nearest_values, reach
+from veracity.operators.closure import below, cycles, nearest, nearest_values, reach
 from veracity.plans.issues import issues, propagated
 
 BOT = "consistency"
@@ -50,12 +50,17 @@ def cycle_issues(edges: DataFrame, titles: DataFrame, max_length: int | None = N
     found = cycles(edges, max_length).withColumn("first", F.col("members")[0])
     named = found.select("first", "members", F.posexplode("members").alias("i", "id")).join(titles, "id", "left")
     joined = named.groupBy("first", "members").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda x: x["title"]), ";").alias("all"))
-    return issues(joined, BOT, "cycle", "first", value="all")
+    return issues(joined, BOT, "cycle", "first", value="all", name=True)
+
+
+def above(graph: DataFrame, values: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, value): what the nearest ancestors declare, on every branch, at any distance or up to one."""
+    return nearest(graph, values) if max_depth is None else nearest_values(graph, values, max_depth).drop("depth")
 
 
 def inherited(graph: DataFrame, own: DataFrame, seed: int, largest: bool, max_depth: int | None = None) -> DataFrame:
     """(p_id, bound): the largest (smallest) of the nearest inherited bounds and `seed`."""
-    near = nearest_values(graph, own.select(F.col("p_id").alias("node"), leading_int(F.col("value")).alias("value")), max_depth)
+    near = above(graph, own.select(F.col("p_id").alias("node"), leading_int(F.col("value")).alias("value")), max_depth)
     best = F.max("value") if largest else F.min("value")
     limit = F.greatest(best, F.lit(seed)) if largest else F.least(best, F.lit(seed))
     return near.groupBy(F.col("node").alias("p_id")).agg(limit.alias("bound"))
@@ -110,14 +115,15 @@ def definition_issues(schema: Schema, properties: DataFrame) -> DataFrame:
     )
 
 
-def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, schema: Schema, max_depth: int | None = None) -> DataFrame:
-    """Of each own pair, the inherited pair that fits best (both sides, then one, then by order) must fit."""
+def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, schema: Schema, max_depth: int | None = None, properties: DataFrame | None = None) -> DataFrame:
+    """Of each own pair (of some properties only, if given), the inherited pair that fits best (both sides, then one, then by order) must fit."""
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
-    near = nearest_values(property_graph, pairs.select(F.col("p_id").alias("node"), F.struct("ord", "domain", "range").alias("value")), max_depth)
+    near = above(property_graph, pairs.select(F.col("p_id").alias("node"), F.struct("ord", "domain", "range").alias("value")), max_depth)
+    pairs = pairs if properties is None else pairs.join(properties.select("p_id"), "p_id", "left_semi")
     both = pairs.join(near.select(F.col("node").alias("p_id"), "value"), "p_id")
-    above = reach(category_graph, max_depth, True, pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct())
+    up = reach(category_graph, max_depth, True, pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct())
     for side in ("domain", "range"):
-        ok = above.select(F.col("src").alias(side), F.col("dst").alias(f"up_{side}"), F.lit(True).alias(f"ok_{side}"))
+        ok = up.select(F.col("src").alias(side), F.col("dst").alias(f"up_{side}"), F.lit(True).alias(f"ok_{side}"))
         both = both.withColumn(f"up_{side}", F.col(f"value.{side}")).join(ok, [side, f"up_{side}"], "left")
         wild = F.col(side).isNull() | F.col(f"up_{side}").isNull() | F.col(side).eqNullSafe(F.col(f"up_{side}"))
         both = both.withColumn(f"ok_{side}", F.coalesce(f"ok_{side}", wild))
@@ -132,9 +138,9 @@ def covariance_issues(category_graph: DataFrame, property_graph: DataFrame, sche
 
 def type_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.types)
-    near = nearest_values(graph, own.select(F.col("p_id").alias("node"), "value"), max_depth)
-    above = near.groupBy(F.col("node").alias("p_id")).agg(F.countDistinct("value").alias("kinds"), F.min("value").alias("above"))
-    rows = properties.select("p_id").join(own, "p_id", "left").join(above, "p_id", "left")
+    near = above(graph, own.select(F.col("p_id").alias("node"), "value"), max_depth)
+    kinds = near.groupBy(F.col("node").alias("p_id")).agg(F.countDistinct("value").alias("kinds"), F.min("value").alias("above"))
+    rows = properties.select("p_id").join(own, "p_id", "left").join(kinds, "p_id", "left")
     one = F.coalesce("n", F.lit(0)) <= 1
     return union(
         issues(rows.where("n is null"), BOT, "types_not_defined", "p_id"),
@@ -144,10 +150,10 @@ def type_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_dep
     )
 
 
-def _fits(facts: DataFrame, end: str, g: Graph, side: str, pairs: DataFrame, above: DataFrame) -> DataFrame:
+def _fits(facts: DataFrame, end: str, g: Graph, side: str, pairs: DataFrame, up: DataFrame) -> DataFrame:
     """(keys of facts, ord): the declared pairs whose `side` some category of the entity in `end` reaches."""
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("src"), F.col("title").alias("category"))
-    up = g.member.join(cats, "category").join(above, "src").select(F.col("id").alias(end), F.col("dst").alias(side)).distinct()
+    up = g.member.join(cats, "category").join(up, "src").select(F.col("id").alias(end), F.col("dst").alias(side)).distinct()
     wild = facts.join(pairs.where(F.col(side).isNull()).select("p_id", "ord"), "p_id")
     found = facts.join(pairs.where(F.col(side).isNotNull()).select("p_id", "ord", side), "p_id").join(up, [end, side])
     return wild.select(*facts.columns, "ord").unionByName(found.select(*facts.columns, "ord")).distinct()
@@ -160,16 +166,16 @@ def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) ->
     """
     pairs = schema.pairs.select("p_id", "ord", "domain", "range")
     ends = pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct()
-    above = materialize(below(g.category_graph(), ends, max_depth).select(F.col("node").alias("src"), F.col("root").alias("dst")), "above")
+    up = materialize(below(g.category_graph(), ends, max_depth).select(F.col("node").alias("src"), F.col("root").alias("dst")), "up")
     declared = pairs.select("p_id").distinct()
     subjects = materialize(g.facts.distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("s_id")), "s_id", "left_semi"), "subjects")
-    domain_ok = materialize(_fits(subjects, "s_id", g, "domain", pairs, above), "domains")
+    domain_ok = materialize(_fits(subjects, "s_id", g, "domain", pairs, up), "domains")
     outside = subjects.join(domain_ok.select("s_id", "p_id"), ["s_id", "p_id"], "left_anti")
     facts = materialize(g.relation.select("s_id", "p_id", "o_id").distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("o_id")), "o_id", "left_semi"), "facts")
-    range_ok = materialize(_fits(facts, "o_id", g, "range", pairs, above), "ranges")
+    range_ok = materialize(_fits(facts, "o_id", g, "range", pairs, up), "ranges")
     fitting = range_ok.join(domain_ok, ["s_id", "p_id", "ord"], "left_semi").unionByName(range_ok.join(outside, ["s_id", "p_id"], "left_semi"))
     wrong = facts.join(fitting.select("s_id", "p_id", "o_id"), ["s_id", "p_id", "o_id"], "left_anti").join(g.entity.select(F.col("id").alias("o_id"), "title"), "o_id", "left")
-    return union(issues(outside, BOT, "wrong_domain_value", "s_id", "p_id"), issues(wrong, BOT, "wrong_target_value", "s_id", "p_id", "title"))
+    return union(issues(outside, BOT, "wrong_domain_value", "s_id", "p_id"), issues(wrong, BOT, "wrong_target_value", "s_id", "p_id", "title", name=True))
 
 
 def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -239,7 +245,7 @@ def unit_issues(attributes: DataFrame, specs: DataFrame) -> DataFrame:
     """Units of values that no conversion of the property's type names."""
     known = specs.select("p_id", F.explode(units_of(F.col("spec"))).alias("unit")).distinct()
     used = attributes.where("unit is not null and unit <> ''").join(specs.select("p_id"), "p_id", "left_semi").select("s_id", "p_id", "unit").distinct()
-    return issues(used.join(known, ["p_id", "unit"], "left_anti"), BOT, "wrong_unit", "s_id", "p_id", "unit")
+    return issues(used.join(known, ["p_id", "unit"], "left_anti"), BOT, "wrong_unit", "s_id", "p_id", "unit", name=True)
 
 
 def inverse_issues(schema: Schema) -> DataFrame:
@@ -266,10 +272,16 @@ def resolved(g: Graph) -> DataFrame:
     return g.relation.join(to, "o_id", "left").withColumn("o_id", F.coalesce("to", "o_id")).select(*g.relation.columns)
 
 
+def checked_properties(g: Graph) -> DataFrame:
+    """(p_id): the properties that checks are about: no redirects, and none of the schema itself."""
+    return g.page.where((F.col("ns") == PROPERTY) & ~F.col("title").isin(*BUILT_IN_PROPERTIES) & ~F.col("is_redirect")).select(F.col("id").alias("p_id"))
+
+
 def analyze(g: Graph, schema: Schema, max_depth: int | None = None) -> DataFrame:
     """All checks, then the propagation of what they found. Relations to redirects count as relations to what these lead to."""
+    g = g.prepared()
     cats, props = g.category_graph(), g.property_graph()
-    properties = g.page.where((F.col("ns") == PROPERTY) & ~F.col("title").isin(*BUILT_IN_PROPERTIES) & ~F.col("is_redirect")).select(F.col("id").alias("p_id"))
+    properties = checked_properties(g)
     if g.redirect is not None:
         g = replace(g, relation=materialize(resolved(g), "resolved"))
     titles = g.entity.select("id", "title")

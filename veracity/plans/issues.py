@@ -11,16 +11,26 @@ from veracity.operators.closure import reach
 from veracity.operators.filters import all_of, equals, one_of, page_of, signed_class
 
 
-def issues(df: DataFrame, bot: str, code: str | Column, p1: str, p2: str | None = None, value: str | Column | None = None) -> DataFrame:
-    """Rows of the issue table; an absent second entity is -1. Numeric payloads go to value_int, others to value."""
+#: What counts as a number in a payload: decimal notation only.
+NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def issues(df: DataFrame, bot: str, code: str | Column, p1: str, p2: str | None = None, value: str | Column | None = None, name: bool = False) -> DataFrame:
+    """Rows of the issue table; an absent second entity is -1.
+
+    Payloads that are decimal numbers go to value_int without their fraction; all others, and numbers that it can't
+    hold, go to value as they are. With `name` the payload is a name, which goes to value whatever it looks like.
+    """
     number = F.lit(CODES[code]) if isinstance(code, str) else code
     v = F.lit(None) if value is None else F.col(value) if isinstance(value, str) else value
     v = v.cast("string")
-    numeric = v.try_cast("double")
+    number_of = F.when(v.rlike(NUMBER), F.trim(v).try_cast("double")) if not name else F.lit(None).cast("double")
+    fits = (number_of > -(2**31) - 1) & (number_of < 2**31)
+    numeric = F.when(fits, number_of)
     return df.select(
         F.lit(bot).alias("bot"), number.cast("int").alias("code"), F.expr(f"{CODES[code]} div 100").cast("int").alias("class") if isinstance(code, str) else F.floor(number / 100).cast("int").alias("class"),
         F.col(p1).cast("long").alias("p1_id"), (F.col(p2) if p2 else F.lit(-1)).cast("long").alias("p2_id"),
-        F.when(numeric.isNull(), v).alias("value"), F.when(F.abs(numeric) < 2**31, F.when(numeric < 0, F.ceil(numeric)).otherwise(F.floor(numeric))).cast("int").alias("value_int"), F.lit(False).alias("modified"),
+        F.when(numeric.isNull(), v).alias("value"), F.when(numeric < 0, F.ceil(numeric)).otherwise(F.floor(numeric)).cast("int").alias("value_int"), F.lit(False).alias("modified"),
     )
 
 

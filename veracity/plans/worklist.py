@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veracity.plans.issues import condition
@@ -50,27 +51,33 @@ def undefined_near(undefined: DataFrame, usages: DataFrame, key: str, revisions:
     return usages.join(undefined.select(key), key, "left_semi").join(own, "id").groupBy(key).agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), key).limit(limit)
 
 
-def low_rated(facts: DataFrame, subjects: DataFrame | None = None, limit: int = 20) -> DataFrame:
+def low_rated(facts: DataFrame, subjects: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(s_id, p_id, rating): the worst rated fact of each subject, worst first; ratings below 0 only."""
     bad = facts.where("rating < 0")
     if subjects is not None:
         bad = bad.join(subjects.select(F.col("id").alias("s_id")), "s_id", "left_semi")
-    one = bad.withColumn("n", F.row_number().over(W.partitionBy("s_id").orderBy("rating", "p_id"))).where("n = 1")
-    return one.select("s_id", "p_id", "rating").orderBy("rating", "s_id").limit(limit)
+    one = bad.groupBy("s_id").agg(F.min(F.struct("rating", "p_id")).alias("x")).select("s_id", "x.p_id", "x.rating")
+    return one if limit is None else one.orderBy("rating", "s_id").limit(limit)
+
+
+def first_tier(tiers: list[DataFrame]) -> DataFrame:
+    """The rows of the first of some frames that has any: one plan, in which each frame has a bounded number of rows."""
+    rows = [t.withColumn("tier", F.lit(k)) for k, t in enumerate(tiers)]
+    every = reduce(DataFrame.unionByName, rows)
+    return every.join(F.broadcast(every.agg(F.min("tier").alias("tier"))), "tier").drop("tier")
 
 
 def low_rated_near(facts: DataFrame, revisions: DataFrame, member: DataFrame, user: str, limit: int = 20) -> DataFrame:
     """Low-rated facts on the user's pages, or else in the user's categories with half the limit."""
-    own = low_rated(facts, last_edits(revisions, user), limit)
-    return own if not own.isEmpty() else low_rated(facts, edited_categories(revisions, member, user).join(member, "category").select("id").distinct(), max(1, limit // 2))
+    near = edited_categories(revisions, member, user).join(member, "category").select("id").distinct()
+    return first_tier([low_rated(facts, last_edits(revisions, user), limit), low_rated(facts, near, max(1, limit // 2))])
 
 
 def recommend(issues: DataFrame, revisions: DataFrame, member: DataFrame, user: str, limit: int = 20) -> DataFrame:
     """The first of these that has rows: pages edited, pages in categories worked in, any page with issues."""
-    for found in (on_edited_pages(issues, revisions, user, limit), in_edited_categories(issues, revisions, member, user, limit)):
-        if not found.isEmpty():
-            return found.select("p1_id")
-    return issues.select("p1_id").distinct().orderBy("p1_id").limit(limit)
+    anything = issues.select("p1_id").distinct().orderBy("p1_id").limit(limit).withColumn("ts", F.lit(None).cast("timestamp"))
+    tiers = first_tier([on_edited_pages(issues, revisions, user, limit), in_edited_categories(issues, revisions, member, user, limit), anything])
+    return tiers.orderBy(F.desc("ts"), "p1_id").select("p1_id")
 
 
 def sample(issues: DataFrame, n: int, seed: int = 0) -> DataFrame:

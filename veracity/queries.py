@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import shared_dir
 from veracity.functions.text import converted, factor_of, first_upper, links_of, number_and_unit, is_cardinality, leading_int, title_key, units_of, xml_escape, xml_id
 from veracity.model import CATEGORY, CODES
-from veracity.operators.closure import closure, cycles, descendants, nearest_values, reach
+from veracity.operators.closure import closure, cycles, descendants, nearest_values, preorder, reach, strong_parts
 from veracity.operators.edit_join import similar_pairs
 from veracity.operators.filters import page_of, text_match
 from veracity.plans import consistency as C
-from veracity.plans import analyzers, runs, similarity, undefined, worklist
-from veracity.plans.issues import as_xml, changed, condition, containers, described, distinct_entities, issues, listed, marked_modified, overlay, visible, without
+from veracity.plans import analyzers, export_owl, runs, similarity, undefined, worklist
+from veracity.plans.issues import as_xml, changed, condition, containers, described, distinct_entities, for_pairs, issues, listed, marked_modified, overlay, visible, without
+from veracity.plans.store import IssueTable
 from veracity.sources.star import CUSTOMER, KIND, NATION, ORDER, PROP, PROPERTIES, REGION, SUPPLIER, graph, ident, mod_graph, part_schema, prop, table
+from veracity.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,9 +246,9 @@ def same_category_work(spark, d):
     return worklist.in_edited_categories(bad, graph(spark, d).revision, member, "7")
 
 
-@query(f"select c_custkey + {CUSTOMER * KIND} as s_id, {prop('has_balance')}::bigint as p_id, -1 as rating from customer where c_acctbal < 0 order by s_id limit 1000000")
+@query(f"select c_custkey + {CUSTOMER * KIND} as s_id, {prop('has_balance')}::bigint as p_id, -1 as rating from customer where c_acctbal < 0")
 def low_rated(spark, d):
-    return worklist.low_rated(graph(spark, d).attribute, limit=1_000_000)
+    return worklist.low_rated(graph(spark, d).attribute)
 
 
 @query("select distinct doc_id as id, source as template from documents where source is not null")
@@ -432,7 +436,7 @@ def annotation_violations(spark, d):
     return C.annotation_issues(g, replace(none, pairs=pairs)).select("p1_id", "code")
 
 
-@query("select c_custkey, array_to_string(['g', 'gram'], '|') as units, replace(replace(c_name, '&', '&amp;'), '<', '&lt;') as safe, replace(c_name, '#', '') as id from customer")
+@query("select c_custkey, array_to_string(['g', 'gram'], '|') as units, replace(replace(c_name, '&', '&amp;'), '<', '&lt;') as safe, replace(c_name, '#', 'Z23.') as id from customer")
 def export_texts(spark, d):
     c = table(spark, d, "customer")
     return c.select("c_custkey", F.array_join(units_of(F.lit("1000 g, gram")), "|").alias("units"), xml_escape(F.col("c_name")).alias("safe"), xml_id(F.col("c_name")).alias("id"))
@@ -516,3 +520,163 @@ def quantities(spark, d):
     p = table(spark, d, "part")
     text = F.concat(F.col("p_size"), F.lit(",000.0 g"))
     return p.select("p_partkey", number_and_unit(text)["value"].alias("value"), number_and_unit(text)["unit"].alias("unit"), converted(text, factor_of(F.lit("1000 g, gram"))).alias("kilos"), F.array_join(links_of(F.concat_ws("; ", "p_brand", "p_type", F.lit(""))), ",").alias("links"))
+
+
+#: Parts in blocks of 64: each leads to three times its number, some also to the next, all within the block.
+_BLOCKS = "e(src, dst) as (select p_partkey, p_partkey // 64 * 64 + p_partkey % 64 * 3 % 64 from part union select p_partkey, p_partkey // 64 * 64 + (p_partkey % 64 + 1) % 64 from part where p_partkey % 16 = 5)"
+
+
+def block_graph(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p_partkey").cast("long")
+    part = table(spark, d, "part")
+    at = (p / 64).cast("long") * 64
+    return part.select(p.alias("src"), (at + p % 64 * 3 % 64).alias("dst")).unionByName(part.where("p_partkey % 16 = 5").select(p.alias("src"), (at + (p % 64 + 1) % 64).alias("dst")))
+
+
+@query(f"""with recursive {_BLOCKS}, t(src, dst) as (select src, dst from e where src <> dst union select t.src, e.dst from t join e on t.dst = e.src where t.src <> e.dst),
+s as (select a.src as node, a.dst as other from t a join t b on a.src = b.dst and a.dst = b.src) select node::bigint as node, least(node, min(other))::bigint as part from s group by node""")
+def strongly_connected_parts(spark, d):
+    found = strong_parts(block_graph(spark, d))
+    return found.join(found.groupBy("part").agg(F.min("node").alias("first")), "part").select("node", F.col("first").alias("part"))
+
+
+@query(f"""with recursive {_BLOCKS}, p(start, node, path) as (
+  select src, dst, [src] from e union all select start, e.dst, list_append(path, p.node) from p join e on p.node = e.src where p.node <> start and not list_contains(path, p.node) and p.node > start)
+select distinct array_to_string(list_sort(path), ';') as members from p where node = start""")
+def block_cycles(spark, d):
+    return cycles(block_graph(spark, d), None).select(F.array_join("members", ";").alias("members"))
+
+
+@query("""with recursive t(node, key) as (select p_partkey, lpad(p_partkey::varchar, 9, '0') from part where p_partkey = 0 or p_partkey // 3 not in (select p_partkey from part)
+union all select p_partkey, key || '/' || lpad(p_partkey::varchar, 9, '0') from part join t on p_partkey // 3 = node where p_partkey > 0) select node::bigint as node, key from t""")
+def export_order(spark, d):
+    """Parts below a third of their number, depth first."""
+    _, tree, _ = part_schema(spark, d)
+    names = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("node"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("name"))
+    return preorder(tree, names).select("node", F.array_join("key", "/").alias("key"))
+
+
+def _lead(c: str) -> str:
+    return f"coalesce(try_cast(regexp_extract({c}, '^\\s*([+-]?\\d+)', 1) as bigint), 0)"
+
+
+def _nearest(name: str, declared: str, columns: str) -> str:
+    return f"""{name}_up(p, here) as (select p, p // 3 from part_ where p > 0 union all select p, here // 3 from {name}_up where here not in (select p from {declared}) and here > 0),
+{name} as (select u.p, {columns} from {name}_up u join {declared} o on u.here = o.p)"""
+
+
+@query(f"""with recursive {_PART}, lo as (select p, {_lead('arg_min(value, ord)')} as v from minima group by 1), hi as (select p, {_lead('arg_min(value, ord)')} as v from maxima group by 1), ty as (select p, arg_min(value, ord) as v from types group by 1),
+{_nearest('near', 'pairs', 'o.dom, o.ran')}, {_nearest('far_lo', 'lo', 'o.v')}, {_nearest('far_hi', 'hi', 'o.v')},
+every as (select p, dom, ran from pairs union select p, dom, ran from near where p not in (select p from pairs))
+select part_.p as p_id, dom as domain, ran as range, ty.v as type, coalesce(lo.v, far_lo.v) as least, coalesce(hi.v, far_hi.v) as most
+from part_ left join every on every.p = part_.p left join ty on ty.p = part_.p left join lo on lo.p = part_.p left join hi on hi.p = part_.p left join far_lo on far_lo.p = part_.p left join far_hi on far_hi.p = part_.p""")
+def owl_restrictions(spark, d):
+    properties, tree, schema = part_schema(spark, d)
+    return export_owl.restrictions(tree, schema, properties)
+
+
+@query("""select p_partkey::bigint as s_id, 1::bigint as p_id, p_size::double as number, 'float' as xsd from part where p_size % 3 = 0 union all select p_partkey, 1, p_size::double / 1000, 'float' from part where p_size % 3 = 1
+union all select p_partkey, 2, null, case when p_size > 10 then 'dateTime' else 'string' end from part""")
+def owl_typed_values(spark, d):
+    """Sizes in kilos, grams and unknown units; a property whose type is one or another."""
+    p = table(spark, d, "part").withColumn("s_id", F.col("p_partkey").cast("long"))
+    unit = F.element_at(F.array(F.lit("kg"), F.lit("g"), F.lit("?")), F.col("p_size") % 3 + 1)
+    size = p.select("s_id", F.lit(1).cast("long").alias("p_id"), F.concat_ws(" ", F.col("p_size"), unit).alias("value"), unit.alias("unit"))
+    more = p.select("s_id", F.when(F.col("p_size") > 10, 2).otherwise(3).cast("long").alias("p_id"), F.lit("2024/1/5").alias("value"), F.lit("").alias("unit"))
+    specs = p.limit(1).select(F.lit(1).cast("long").alias("p_id"), F.explode(F.array(F.lit("1 kg, kilo"), F.lit("1000 g, gram"))).alias("spec"))
+    types = p.limit(1).select(F.explode(F.array(F.struct(F.lit(1).cast("long").alias("p_id"), F.lit(0).alias("ord"), F.lit("Mass").alias("value")), F.struct(F.lit(2).cast("long").alias("p_id"), F.lit(0).alias("ord"), F.lit("Date").alias("value")))).alias("x")).select("x.*")
+    found = export_owl.typed_values(size.unionByName(more), types, specs)
+    dated = F.col("xsd").isin("dateTime", "string") & F.col("value").isin("2024-01-05T00:00:00", "2024/1/5")
+    return found.select("s_id", F.least("p_id", F.lit(2).cast("long")).alias("p_id"), F.when(~dated, F.col("value").cast("double")).alias("number"), "xsd")
+
+
+@query(f"""select '<owl:Thing rdf:about="&item;' || replace(c_name, '#', 'Z23.') || '">' || array_to_string(list_transform(list_sort([n_name, c_mktsegment]), lambda c: '<rdf:type rdf:resource="&concept;' || c || '"/>'), '')
+|| '<rel:has_balance rdf:datatype="&xsd;float">' || c_acctbal || '</rel:has_balance></owl:Thing>' as text from customer join nation on c_nationkey = n_nationkey""")
+def owl_customers(spark, d):
+    g = graph(spark, d)
+    g.page = g.page.where(F.floor(F.col("id") / KIND) == CUSTOMER)
+    none = part_schema(spark, d)[2]
+    types = none.types.limit(1).select(F.lit(prop("has_balance")).alias("p_id"), F.lit(0).alias("ord"), F.lit("Number").alias("value"))
+    return export_owl.individuals(g, replace(none, types=types, units=None)).select("text")
+
+
+@query("""select p_partkey::bigint as p1_id, case p_size % 4 when 0 then 'NaN' when 1 then p_size || 'd' when 2 then (p_partkey + 3000000000)::varchar end as value, case when p_size % 4 = 3 then -(p_partkey % 1000) end::int as value_int from part""")
+def issue_payloads(spark, d):
+    """Payloads that look like numbers to a cast, numbers too large, and decimal fractions."""
+    kind = F.col("p_size") % 4
+    shown = F.when(kind == 0, "NaN").when(kind == 1, F.concat("p_size", F.lit("d"))).when(kind == 2, (F.col("p_partkey") + F.lit(3_000_000_000)).cast("string")).otherwise(F.concat(F.lit("-"), F.col("p_partkey") % 1000, F.lit(".75")))
+    return issues(table(spark, d, "part").withColumn("v", shown), "consistency", "wrong_maxcard_value", "p_partkey", value="v").select("p1_id", "value", "value_int")
+
+
+def _audit(spark: SparkSession, d: str) -> tuple:
+    """Balances of one region's customers, orders to another's customers, two to eight lines an order."""
+    none = part_schema(spark, d)[2]
+    declared = "p_id long, ord int, value string"
+    pairs = spark.createDataFrame([(prop("has_balance"), 0, REGION * KIND + 2, None), (prop("has_customer"), 0, None, REGION * KIND + 1)], "p_id long, ord int, domain long, range long")
+    bound = lambda v: spark.createDataFrame([(prop("has_part"), 0, v)], declared)
+    empty = spark.createDataFrame([], declared)
+    return graph(spark, d), replace(none, types=empty, minima=bound("2"), maxima=bound("8"), pairs=pairs, inverses=none.inverses.limit(0), records=None, record_fields=None, units=None)
+
+
+def _recheck(spark: SparkSession, d: str, changed: DataFrame) -> DataFrame:
+    g, schema = _audit(spark, d)
+    return incremental.rechecked(g, schema, incremental.scope(g, schema, changed)).select("code", "p1_id", "p2_id", "value", "value_int")
+
+
+@query(f"select 10306 as code, c_custkey + {CUSTOMER * KIND} as p1_id, {prop('has_balance')}::bigint as p2_id, null::varchar as value, null::int as value_int from customer join nation on c_nationkey = n_nationkey where n_regionkey <> 2")
+def recheck_of_categories(spark, d):
+    """Nations of one region are saved; what lies above them is one property's domain."""
+    return _recheck(spark, d, table(spark, d, "nation").where("n_regionkey = 2").select(ident(NATION, "n_nationkey")))
+
+
+@query(f"""with c as (select l_orderkey as o, {PROP * KIND} as p, count(*) as n from lineitem group by 1 union all select l_orderkey, {PROP * KIND} + case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end, count(*) from lineitem group by 1, 2),
+f as (select {PROP * KIND} + i as p from range(4) t(i))
+select case when n < 2 then 10307 else 10308 end as code, o + {ORDER * KIND} as p1_id, p::bigint as p2_id, null::varchar as value, case when n < 2 then 2 - n else n - 8 end::int as value_int from c where n < 2 or n > 8
+union all select code, p, -1, null, null from f, (values (10102), (10105)) v(code) union all select code, p, -1, null, null from f, (values (10004), (10005)) v(code) where p > {PROP * KIND}""")
+def recheck_of_properties(spark, d):
+    return _recheck(spark, d, table(spark, d, "region").limit(1).select(F.lit(prop("has_part")).alias("id")))
+
+
+@query(f"""with c as (select c_custkey as c, n_regionkey as r, c_name from customer join nation on c_nationkey = n_nationkey where c_custkey % 10 = 0)
+select 10306 as code, c + {CUSTOMER * KIND} as p1_id, {prop('has_balance')}::bigint as p2_id, null::varchar as value, null::int as value_int from c where r <> 2
+union all select distinct 10305, o_orderkey + {ORDER * KIND}, {prop('has_customer')}, c_name, null from orders join c on c = o_custkey where r <> 1""")
+def recheck_of_pages(spark, d):
+    """A tenth of the customers is saved: their own facts, and the orders that lead to them."""
+    return _recheck(spark, d, table(spark, d, "customer").where("c_custkey % 10 = 0").select(ident(CUSTOMER, "c_custkey")))
+
+
+@query(f"with {_ISSUES} select bot, code::int as code, p1_id, value_int from i where code <> 10307 union all select 'consistency', 10306, o_orderkey, null from orders where o_totalprice < 2000")
+def stored_issues(spark, d):
+    """Two analyzers' issues in the stored table; one's are partly deleted, then more are added; a version is written twice."""
+    at = IssueTable(spark, f"{shared_dir(spark)}/issues-{uuid.uuid4().hex}")
+    found = _anomalies(spark, d)
+    for bot in ("consistency", "anomalies"):
+        at.write(bot, found, 0)
+    more = issues(table(spark, d, "orders").where("o_totalprice < 2000"), "consistency", "wrong_domain_value", "o_orderkey")
+    at.remove("consistency", 1, codes=CODES["too_low_card"])
+    at.append("consistency", more, 2)
+    at.append("consistency", more, 2)
+    return at.read().select("bot", "code", "p1_id", "value_int")
+
+
+@query("""with o as (select cast(json_extract_string(props, '$.k') as bigint) as id, max(ts) as ts from events where user_id = 7 group by 1), u as (select doc_id as id, source as category from documents where source is not null and source not in (select r_name from region))
+select category, max(ts) as ts from u join o using (id) group by 1 order by 2 desc, 1 limit 20""")
+def undefined_categories_near(spark, d):
+    """Sources of documents as categories without page, on the pages that a user has edited."""
+    g = graph(spark, d)
+    g.member = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"))
+    return worklist.undefined_near(undefined.undefined_categories(g), g.member, "category", g.revision, "7")
+
+
+@query(f"""with l as (select doc_id as s_id, -quality - toxic - 1 as rating from labels), o as (select cast(json_extract_string(props, '$.k') as bigint) as id from events where user_id = 7)
+select s_id, {prop('has_balance')}::bigint as p_id, rating::int as rating from l where s_id in (select id from o) order by rating, s_id limit 20""")
+def low_rated_near(spark, d):
+    facts = table(spark, d, "labels").select(F.col("doc_id").alias("s_id"), F.lit(prop("has_balance")).alias("p_id"), (-F.col("quality") - F.col("toxic") - 1).cast("int").alias("rating"))
+    member = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"))
+    return worklist.low_rated_near(facts, graph(spark, d).revision, member, "7")
+
+
+@query(f"""with {_ISSUES} select code::int as code, p1_id, value_int from i where p1_id in (select o_orderkey from orders where o_totalprice > 100000)""")
+def issues_for_pairs(spark, d):
+    wanted = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("p1_id"), F.lit(-1).cast("long").alias("p2_id"))
+    return for_pairs(_anomalies(spark, d), wanted).select("code", "p1_id", "value_int")

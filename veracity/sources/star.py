@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veracity.model import CATEGORY, MAIN, PROPERTY, TEMPLATE, Graph
 from veracity.plans.consistency import Schema
@@ -18,8 +19,16 @@ PROPERTIES = ("has_part", "has_part_A", "has_part_N", "has_part_R", "has_custome
 UNDEFINED_PROPERTY = "acted_by"
 
 
+#: Schemas of the tables read, by application and path: finding one out is a job of its own.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def ident(kind: int, key: str | Column) -> Column:
