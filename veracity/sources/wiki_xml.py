@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import materialize
 from veracity.functions.text import title_key
 from veracity.model import CATEGORY, MAIN, PROPERTY, TEMPLATE, TYPE, Graph
 from veracity.plans.consistency import Schema
@@ -33,8 +34,8 @@ def annotations(pages: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str) -> tuple[Graph, Schema]:
     """The graph and what its properties declare. Names without page get ids below 0."""
-    p = pages(spark, path)
-    found = annotations(p)
+    p = materialize(pages(spark, path), "pages")  # every table below reads them: the dump is parsed once
+    found = materialize(annotations(p), "annotations")
     schema_names = ["Has_domain_and_range", "Has_type", "Has_min_cardinality", "Has_max_cardinality", "Is_inverse_of", "Subproperty_of", "Has_fields", "Corresponds_to"]
     target = lambda c: title_key(F.regexp_replace(c, r"(?i)^\s*:?(category|property|type|template)\s*:", ""))
     member = p.select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\[\[\s*category\s*:\s*([^\]|:]+)"), F.lit(1))).alias("category")).select("id", title_key(F.col("category")).alias("category")).distinct()

@@ -1,6 +1,7 @@
 """Re-checks on changes: what a saved page touches is followed through the graphs, cleared, and checked again.
 
-* A category: the properties whose domain or range is the category or one above it, with all their subjects.
+* A category: the properties whose domain or range is the category or one above it, with all their subjects; and
+  whether those whose domain or range is the category or one below it still fit what they inherit.
 * A property: it and the properties below it, with their declarations and all their subjects.
 * A page: its own facts and what its categories need of it, and the relations that lead to it.
 * A type: the units of values of its properties.
@@ -28,14 +29,16 @@ from veracity.plans.store import IssueTable
 #: Codes of issues about one property's facts, about what properties declare, and about what a category can change.
 OF_FACTS = [CODES[c] for c in ("wrong_target_value", "wrong_domain_value", "too_low_card", "too_high_card", "wrong_unit", "missing_param", "missing_annotations")]
 OF_DECLARATIONS = [n for n in CODES.values() if n // 100 in (100, 101, 102)] + [CODES[c] for c in ("maxcard_not_null", "mincard_below_null", "wrong_mincard_value", "wrong_maxcard_value", "incompatible_supertypes")]
-OF_CATEGORIES = [CODES[c] for c in ("wrong_target_value", "wrong_domain_value", "missing_param")]
+OF_CATEGORIES = [CODES[c] for c in ("wrong_target_value", "wrong_domain_value", "missing_param", "missing_annotations")]
+OF_INHERITANCE = [CODES[c] for c in ("domains_not_covariant", "ranges_not_covariant")]
 
 
 @dataclass
 class Scope:
-    """What changes touch: properties (p_id) through categories, through properties and through types, pages (id), and facts (s_id, p_id) that lead to these."""
+    """What changes touch: properties (p_id) by categories at or below their sides, by those at or above these, by properties and by types, pages (id), and facts (s_id, p_id) that lead to these."""
 
     by_category: DataFrame
+    by_inheritance: DataFrame
     by_property: DataFrame
     by_type: DataFrame
     pages: DataFrame
@@ -50,21 +53,24 @@ def scope(g: Graph, schema: Schema, changed: DataFrame) -> Scope:
     above = reachable(g.category_graph(), cats.select(F.col("id").alias("node"))).select("node").distinct()
     sides = schema.pairs.select("p_id", F.explode(F.array("domain", "range")).alias("node"))
     by_category = materialize(sides.join(above, "node", "left_semi").select("p_id").distinct(), "by_category")
+    under = below(g.category_graph(), cats.select(F.col("id").alias("node"))).select("node").distinct()
+    by_inheritance = materialize(sides.join(under, "node", "left_semi").select("p_id").distinct(), "by_inheritance")
     by_property = materialize(below(g.property_graph(), props.select(F.col("id").alias("node"))).select(F.col("node").alias("p_id")).distinct(), "by_property")
     by_type = materialize(schema.types.join(types.select(F.col("title").alias("value")), "value", "left_semi").select("p_id").distinct(), "by_type")
     pages = materialize(pages.select("id"), "pages")
     leading = materialize(g.relation.join(pages.select(F.col("id").alias("o_id")), "o_id", "left_semi").select("s_id", "p_id").distinct(), "leading")
-    return Scope(by_category, by_property, by_type, pages, leading)
+    return Scope(by_category, by_inheritance, by_property, by_type, pages, leading)
 
 
 def within(table: DataFrame, touched: Scope) -> DataFrame:
     """`table` with `touched`: whether an issue is about what the changes touch."""
     mark = lambda df, c, name: df.withColumnsRenamed({df.columns[0]: c}).distinct().withColumn(name, F.lit(True))
     rows = table.join(mark(touched.by_category, "p2_id", "_c"), "p2_id", "left").join(mark(touched.by_property, "p2_id", "_p2"), "p2_id", "left").join(mark(touched.by_property, "p1_id", "_p1"), "p1_id", "left")
+    rows = rows.join(mark(touched.by_inheritance, "p1_id", "_h"), "p1_id", "left")
     rows = rows.join(mark(touched.by_type, "p2_id", "_t"), "p2_id", "left").join(mark(touched.pages, "p1_id", "_i"), "p1_id", "left")
     rows = rows.join(touched.leading.select(F.col("s_id").alias("p1_id"), F.col("p_id").alias("p2_id"), F.lit(True).alias("_l")), ["p1_id", "p2_id"], "left")
     code = F.col("code")
-    hit = [F.coalesce(h, F.lit(False)) for h in (F.col("_c") & code.isin(OF_CATEGORIES), F.col("_p2") & code.isin(OF_FACTS), F.col("_p1") & code.isin(OF_DECLARATIONS), F.col("_t") & (code == CODES["wrong_unit"]), F.col("_i") & code.isin(OF_FACTS), F.col("_l") & (code == CODES["wrong_target_value"]))]
+    hit = [F.coalesce(h, F.lit(False)) for h in (F.col("_c") & code.isin(OF_CATEGORIES), F.col("_p2") & code.isin(OF_FACTS), F.col("_p1") & code.isin(OF_DECLARATIONS), F.col("_h") & code.isin(OF_INHERITANCE), F.col("_t") & (code == CODES["wrong_unit"]), F.col("_i") & code.isin(OF_FACTS), F.col("_l") & (code == CODES["wrong_target_value"]))]
     any_hit = hit[0]
     for h in hit[1:]:
         any_hit = any_hit | h
@@ -88,11 +94,13 @@ def rechecked(g: Graph, schema: Schema, touched: Scope) -> DataFrame:
     every = C.checked_properties(g)
     found = [C.definition_issues(schema, properties)]
     if not some.isEmpty():
-        found.append(C.annotation_issues(of_some, replace(schema, pairs=semi(schema.pairs, some, "p_id"))))
+        found += [C.annotation_issues(of_some, replace(schema, pairs=semi(schema.pairs, some, "p_id"))), C.cardinality_issues(g, props_graph, schema, semi(every, some, "p_id"))]
+    fitting = touched.by_property.unionByName(touched.by_inheritance).distinct()
+    if not fitting.isEmpty():
+        found.append(C.covariance_issues(g.category_graph(), props_graph, schema, None, fitting))
     if not touched.by_property.isEmpty():
         found += [
-            C.min_cardinality_issues(props_graph, schema, properties), C.max_cardinality_issues(props_graph, schema, properties), C.cardinality_issues(g, props_graph, schema, properties),
-            C.covariance_issues(g.category_graph(), props_graph, schema, None, touched.by_property), C.type_issues(props_graph, schema, properties),
+            C.min_cardinality_issues(props_graph, schema, properties), C.max_cardinality_issues(props_graph, schema, properties), C.type_issues(props_graph, schema, properties),
         ]
     if not touched.pages.isEmpty():
         found += [C.annotation_issues(of_pages, schema), C.cardinality_issues(g, props_graph, schema, every, None, touched.pages)]
