@@ -42,10 +42,16 @@ SEGMENT = "lang string, range long, part long, nodes long, blob binary"
 NODES = "lang string, phrase string, words int, a long, lefts array<long>, total long"
 
 
+def _packed(a: np.ndarray, kind: type, ascending: bool) -> bytes:
+    """Differences where values ascend, bytes of equal weight side by side: both compress well."""
+    a = np.diff(a, prepend=a[:1] * 0) if ascending else a
+    return a.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
 class Trie:
     """words: sorted; one: (word, count) of single words; two: (word, word, count); deeper: (parent, word, count) a level."""
 
-    def __init__(self, words: list[bytes], one: tuple, two: tuple, deeper: list[tuple]):
+    def __init__(self, words: pa.Array, one: tuple, two: tuple, deeper: list[tuple]):
         self.words, self.one, self.two, self.deeper = words, one, two, deeper
 
     @property
@@ -55,23 +61,47 @@ class Trie:
     def dump(self) -> bytes:
         levels = [self.one, self.two, *self.deeper]
         head = np.array([len(self.words), len(levels), *[len(x[0]) for x in levels]], np.int64)
-        arrays = [a.astype(np.int64 if k == len(x) - 1 else np.int32).tobytes() for x in levels for k, a in enumerate(x)]
-        return zstandard.compress(b"".join([head.tobytes(), *arrays, b"\n".join(self.words)]), 1)
+        arrays = [_packed(a, np.int64 if k == len(x) - 1 else np.int32, k == 0) for x in levels for k, a in enumerate(x)]
+        lengths, text = np.zeros(0, np.int64), b""
+        if len(self.words):
+            _, at, data = self.words.buffers()
+            at = np.frombuffer(at, np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
+            lengths, text = np.diff(at), data[int(at[0]) : int(at[-1])].to_pybytes()
+        return zstandard.compress(b"".join([head.tobytes(), *arrays, _packed(lengths, np.int32, False), text]), 1)
 
     @staticmethod
     def load(blob: bytes) -> Trie:
-        raw, at = zstandard.decompress(blob), 0
+        raw = zstandard.decompress(blob)
+        n_words, n_levels = np.frombuffer(raw, np.int64, 2)
+        sizes = np.frombuffer(raw, np.int64, int(n_levels), 16).tolist()
+        at, levels = 8 * (2 + len(sizes)), []
 
-        def take(n: int, kind: type) -> np.ndarray:
+        def unpacked(n: int, kind: type, ascending: bool) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
-            at += out.nbytes
-            return out
+            width = np.dtype(kind).itemsize
+            planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+            at += n * width
+            a = np.ascontiguousarray(planes.T).view(kind).reshape(n).astype(np.int64)
+            return np.cumsum(a) if ascending else a
+
+        for width, n in zip([1, *[2] * (len(sizes) - 1)], sizes, strict=True):
+            levels.append(tuple(unpacked(n, np.int64 if k == width else np.int32, k == 0) for k in range(width + 1)))
+        ends = np.concatenate([[0], np.cumsum(unpacked(int(n_words), np.int32, False))]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), int(n_words), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[at:])])
+        return Trie(words, levels[0], levels[1], levels[2:])
+
+
+def _split(text: bytes, at: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([text], pa.large_binary()), at).flatten()
+
 
-        n_words, n_levels = take(2, np.int64)
-        sizes = take(int(n_levels), np.int64)
-        levels = [tuple(take(int(n), np.int64 if k == width else np.int32).astype(np.int64) for k in range(width + 1)) for n, width in zip(sizes, [1, *[2] * (int(n_levels) - 1)], strict=True)]
-        return Trie(raw[at:].split(b"\n") if n_words else [], levels[0], levels[1], levels[2:])
+def _unified(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, sorted, and the place of every given one."""
+    found = words.dictionary_encode()
+    order = pc.array_sort_indices(found.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return found.dictionary.take(order), rank[found.indices.to_numpy()]
 
 
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,15 +112,13 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, sums, place
 
 
-def tokens_of(text: bytes) -> tuple[list[bytes], np.ndarray]:
+def tokens_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     """Sorted distinct words, and the text as their places with -1 at the end of each piece."""
-    flat = text.translate(_BYTES).replace(b"\n", b" \n ")
-    found = pc.split_pattern(pa.array([flat], pa.large_binary()), b" ").flatten().dictionary_encode()
-    known = found.dictionary.to_pylist()
-    words = sorted(w for w in known if w not in (b"", b"\n"))
-    place = {w: i for i, w in enumerate(words)} | {b"\n": -1, b"": -2}
-    codes = np.fromiter((place[w] for w in known), np.int64, len(known))[found.indices.to_numpy()]
-    return words, codes[codes > -2]
+    words, codes = _unified(_split(text.translate(_BYTES).replace(b"\n", b" \n "), b" "))
+    none, end = pc.equal(words, b""), pc.equal(words, b"\n")
+    own = ~(none.to_numpy(zero_copy_only=False) | end.to_numpy(zero_copy_only=False))
+    place = np.where(own, np.cumsum(own) - 1, np.where(end.to_numpy(zero_copy_only=False), -1, -2))[codes]
+    return words.filter(pa.array(own)), place[place > -2]
 
 
 def counted(text: bytes, depth: int) -> Trie:
@@ -105,15 +133,16 @@ def counted(text: bytes, depth: int) -> Trie:
         at, node = at[there], node[there]
         word = tokens[at + k]
         at, node, word = at[word >= 0], node[word >= 0], word[word >= 0]
-        keys, node, count = np.unique(node * n + word, return_inverse=True, return_counts=True)
+        keys, *node, count = np.unique(node * n + word, return_inverse=k + 1 < depth, return_counts=True)
+        node = node[0] if node else None
         levels.append((keys // n, keys % n, count))
     return Trie(words, levels[0], levels[1] if depth > 1 else (levels[0][0][:0],) * 3, levels[2:])
 
 
 def merged(tries: list[Trie]) -> Trie:
     """One trie with the counts of all."""
-    words, place = np.unique(np.array([w for t in tries for w in t.words] or [b""], object), return_inverse=True)
-    n, base = len(words), np.cumsum([0, *[len(t.words) for t in tries]])
+    words, place = _unified(pa.concat_arrays([t.words for t in tries]))
+    n, base = max(len(words), 1), np.cumsum([0, *[len(t.words) for t in tries]])
     code = lambda t, w: place[base[t] + w]
     every = lambda parts: np.concatenate([np.asarray(p, np.int64) for p in parts])
     one, f1, _ = _summed(every([code(i, t.one[0]) for i, t in enumerate(tries)]), every([t.one[1] for t in tries]))
@@ -124,7 +153,7 @@ def merged(tries: list[Trie]) -> Trie:
         key, f, node = _summed(every([node[start[i] + t.deeper[k][0]] * n + code(i, t.deeper[k][1]) for i, t in enumerate(tries)]), every([t.deeper[k][2] for t in tries]))
         deeper.append((key // n, key % n, f))
         above = [len(t.deeper[k][0]) for t in tries]
-    return Trie(list(words) if any(t.words for t in tries) else [], (one, f1), (two // n, two % n, f2), deeper)
+    return Trie(words, (one, f1), (two // n, two % n, f2), deeper)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -133,7 +162,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _hashes(trie: Trie) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in trie.words), np.uint64, len(trie.words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, trie.words.to_pylist()), np.uint64, len(trie.words))
 
 
 def _selected(trie: Trie, where: list[np.ndarray]) -> Iterator[tuple[int, Trie]]:
@@ -145,14 +174,13 @@ def _selected(trie: Trie, where: list[np.ndarray]) -> Iterator[tuple[int, Trie]]
         s = np.empty(len(o), np.int64)
         s[o] = np.arange(len(o)) - np.searchsorted(r, r)
         spot.append(s)
-    words = np.array(trie.words, object)
     for r in np.unique(np.concatenate(ranges)):
         part = [o[np.searchsorted(x, r) : np.searchsorted(x, r, "right")] for o, x in zip(order, ranges, strict=True)]
         a, b, deeper = part[0], part[1], part[2:]
         used = np.unique(np.concatenate([trie.one[0][a], trie.two[0][b], trie.two[1][b], *[trie.deeper[k][1][d] for k, d in enumerate(deeper)]]))
         to = lambda c: np.searchsorted(used, c)  # noqa: B023, E731
         below = [(spot[k + 1][trie.deeper[k][0][d]], to(trie.deeper[k][1][d]), trie.deeper[k][2][d]) for k, d in enumerate(deeper)]
-        yield int(r), Trie(list(words[used]), (to(trie.one[0][a]), trie.one[1][a]), (to(trie.two[0][b]), to(trie.two[1][b]), trie.two[2][b]), below)
+        yield int(r), Trie(trie.words.take(pa.array(used)), (to(trie.one[0][a]), trie.one[1][a]), (to(trie.two[0][b]), to(trie.two[1][b]), trie.two[2][b]), below)
 
 
 def by_prefix(trie: Trie, bits: int) -> Iterator[tuple[int, Trie]]:
@@ -210,7 +238,7 @@ def _shards(bits: int, depth: int, shard_bytes: int):
 
 def _rows(trie: Trie, lang: str, least: int, first: bool) -> pd.DataFrame:
     """The nodes with at least so many occurrences, with the counts of their left parts of two and more words; a row for the total."""
-    words = [w.decode() for w in trie.words]
+    words = [w.decode() for w in trie.words.to_pylist()]
     out = []
     if first:
         out.append((lang, None, 0, None, None, int(trie.one[1].sum())))
