@@ -137,7 +137,7 @@ def _along_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     place = every.join(ranked(chosen), "node", "left").select("node", F.coalesce("path", "node").alias("path"), F.coalesce("pos", F.lit(0).cast("long")).alias("pos"))
     place = materialize(place, "places")
     ends = [place.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"), F.col("pos").alias(f"{c}_pos")) for c in ("src", "dst")]
-    leaps = edges.join(chosen, ["src", "dst"], "left_anti").join(ends[0], "src").join(ends[1], "dst").select("src_path", "src_pos", "dst_path", "dst_pos")
+    leaps = edges.join(ends[0], "src").join(ends[1], "dst").where("src_path <> dst_path or dst_pos <> src_pos + 1").select("src_path", "src_pos", "dst_path", "dst_pos")
     leaps = materialize(leaps, "leaps")
     frontier = materialize(starts.join(place, "node").groupBy("root", "path").agg(F.min("pos").alias("pos")), "frontier")
     seen, rounds = frontier, 0
