@@ -362,9 +362,9 @@ def cycles(edges: DataFrame, max_length: int | None = 10, most: int = 100_000, s
     core = edges.where("src <> dst").join(part.select(F.col("node").alias("src"), "part"), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("other")), "dst").where("part = other").select("part", "src", "dst")
     core = materialize(core, "core")
     paths = core.where("dst > src").select("part", F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
+    paths = materialize(paths, "paths")
     length, found, dense = 2, None, part.select("part").limit(0)
     while max_length is None or length <= max_length:
-        paths = materialize(paths, "paths")
         n = paths.count()
         if n > most:
             many = materialize(paths.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("part"), "dense")
@@ -373,10 +373,13 @@ def cycles(edges: DataFrame, max_length: int | None = 10, most: int = 100_000, s
             n = paths.count()
         if not n:
             break
-        step = paths.join(core.drop("part"), paths["end"] == core["src"])
+        step = paths.join(core.drop("part"), paths["end"] == core["src"]).where("dst = start or (dst > start and not array_contains(path, dst))")
+        step = materialize(step.select("part", "start", "dst", "path"), "paths")  # what closes and what goes on, in one pass
         closed = step.where("dst = start").select("part", F.array_sort("path").alias("members"))
         found = closed if found is None else found.unionByName(closed)
-        paths = step.where("dst > start and not array_contains(path, dst)").select("part", "start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"))
+        if length % MERGE_EVERY == 0:
+            found = materialize(found, "found")
+        paths = step.where("dst > start").select("part", "start", F.col("dst").alias("end"), F.concat("path", F.array("dst")).alias("path"))
         length += 1
     whole = part.join(dense, "part", "left_semi").groupBy("part").agg(F.array_sort(F.collect_list("node")).alias("members")).select("members", F.lit(True).alias("dense"))
     if found is not None:

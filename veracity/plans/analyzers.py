@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.model import CATEGORY, Graph
+from veracity.model import CATEGORY, PROPERTY, Graph
 from veracity.plans import consistency, similarity, undefined
 from veracity.plans.consistency import Schema, union
 from veracity.plans.issues import issues
@@ -91,6 +91,14 @@ def similarity_issues(g: Graph, schema: Schema, degree: int = 1, limit: int = 10
     return union(issues(found, "similarity", "similar_schema_entity", "id1", "id2", "score"), issues(found.where("one_affix"), "similarity", "distinct_by_affix", "id1", "id2"), *shared)
 
 
+def annotation_issues(g: Graph, schema: Schema | None = None, term: str | None = None, degree: int = 1) -> DataFrame:
+    """Subjects of facts whose property has a name like the term; the value is that name."""
+    if not term:
+        raise ValueError("annotations needs a term")
+    names = g.entity.where(F.col("ns") == PROPERTY).select(F.col("id").alias("p_id"), F.col("title").alias("name"))
+    return issues(similarity.similar_annotations(g.facts, names, term, degree), "annotations", "similar_annotation", "s_id", value="name", name=True)
+
+
 #: Analyzer and parameters by name.
 ANALYZERS: dict[str, tuple[Callable[..., DataFrame], dict[str, Parameter]]] = {
     "consistency": (consistency.analyze, {"max_depth": Parameter(int, None, 1)}),
@@ -98,6 +106,7 @@ ANALYZERS: dict[str, tuple[Callable[..., DataFrame], dict[str, Parameter]]] = {
     "missing": (missing_issues, {"term": Parameter(str), "category": Parameter(str)}),
     "anomalies": (anomaly_issues, {"category": Parameter(str)}),
     "templates": (template_issues, {"touched_after": Parameter(str)}),
+    "annotations": (annotation_issues, {"term": Parameter(str), "degree": Parameter(int, 1, choices=(1, 2, 3))}),
     "similarity": (similarity_issues, {"degree": Parameter(int, 1, choices=(1, 2, 3)), "limit": Parameter(int, 100, 0, 1000), "score": Parameter(float, 0.0, 0, 3)}),
 }
 

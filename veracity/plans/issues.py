@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veracity.functions.text import payload, xml_escape
 from veracity.model import CATEGORY, CODES, Graph
 from veracity.operators.closure import reach
-from veracity.operators.filters import all_of, equals, one_of, page_of, signed_class
+from veracity.operators.filters import all_of, equals, one_of, page_of, signed_class, text_match
 
 
 #: What counts as a number in a payload: decimal notation only.
@@ -77,6 +77,21 @@ def containers(table: DataFrame, limit: int = 20, offset: int = 0, **filters: ob
     return table.where(condition(**filters)).join(page, "p1_id", "left_semi").groupBy("p1_id").agg(F.array_sort(F.collect_list(F.struct("code", "p2_id", "value", "value_int"))).alias("issues"))
 
 
+def view(table: DataFrame, titles: DataFrame, part: str | None = None, nth_class: int = 0, first_class: int = 100, after: tuple[str, int] | None = None, limit: int = 20) -> DataFrame:
+    """(p1_id, title, issues): a page of entities by title (id, title) and id, each with all its issues that fit.
+
+    Of the n-th class from the analyzer's first one, or of all visible ones; with a part of the title; after the last
+    (title, id) of the page before, so later pages cost no more than the first.
+    """
+    rows = visible(table) if not nth_class else table.where(F.col("class") == first_class + nth_class - 1)
+    named = titles if part is None else titles.where(text_match("title", part))
+    if after is not None:
+        named = named.where(F.struct("title", "id") > F.struct(F.lit(after[0]).alias("title"), F.lit(after[1]).cast("long").alias("id")))
+    having = named.select(F.col("id").alias("p1_id"), "title").join(rows.select("p1_id"), "p1_id", "left_semi")
+    page = having.orderBy("title", "p1_id").limit(limit)
+    return rows.join(page, "p1_id").groupBy("p1_id", "title").agg(F.array_sort(F.collect_list(F.struct("code", "p2_id", "value", "value_int"))).alias("issues"))
+
+
 def visible(table: DataFrame) -> DataFrame:
     return table.where(F.col("code") < 100000)
 
@@ -93,9 +108,18 @@ def propagated(g: Graph, table: DataFrame, domains: DataFrame, max_depth: int |
 
 #: What an issue says; {1} and {2} are titles, {v} is the value.
 MESSAGES = {
+    10001: "{1} has {2} as domain, which lies below no inherited one", 10002: "{1} has {2} as range, which lies below no inherited one", 10003: "{1} has another type than the properties above it",
+    10004: "{1} allows fewer values than the properties above it", 10005: "{1} allows more values than the properties above it",
+    10101: "{1} has no domain", 10102: "{1} has neither domain nor range", 10104: "{1} has no range", 10105: "{1} has no type",
+    10201: "{1} has {v} types", 10202: "{1} has several maxima, {v} among them", 10203: "{1} has several minima, {v} among them",
+    10301: "{1} allows no value at all", 10302: "{1} has a minimum below zero", 10303: "{1} has {v} as minimum, which is no whole number", 10304: "{1} has {v} as maximum, which is no whole number",
     10305: "{1} points by {2} to {v}, which is outside its range", 10306: "{1} is outside the domain of {2}", 10307: "{1} has {v} values of {2} too few", 10308: "{1} has {v} values of {2} too many",
-    10309: "{1} uses {v}, which is no unit of {2}", 10311: "{1} has no value of {2} but needs {v}", 10501: "{1} lies on a cycle: {v}", 30001: "{1} has no category", 30102: "{2} uses {1}, which has no page",
-    30203: "{2} is in {v}, which has no page", 30304: "{2} leads to {v}, which has no page", 50001: "{1} has no annotation", 60001: "{1} has no members", 60101: "{1} has {v} subcategories", 20001: "{1} and {2} have similar names",
+    10309: "{1} uses {v}, which is no unit of {2}", 10310: "{1} has a value of {2} whose fields are not as declared", 10311: "{1} has no value of {2} but needs {v}",
+    10401: "{1} has a domain that is not the range of {2}, its inverse", 10402: "{2} redirects to {1}, which is of another kind", 10404: "{1} inherits {v} different types", 10501: "{1} lies on a cycle: {v}",
+    20001: "{1} and {2} have similar names", 20003: "{1} and {2} differ by an affix alone", 20004: "{1} and {2} share categories: {v}", 20005: "{1} and {2} share domains: {v}",
+    20006: "{1} and {2} share ranges: {v}", 20007: "{1} and {2} share types: {v}", 20101: "{1} has an annotation of a similar name, {v}",
+    30001: "{1} has no category", 30102: "{2} uses {1}, which has no page", 30203: "{2} is in {v}, which has no page", 30304: "{2} leads to {v}, which has no page",
+    40001: "{1} uses a template that has changed", 50001: "{1} has no annotation", 60001: "{1} has no members", 60101: "{1} has {v} subcategories", 100001: "{1} lies above something with issues",
 }
 
 

@@ -42,6 +42,15 @@ def last_finished(log: DataFrame, bot: str | None = None) -> DataFrame:
     return (done if bot is None else done.where(F.col("bot") == bot)).agg(F.max("started").alias("started"))
 
 
+def touched_since(pages: DataFrame, log: DataFrame, bot: str) -> DataFrame:
+    """The pages touched since the start of the bot's last finished run, or at an unknown time; all, before the first.
+
+    The time is a scalar subquery, so Spark finds it before it scans the pages and hands it to the scan as a filter.
+    """
+    last = last_finished(log, bot).select(F.coalesce("started", F.lit("0001-01-01").cast("timestamp")).alias("started")).scalar()
+    return pages.where((F.col("touched") >= last) | F.col("touched").isNull())
+
+
 def retained(log: DataFrame, now: str) -> DataFrame:
     """Without unfinished runs begun more than 2 days ago and all begun more than a month ago, by whole days."""
     day = F.lit(now).cast("date")

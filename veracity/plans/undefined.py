@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veracity.model import CATEGORY, IMAGE, MAIN, PROPERTY, TEMPLATE, Graph
 from veracity.operators.closure import descendants
 from veracity.operators.filters import text_match
+from veracity.plans.runs import touched_since
 
 
 def absent(used: DataFrame, defined: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,9 +97,11 @@ def subcategory_anomalies(g: Graph, roots: DataFrame | None = None, max_depth: i
     return out_of_bounds(edges, "dst").withColumnRenamed("dst", "id")
 
 
-def template_pages(g: Graph, touched_after: str | None = None, template: str | None = None) -> DataFrame:
-    """(id, template) of pages that use templates, of those touched after a time."""
+def template_pages(g: Graph, touched_after: str | None = None, template: str | None = None, log: DataFrame | None = None) -> DataFrame:
+    """(id, template) of pages that use templates, of those touched after a time, and since the last finished run of `log`."""
     templates = g.page.where(F.col("ns") == TEMPLATE)
+    if log is not None:
+        templates = touched_since(templates, log, "templates")
     if touched_after is not None:
         templates = templates.where(F.col("touched") > F.lit(touched_after).cast("timestamp"))
     uses = g.template_use if template is None else g.template_use.where(F.col("template") == template)

@@ -17,8 +17,9 @@ from veracity.operators.edit_join import similar_pairs
 from veracity.operators.filters import page_of, text_match
 from veracity.plans import consistency as C
 from veracity.plans import analyzers, export_owl, runs, similarity, undefined, worklist
-from veracity.plans.issues import as_xml, changed, condition, containers, described, distinct_entities, for_pairs, issues, listed, marked_modified, overlay, visible, without
+from veracity.plans.issues import as_xml, changed, condition, containers, described, distinct_entities, for_pairs, issues, listed, marked_modified, overlay, view, visible, without
 from veracity.plans.store import IssueTable
+from veracity.sources import wiki_xml
 from veracity.sources.star import CUSTOMER, KIND, NATION, ORDER, PROP, PROPERTIES, REGION, SUPPLIER, graph, ident, mod_graph, part_schema, prop, table
 from veracity.streaming import incremental
 
@@ -680,3 +681,42 @@ def low_rated_near(spark, d):
 def issues_for_pairs(spark, d):
     wanted = table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("p1_id"), F.lit(-1).cast("long").alias("p2_id"))
     return for_pairs(_anomalies(spark, d), wanted).select("code", "p1_id", "value_int")
+
+
+@query(f"""select distinct 20101 as code, l_orderkey + {ORDER * KIND} as p1_id, 'has_part_' || l_returnflag as value from lineitem where l_returnflag in ('A', 'N', 'R')""")
+def similar_annotation_issues(spark, d):
+    return analyzers.run("annotations", graph(spark, d), None, {"term": "Has_part_B"}).select("code", "p1_id", "value")
+
+
+@query(f"""with {_ISSUES}, t as (select o_orderkey as id, 'order ' || o_orderkey as title from orders where contains(o_orderkey::varchar, '7') and (title, id) > ('order 2', 0)),
+p as (select id, title from t where id in (select p1_id from i where code // 100 = 103) order by title, id limit 50)
+select id as p1_id, title, array_to_string(list_sort(list(code || ':' || value_int)), ',') as issues from i join p on id = p1_id where code // 100 = 103 group by 1, 2""")
+def issue_view(spark, d):
+    titles = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("title"))
+    found = view(_anomalies(spark, d), titles, "7", 4, after=("order 2", 0), limit=50)
+    return found.withColumn("issues", F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["code"], x["value_int"])), ","))
+
+
+@query("""with r as (select id, ts from (select event_id as id, event_type as bot, ts, event_id % 3 > 0 as done from events) where done), last as (select max(ts) as ts from r),
+t as (select source, max(ts) as ts from documents join events on doc_id = cast(json_extract_string(props, '$.k') as bigint) where source is not null group by 1)
+select distinct doc_id as id, source as template from documents join t using (source) where t.ts >= (select ts from last) - interval 3 day""")
+def templates_since_last_run(spark, d):
+    """Sources of documents as templates, touched when one of their documents was last edited; runs began three days before some events."""
+    g = graph(spark, d)
+    edits = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title")).join(g.revision, "id").groupBy("title").agg(F.max("ts").alias("ts"))
+    g.page = g.page.join(edits, "title").withColumn("touched", F.col("ts")).drop("ts")
+    log = _log(spark, d).withColumns({"bot": F.lit("templates"), "started": F.col("started") - F.expr("interval 3 day")})
+    return undefined.template_pages(g, log=log)
+
+
+@query("""with e as (select cast(json_extract_string(props, '$.k') as bigint) as id, list(event_type order by ts, event_id) as texts from events group by 1)
+select doc_id as id, coalesce(len(texts), 0)::int as edits, coalesce(texts[-1], '') as text from (select distinct doc_id from documents) left join e on e.id = doc_id""")
+def dump_histories(spark, d):
+    """Documents as pages and the events about them as their revisions, written as a dump and read back."""
+    e = table(spark, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("id"), F.struct("ts", "event_id", F.col("user_id").cast("string").alias("user"), "event_type").alias("r"))
+    edits = e.groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    made = table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct().join(edits, "id", "left")
+    revision = F.transform("r", lambda r: F.struct(r["ts"].alias("timestamp"), F.struct(r["user"].alias("username")).alias("contributor"), r["event_type"].alias("text")))
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    made.select("id", F.concat(F.lit("Document "), F.col("id")).alias("title"), revision.alias("revision")).write.format("xml").option("rowTag", "page").option("rootTag", "dump").save(path)
+    return wiki_xml.pages(spark, path).select("id", F.size("edits").alias("edits"), "text")

@@ -12,17 +12,30 @@ from veracity.plans.consistency import Schema
 
 #: Prefixes of titles.
 PREFIXES = {"category": CATEGORY, "property": PROPERTY, "template": TEMPLATE, "type": TYPE}
-SCHEMA = "title string, id long, revision struct<timestamp:timestamp, contributor:struct<username:string>, text:struct<_VALUE:string>>"
+REVISION = "struct<timestamp:timestamp, contributor:struct<username:string, ip:string>, text:struct<_VALUE:string>>"
+SCHEMA = f"title string, id long, revision array<{REVISION}>"
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    """id, ns, title, text, user, ts and redirect target of each page."""
+    """id, ns, title, redirect target, and the latest text, user and ts of each page; `edits` has (ts, i, user) of all its revisions.
+
+    The latest revision is the one with the latest time, of several the last in the dump. Pages without one have no text.
+    """
     raw = spark.read.format("xml").option("rowTag", "page").schema(SCHEMA).load(path)
     prefix = F.lower(F.regexp_extract("title", r"^([^:]+):", 1))
     ns = F.coalesce(*[F.when(prefix == p, F.lit(n)) for p, n in PREFIXES.items()], F.lit(MAIN))
     name = title_key(F.when(ns == MAIN, F.col("title")).otherwise(F.regexp_replace("title", r"^[^:]+:", "")))
-    text = F.coalesce("revision.text._VALUE", F.lit(""))
-    return raw.select("id", ns.alias("ns"), name.alias("title"), text.alias("text"), F.col("revision.contributor.username").alias("user"), F.col("revision.timestamp").alias("ts"), F.regexp_extract(text, r"(?i)^\s*#REDIRECT\s*\[\[([^\]|]+)", 1).alias("to"))
+    every = F.coalesce("revision", F.array().cast(f"array<{REVISION}>"))
+    raw = raw.withColumn("r", F.transform(every, lambda r, i: F.struct(r["timestamp"].alias("ts"), i.alias("i"), F.coalesce(r["contributor"]["username"], r["contributor"]["ip"]).alias("user"), r["text"]["_VALUE"].alias("text"))))
+    raw = raw.withColumn("last", F.array_max("r"))
+    text = F.coalesce("last.text", F.lit(""))
+    edits = F.transform("r", lambda r: F.struct(r["ts"].alias("ts"), r["i"].alias("i"), r["user"].alias("user")))
+    return raw.select("id", ns.alias("ns"), name.alias("title"), text.alias("text"), F.col("last.user").alias("user"), F.col("last.ts").alias("ts"), edits.alias("edits"), F.regexp_extract(text, r"(?i)^\s*#REDIRECT\s*\[\[([^\]|]+)", 1).alias("to"))
+
+
+def revisions(pages: DataFrame) -> DataFrame:
+    """(id, user, ts) of every edit of every page."""
+    return pages.select("id", F.explode("edits").alias("e")).select("id", "e.user", "e.ts")
 
 
 def annotations(pages: DataFrame) -> DataFrame:
@@ -70,5 +83,5 @@ def load(spark: SparkSession, path: str) -> tuple[Graph, Schema]:
     records = held.select("s_id", "p_id", "record", F.explode("parts").alias("x")).select("s_id", "p_id", "record", F.when(~F.coalesce(F.col("x.value"), F.lit("")).isin("", "?"), F.col("x.field")).alias("field"))
     specs = found.where((F.col("ns") == TYPE) & (F.col("property") == "Corresponds_to")).select(F.col("title").alias("type"), F.col("value").alias("spec"))
     units = types.groupBy("p_id").agg(F.min_by("value", "ord").alias("type")).join(specs, "type").select("p_id", "spec")
-    graph = Graph(entity, page, member, rel, att, sub, redirect, p.select("id", "user", "ts"), None)
+    graph = Graph(entity, page, member, rel, att, sub, redirect, revisions(p), None)
     return graph, Schema(types, declared("Has_min_cardinality"), declared("Has_max_cardinality"), pair, pointing("Is_inverse_of"), record_fields, records, units)

@@ -23,6 +23,7 @@ from veracity.checkpoints import materialize
 from veracity.model import CATEGORY, CODES, MAIN, PROPERTY, TYPE, Graph
 from veracity.operators.closure import below, reachable
 from veracity.plans import consistency as C
+from veracity.plans import runs
 from veracity.plans.consistency import Schema, union
 from veracity.plans.store import IssueTable
 
@@ -120,6 +121,22 @@ def replaced(table: DataFrame, g: Graph, schema: Schema, changed: DataFrame) ->
     return kept.unionByName(rechecked(g, schema, touched).select(*table.columns))
 
 
+def tracked_run(table: IssueTable, log: DataFrame, g: Graph, schema: Schema, user: str, at: str, ended: str) -> DataFrame:
+    """A run of the consistency analyzer over what was touched since its last finished run, the first over everything.
+
+    Gives the log with this run, whose number is the version that it makes in the table. Pages that were removed have no
+    time any more: a change feed names them (`watch`).
+    """
+    changed = runs.touched_since(g.page, log, C.BOT).select("id")
+    log = materialize(runs.started(log, C.BOT, user, at), "log")
+    run = log.agg(F.max("id")).first()[0]
+    if table.versions(C.BOT):
+        table.update(C.BOT, lambda old: replaced(old, g, schema, changed), run)
+    else:
+        table.write(C.BOT, C.analyze(g, schema), run)
+    return runs.finished(log, run, ended, f"{C.BOT} {at}")
+
+
 def watch(changes: DataFrame, table: IssueTable, state: Callable[[], tuple[Graph, Schema]], checkpoint: str) -> StreamingQuery:
     """Follows a change feed (id): each batch makes the next version of the consistency analyzer's stored issues.
 
