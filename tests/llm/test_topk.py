@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -33,3 +35,21 @@ def test_large_values_raise_and_empty_tables_are_empty(spark):
     clash = spark.createDataFrame([(i, [float(i), 1.0], 7, "x") for i in (0, 1, 2, 2)], "vec_id long, embedding array<double>, dim int, shard string")
     got = exact_topk.top_k(clash, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_many_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "SHARD", 16)
+    monkeypatch.setattr(exact_topk, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(150, 6))
+    rows = spark.createDataFrame([*[(i, x.tolist()) for i, x in enumerate(v)], (400, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    found = exact_topk.top_k(rows, F.col("vec_id") % 10 == 0)
+    keys = re.findall(r"hashpartitioning\(dim#\d+, (\w+)", found._jdf.queryExecution().executedPlan().toString())
+    assert keys == ["shard", "shard"]  # both sides are dealt by shard, never by dim alone
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    x = np.floor(v * 1024).astype(np.int64)
+    want = {}
+    for i in range(0, 150, 10):
+        best = sorted((-int(x[i] @ x[j]), j) for j in range(150) if j != i)[:10]
+        want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
+    assert got == want

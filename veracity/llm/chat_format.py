@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hidden
+
 TRAINED_ROLE = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -56,16 +58,18 @@ def mask(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """From arrays of turns to n_prompt_turns, prompt, and text and mask of each completion; other columns stay."""
+    """From arrays of turns to n_prompt_turns, prompt, and text and mask of each completion; other columns stay, but for those with the name of a result column."""
     empty = F.array().cast(TURNS)
-    out = pairs.withColumns({"__c": F.coalesce(chosen, empty), "__r": F.coalesce(rejected, empty)}).drop(chosen, rejected)
-    out = out.withColumn("n_prompt_turns", common_turns(F.col("__c"), F.col("__r")))
+    at = hidden(pairs)
+    left, right = f"{at}chosen", f"{at}rejected"
+    out = pairs.withColumns({left: F.coalesce(chosen, empty), right: F.coalesce(rejected, empty)}).drop(chosen, rejected)
+    out = out.withColumn("n_prompt_turns", common_turns(F.col(left), F.col(right)))
     text = lambda turns: F.array_join(F.transform(turns, rendered), "")
-    out = out.withColumn("prompt", text(F.slice("__c", F.lit(1), F.col("n_prompt_turns"))))
-    for name, side in ((chosen, "__c"), (rejected, "__r")):
+    out = out.withColumn("prompt", text(F.slice(left, F.lit(1), F.col("n_prompt_turns"))))
+    for name, side in ((chosen, left), (rejected, right)):
         rest = _tail(F.col(side), F.col("n_prompt_turns"))
         out = out.withColumns({name: text(rest), f"{name}_mask": mask(rest)})
-    return out.drop("__c", "__r")
+    return out.drop(left, right)
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:

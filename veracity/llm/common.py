@@ -22,6 +22,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def hidden(*frames: DataFrame) -> str:
+    """A prefix for helper columns that no column of the frames begins with, in either case."""
+    at = "__"
+    while any(c.lower().startswith(at) for df in frames for c in df.columns):
+        at += "_"
+    return at
+
+
 def before(df: DataFrame, group: list[str], bucket: list[str], value: Column, name: str) -> DataFrame:
     """One row per (group, bucket) with the sum of `value` over the group's earlier buckets.
 
@@ -29,9 +37,10 @@ def before(df: DataFrame, group: list[str], bucket: list[str], value: Column, na
     within a group, so a group that holds a third of all rows costs one row per bucket here and its own
     rows are numbered bucket by bucket.
     """
-    sums = df.groupBy(*group, *bucket).agg(F.sum(value).cast("long").alias("__sum"))
+    part = f"{hidden(df)}sum"
+    sums = df.groupBy(*group, *bucket).agg(F.sum(value).cast("long").alias(part))
     w = W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
-    return sums.withColumn(name, F.coalesce(F.sum("__sum").over(w), F.lit(0).cast("long"))).drop("__sum")
+    return sums.withColumn(name, F.coalesce(F.sum(part).over(w), F.lit(0).cast("long"))).drop(part)
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: tuple[str, ...] = ()) -> DataFrame:
@@ -39,17 +48,20 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group:
 
     Rows are sorted into ranges of (group, order), so a group of a third of all rows lies in a third of the ranges;
     one row per range and group is ordered within the group, then each range sums its own rows. Groups must not be null.
+    A column with one of the names is replaced.
     """
+    at = hidden(df)
+    place, kept = f"{at}p", [c for c in df.columns if c not in sums]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.withColumns({f"__{name}": value.cast("long") for name, value in sums.items()})
-    parts = materialize(parts.repartitionByRange(n, *map(F.col, group), *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    parts = df.withColumns({f"{at}own_{name}": value.cast("long") for name, value in sums.items()})
+    parts = materialize(parts.repartitionByRange(n, *map(F.col, group), *order).withColumn(place, F.spark_partition_id()), "ranges")
     earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    base = parts.groupBy(*group, "__p").agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in sums])
-    base = base.select(*group, "__p", *[F.coalesce(F.sum(f"__{name}").over(earlier(W.partitionBy(*group).orderBy("__p"))), zero).alias(f"__base_{name}") for name in sums])
-    own = earlier(W.partitionBy(*group, "__p").orderBy(*order))
-    out = parts.join(base, [*group, "__p"])
-    return out.select(*df.columns, *[(F.col(f"__base_{name}") + F.coalesce(F.sum(f"__{name}").over(own), zero)).alias(name) for name in sums])
+    base = parts.groupBy(*group, place).agg(*[F.sum(f"{at}own_{name}").alias(f"{at}own_{name}") for name in sums])
+    base = base.select(*group, place, *[F.coalesce(F.sum(f"{at}own_{name}").over(earlier(W.partitionBy(*group).orderBy(place))), zero).alias(f"{at}base_{name}") for name in sums])
+    own = earlier(W.partitionBy(*group, place).orderBy(*order))
+    out = parts.join(base, [*group, place])
+    return out.select(*kept, *[(F.col(f"{at}base_{name}") + F.coalesce(F.sum(f"{at}own_{name}").over(own), zero)).alias(name) for name in sums])
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
@@ -59,15 +71,17 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column]) -> Data
     within the group, so a group that holds a third of all rows costs one row a range. Groups must not be null; rows
     equal in group and order get places in any order. `df` is read twice, so it should be a written table.
     """
+    mark = hidden(df)
+    at, place, rows, first, shift = (f"{mark}{name}" for name in ("at", "p", "rows", "first", "shift"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
     # an id's upper bits are the range, its lower 33 bits the row's place there
-    placed = materialize(ranges.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__p", F.shiftright("__at", 33))
-    runs = placed.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
+    placed = materialize(ranges.withColumn(at, F.monotonically_increasing_id()), "numbered").withColumn(place, F.shiftright(at, 33))
+    runs = placed.groupBy(*group, place).agg(F.count(F.lit(1)).alias(rows), F.min(at).alias(first))
     w = W.partitionBy(*group)
-    earlier = F.coalesce(F.sum("__rows").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    runs = runs.select(*group, "__p", (earlier - F.col("__first")).alias("__shift"), F.sum("__rows").over(w).alias("n"))
-    return placed.join(runs, [*group, "__p"]).select(*df.columns, (F.col("__at") + F.col("__shift")).alias("i"), "n")
+    earlier = F.coalesce(F.sum(rows).over(w.orderBy(place).rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    runs = runs.select(*group, place, (earlier - F.col(first)).alias(shift), F.sum(rows).over(w).alias("n"))
+    return placed.join(runs, [*group, place]).select(*df.columns, (F.col(at) + F.col(shift)).alias("i"), "n")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

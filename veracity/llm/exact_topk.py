@@ -6,7 +6,8 @@ components from the top and those of its negative ones from the bottom, block by
 Every entry read raises its vector's lower bound, which counts what hasn't been read at the list's far end. The upper
 bound counts it at the last value read. When few vectors have an upper bound that reaches the k-th lower bound,
 nothing outside these can qualify, reading stops, and their scores are resolved. A block of queries is read for
-together. The k best of every shard are merged by a window.
+together. Lists cross a shuffle once and stay where their shard is; every block of queries is sent to every shard,
+dealt by shard, so no key stands for more than one shard. The k best of every shard are merged by a window.
 
 Components are turned into floor(scale * x); scores are exact while they stay below 2^53, and OverflowError is
 raised where they might not (|x| below 1000 at 1024 is safe up to 8,000 components).
@@ -130,17 +131,17 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, vec_id:
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
-        dim, ids = key[0].as_py(), t.column("vec_id").to_numpy()
+        (dim, shard), ids = (k.as_py() for k in key), t.column("vec_id").to_numpy()
         out = []
         for at in range(0, len(ids), 1 << 15):  # rows of one id share a shard, however many
             x = _matrix(t.column("v").slice(at, 1 << 15), min(1 << 15, len(ids) - at))
-            out.append({"dim": dim, "ids": ids[at : at + (1 << 15)].astype("<i8").tobytes(), "lists": Lists(x).packed()})
-        return pa.Table.from_pylist(out, pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("lists", pa.binary())]))
+            out.append({"dim": dim, "shard": shard, "ids": ids[at : at + (1 << 15)].astype("<i8").tobytes(), "lists": Lists(x).packed()})
+        return pa.Table.from_pylist(out, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("lists", pa.binary())]))
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "query_ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "queries": pa.array([_matrix(t.column("v"), t.num_rows).astype("<i8").tobytes()], pa.binary())})
 
-    lists = materialize(part(rows, "shard", shards).groupBy("dim", "shard").applyInArrow(build, "dim int, ids binary, lists binary"), "lists")
+    lists = materialize(part(rows, "shard", shards).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, ids binary, lists binary"), "lists")
     asked = materialize(part(queries, "block", blocks).groupBy("dim", "block").applyInArrow(gather, "dim int, query_ids binary, queries binary"), "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +154,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, vec_id:
                 columns = np.repeat([f[0] for f in found], sizes), *(np.concatenate([np.zeros(0, np.int64), *(f[j] for f in found)]) for j in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
 
-    # the query set in blocks against all shards: one row each, so the join makes shards times blocks rows
-    cells = lists.join(asked.hint("shuffle_hash"), "dim").select("dim", "ids", "lists", "query_ids", "queries")
-    cells = cells.repartition(max(1, min(20_000, shards * blocks)))
+    # the query set in blocks against all shards; a shard's lists are met where they lie, and no row has copies of them until then
+    parts = min(20_000, shards)
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(parts, "dim", "shard")
+    cells = sent.join(lists.repartition(parts, "dim", "shard").hint("shuffle_hash"), ["dim", "shard"]).select("dim", "ids", "lists", "query_ids", "queries")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cells.mapInArrow(run, FOUND).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

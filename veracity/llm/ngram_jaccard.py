@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from veracity.checkpoints import materialize
 
-from .common import components
+from .common import components, hidden
 
 WORDS = 5
 PERCENT = 80
@@ -592,9 +592,11 @@ def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stay: one row of each component, by id (null last), text and place; and rows without words."""
-    placed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.xxhash64("text")), "rows")
-    rows = _joined(placed, words, percent, "__row", "__text")[0]
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__text", "__row")
-    stays = rows.groupBy("g").agg(F.min(order).alias("first")).select(F.col("first.__row").alias("__row"))
-    goes = rows.select("__row").join(stays, "__row", "left_anti")
-    return placed.join(goes, "__row", "left_anti").select(*docs.columns)
+    at = hidden(docs)
+    row, text = f"{at}row", f"{at}text"
+    placed = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(text, F.xxhash64("text")), "rows")
+    rows = _joined(placed.select("doc_id", "text", row, text), words, percent, row, text)[0]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text, row)
+    stays = rows.groupBy("g").agg(F.min(order).alias("first")).select(F.col("first")[row].alias(row))
+    goes = rows.select(row).join(stays, row, "left_anti")
+    return placed.join(goes, row, "left_anti").select(*docs.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import hidden, lower_ascii
 
 #: Rules up to this many go into the broadcast trie (some 100 bytes each); more are joined by key.
 MAX_BROADCAST_RULES = 500_000
@@ -69,7 +69,7 @@ class Trie:
         return best[1], best[2]
 
 
-def _with_trie(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+def _with_trie(urls: DataFrame, rules: list[Rule], hit: str) -> DataFrame:
     sent = urls.sparkSession.sparkContext.broadcast(rules)
 
     @F.pandas_udf(RESULT)
@@ -78,10 +78,10 @@ def _with_trie(urls: DataFrame, rules: list[Rule]) -> DataFrame:
         for hosts, paths in batches:
             yield pd.DataFrame([t.match(h, p) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
 
-    return urls.withColumn("__hit", match("host", "path"))
+    return urls.withColumn(hit, match("host", "path"))
 
 
-def _with_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def _with_join(urls: DataFrame, rules: DataFrame, hit: str) -> DataFrame:
     """The way for any number of rules: each URL's host suffixes and whole path prefixes are join keys."""
     keyed = rules.select(
         "host",
@@ -101,9 +101,9 @@ def _with_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .join(keyed.withColumnsRenamed({"host": "__h", "whole": "__w"}), ["__h", "__w"])
         .where(F.col("path").startswith(F.col("hit.path")))
         .groupBy("host", "path").agg(F.max("hit").alias("hit"))
-        .select("host", "path", F.struct("hit.rule", "hit.verdict").alias("__hit"))
+        .select("host", "path", F.struct("hit.rule", "hit.verdict").alias(hit))
     )
-    return urls.join(hits, ["host", "path"], "left")
+    return urls.join(hits, ["host", "path"], "left").select(*urls.columns, hit)
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str = "url", default: str = "allow",
@@ -113,8 +113,10 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str =
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(list(rules), "verdict string, host string, path string")
     rules = rules.select("verdict", lower_ascii(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("verdict is not null")
-    urls = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    urls = urls.withColumns({"__u": F.col(url)}).drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("__u")), "path": path_of(F.col("__u"))}).drop("__u")
+    at = hidden(pages)
+    urls = pages.withColumns({f"{at}host": host_of(F.col(url)), f"{at}path": path_of(F.col(url))}).drop("host", "path", "rule", "verdict")
+    urls = urls.withColumnsRenamed({f"{at}host": "host", f"{at}path": "path"})
     few = rules.limit(max_broadcast + 1).collect()  # bounded: at most max_broadcast + 1 short rows
-    found = _with_trie(urls, [tuple(r) for r in few]) if len(few) <= max_broadcast else _with_join(urls, rules)
-    return found.withColumns({"rule": F.col("__hit.rule"), "verdict": F.coalesce("__hit.verdict", F.lit(default))}).drop("__hit")
+    hit = f"{at}hit"
+    found = _with_trie(urls, [tuple(r) for r in few], hit) if len(few) <= max_broadcast else _with_join(urls, rules, hit)
+    return found.withColumns({"rule": F.col(hit)["rule"], "verdict": F.coalesce(F.col(hit)["verdict"], F.lit(default))}).drop(hit)
