@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ CLEAN = 2
 TURNS = 4
 #: Lengths of the beginnings of longer words.
 STEMS = (4, 5)
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -139,7 +140,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], sam
     def features(texts: pd.Series) -> pd.Series:
         return texts.map(Features())
 
-    return materialize(rows.select("doc_id", features("text").alias("features"), F.pmod(F.hash("doc_id"), F.lit(FOLDS)).alias("fold"), *categories), "sample")
+    # features of fewer than MIN_ROWS rows of the sample get no weight in any model: they go before rows are sent to the folds
+    every = materialize(rows.select("doc_id", features("text").alias("features"), F.pmod(F.hash("doc_id"), F.lit(FOLDS)).alias("fold"), *categories), "features")
+    each = every.select("doc_id", F.explode("features").alias("feature"))
+    known = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS).select("feature").hint("merge")
+    some = each.join(known, "feature").groupBy("doc_id").agg(F.array_sort(F.collect_list("feature")).alias("some"))
+    none = F.array().cast("array<long>")
+    return materialize(every.join(some.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("some", none).alias("features"), "fold", *categories), "sample")
 
 
 def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +193,7 @@ def _fold_models(rows: DataFrame, name: str, earlier: list[str]) -> DataFrame:
     """Out-of-fold probabilities (doc_id, p), and the model of all rows on a row without id."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed
         pdf = pdf.sort_values("doc_id", ignore_index=True)
         y, before = pdf[name].to_numpy(float), pdf[earlier].to_numpy(float).reshape(len(pdf), -1)
         held = (pdf["fold"] == key[0]).to_numpy()
