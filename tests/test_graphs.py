@@ -105,3 +105,28 @@ def test_export_order(spark):
     got = C.preorder(frame(spark, up), spark.createDataFrame(list(names.items()), "node long, name string")).orderBy("key").collect()
     assert [(r.node, "".join(r.key)) for r in got] == [(1, "a"), (2, "ab"), (3, "abc"), (4, "abcd"), (5, "e"), (6, "f"), (7, "fg"), (8, "fgh")]
     assert C.preorder(frame(spark, []), spark.createDataFrame([], "node long, name string")).count() == 0
+
+
+def test_many_small_components_are_dealt_whole(spark):
+    """More rings than rounds could follow one by one, and one component too large for a task."""
+    n, size = 300, 6
+    rings = [(i * size + j, i * size + (j + 1) % size) for i in range(n) for j in range(size)] + [(i * size, i * size + 2) for i in range(n)]
+    large = [(9000 + i, 9000 + (i + 1) % 30) for i in range(30)] + [(9029 + i, 9030 + i) for i in range(9)] + [(9038, 9035)]
+    pairs = [*rings, *large]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {}
+    for r in C.strong_parts(frame(spark, pairs), 35).collect():
+        got.setdefault(r.part, set()).add(r.node)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 600
+    want = [set(range(i * size, (i + 1) * size)) for i in range(n)] + [set(range(9000, 9030)), set(range(9035, 9039))]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    found = C.cycles(frame(spark, pairs), None, small=35).collect()
+    both = [(tuple(range(i * size, (i + 1) * size))) for i in range(n)] + [(i * size, *range(i * size + 2, (i + 1) * size)) for i in range(n)]
+    assert sorted(tuple(r.members) for r in found) == sorted([*both, tuple(range(9000, 9030)), tuple(range(9035, 9039))])
+    assert not any(r.dense for r in found)
+
+
+def test_cycles_in_tasks_equal_those_by_rounds(spark):
+    pairs = [(i * 20 + a, i * 20 + b) for i in range(4) for a, b in random_graph(12, 24, i)]
+    both = [sorted((tuple(r.members), r.dense) for r in C.cycles(frame(spark, pairs), 5, 40, small).collect()) for small in BOTH]
+    assert both[0] == both[1] and both[0]

@@ -6,11 +6,14 @@ so a path is one row and a step leads from path to path. Places come from pointe
 
 Each round is a job or two, too many for the small graphs that category and property trees mostly are. Of a graph of at
 most `SMALL` edges, which is checked, the edges go to every task, and each searches from its own share of the seeds.
+Larger graphs are mostly many small ones: their connected components, and for cycles their parts, are dealt to tasks
+whole, and the rounds are left for those that are large themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +26,8 @@ from veracity.checkpoints import materialize
 MERGE_EVERY = 16
 #: Edges that may pass the driver and be sent to every task: some MB.
 SMALL = 100_000
+#: Nodes of a strongly connected part whose cycles one task follows.
+PART = 1_000
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, reflexive: bool = True) -> DataFrame:
@@ -245,6 +250,60 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     return materialize(rest.unionByName(bridges).distinct(), "contracted"), members.join(ring.select("node"), "node", "left_anti").unionByName(ring.select("node", F.col("part").alias("path"), F.lit(None).cast("long").alias("before"), F.lit(None).cast("long").alias("after"), F.lit(None).cast("long").alias("colour")))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): what edges connect in either direction, named by its smallest node.
+
+    Links lead from larger to smaller nodes. Each round lets a node's larger neighbours, then its smaller ones, link to
+    its smallest neighbour; the rounds grow with the logarithm of the nodes.
+    """
+    links = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        larger = both.join(both.groupBy("a").agg(F.least(F.min("b"), "a").alias("low")), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        larger = materialize(larger.distinct(), "larger")
+        smaller = larger.join(larger.groupBy("a").agg(F.min("b").alias("low")), "a").select("low", F.explode(F.array("a", "b")).alias("a"))
+        links = materialize(smaller.where("a > low").select("a", F.col("low").alias("b")).distinct(), "links")
+        ends = links.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _whole(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by key, cut between keys only."""
+    kept = None
+    for b in batches:
+        if b.empty:
+            continue
+        b = b if kept is None else pd.concat([kept, b], ignore_index=True)
+        last = b[key] == b[key].iloc[-1]
+        if not last.all():
+            yield b[~last]
+        kept = b[last]
+    if kept is not None:
+        yield kept
+
+
+def _after(edges: pd.DataFrame) -> dict[int, list[int]]:
+    after: dict[int, list[int]] = {}
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        after.setdefault(src, []).append(dst)
+    return after
+
+
+def _small_components(edges: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """(node, part) of the components of at most `small` edges, each searched by one task; the edges of the others, coloured by component."""
+    own = edges.select("src", "dst").join(components(edges).withColumnsRenamed({"node": "src", "component": "colour"}), "src")
+    own = materialize(own.select("src", "dst", "colour"), "components")
+    large = materialize(own.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("colour"), "large")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _whole(batches, "colour"):
+            yield pd.DataFrame(_parts_of(_after(b)), columns=["node", "part"])
+
+    found = own.join(large, "colour", "left_anti").repartition("colour").sortWithinPartitions("colour").mapInPandas(search, "node long, part long")
+    return materialize(found, "parts"), materialize(own.join(large, "colour", "left_semi").select("src", "dst", "colour"), "core")
+
+
 def _parts_of(after: dict[int, list[int]]) -> list[tuple[int, int]]:
     """(node, part) by one search that keeps a stack of open nodes; no recursion."""
     number: dict[int, int] = {}
@@ -274,7 +333,8 @@ def _parts_of(after: dict[int, list[int]]) -> list[tuple[int, int]]:
                     low[path[-1][0]] = min(low[path[-1][0]], low[node])
                 if low[node] == number[node]:
                     at = open_.index(node) if open_[-1] != node else len(open_) - 1
-                    part, open_ = open_[at:], open_[:at]
+                    part = open_[at:]
+                    del open_[at:]
                     is_open.difference_update(part)
                     out += [(n, node) for n in part if len(part) > 1]
     return out
@@ -283,8 +343,9 @@ def _parts_of(after: dict[int, list[int]]) -> list[tuple[int, int]]:
 def strong_parts(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, part): the strongly connected parts of two and more nodes, each named by one of its nodes.
 
-    Nodes without edges on one side go, runs of nodes become one edge, and of each colour one node is followed forwards
-    and backwards: what both reach is its part, and what is left is coloured by which of the two reach it. An acyclic
+    Nodes without edges on one side go, and components of at most `small` edges are searched whole, each in one task. Of
+    the others, runs of nodes become one edge, and some nodes of each colour, four times as many each round, are followed
+    forwards and backwards: what both reach is a part, and what is left is coloured by which of them reach it. An acyclic
     graph is gone after some trimming and contraction; each further round splits every colour.
     """
     now = _clean(edges).withColumn("colour", F.lit(0).cast("long"))
@@ -292,25 +353,39 @@ def strong_parts(edges: DataFrame, small: int = SMALL) -> DataFrame:
         return edges.sparkSession.createDataFrame(_parts_of(after), "node long, part long")
     parts: list[DataFrame] = []
     runs: list[DataFrame] = []
+    rounds = 0
     while True:
         now = trimmed(now)
         if now.isEmpty():
             break
+        if (after := _neighbours(now, small)) is not None:
+            parts.append(edges.sparkSession.createDataFrame(_parts_of(after), "node long, part long"))
+            break
+        if small and not rounds:
+            found, now = _small_components(now, small)
+            parts.append(found)
+            if now.isEmpty():
+                break
         if made := _contracted(now):
             now, members = made
             runs.append(members)
             now = trimmed(now, 2)
             if now.isEmpty():
                 break
-        every = now.select("colour", F.explode(F.array("src", "dst")).alias("node")).distinct()
-        pivots = materialize(every.groupBy("colour").agg(F.min_by("node", F.xxhash64("node")).alias("node")), "pivots")
+        rounds += 1
+        every = materialize(now.select("colour", F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+        some = every.where(F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(every.count())) < 4**rounds)
+        pivots = every.groupBy("colour").agg(F.min_by("node", F.xxhash64("node")).alias("node")).select("node").unionByName(some.select("node"))
+        pivots = materialize(pivots.distinct(), "pivots")
         ahead = reachable(now, pivots.select("node"), small=small).withColumnRenamed("root", "part")
         back = reachable(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivots.select("node"), small=small).withColumnRenamed("root", "part")
-        own = materialize(ahead.join(back, ["part", "node"]), "part")
+        own = materialize(ahead.join(back, ["part", "node"]).groupBy("node").agg(F.min("part").alias("part")), "part")
         many = own.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
         parts.append(own.join(many, "part", "left_semi").select("node", "part"))
-        sides = every.join(own.select("node"), "node", "left_anti").join(ahead.select("node", F.lit(1).alias("f")), "node", "left").join(back.select("node", F.lit(2).alias("b")), "node", "left")
-        fresh = materialize(sides.select("node", F.xxhash64("colour", F.coalesce("f", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("colour")), "colours")
+        sides = every.join(own.select("node"), "node", "left_anti")
+        for side, met in (("f", ahead), ("b", back)):
+            sides = sides.join(met.groupBy("node").agg(F.array_sort(F.collect_set("part")).alias(side)), "node", "left").withColumn(f"n_{side}", F.coalesce(F.size(side), F.lit(0)))
+        fresh = materialize(sides.select("node", F.xxhash64("colour", "n_f", "f", "n_b", "b").alias("colour")), "colours")
         now = now.drop("colour").join(fresh.select(F.col("node").alias("src"), "colour"), "src").join(fresh.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour")
         now = materialize(now, "core")
     found = parts[0] if parts else now.select(F.col("src").alias("node"), F.col("src").alias("part"))
@@ -350,10 +425,53 @@ def preorder(edges: DataFrame, names: DataFrame) -> DataFrame:
     return placed
 
 
+def _simple_paths(after: dict[int, list[int]], max_length: int | None) -> Iterator[list[int]]:
+    """Paths of two to `max_length` different nodes from their smallest ones, in one list that goes on changing."""
+    for start in after if max_length is None or max_length > 1 else ():
+        path, on, todo = [start], {start}, [iter(after[start])]
+        while todo:
+            for n in todo[-1]:
+                if n > start and n not in on:
+                    path.append(n)
+                    on.add(n)
+                    yield path
+                    todo.append(iter(after.get(n, ()) if max_length is None or len(path) < max_length else ()))
+                    break
+            else:
+                todo.pop()
+                on.discard(path.pop())
+
+
+def _cycles_of(after: dict[int, list[int]], max_length: int | None, most: int) -> Iterator[tuple[list[int], bool]]:
+    """(members, dense) of one part; paths are counted before any cycle is given."""
+    begun: dict[int, int] = {}
+    for path in _simple_paths(after, max_length):
+        begun[len(path)] = begun.get(len(path), 0) + 1
+        if begun[len(path)] > most:
+            yield sorted(after), True
+            return
+    back = {(src, dst) for src, ends in after.items() for dst in ends if dst < src}
+    for path in _simple_paths(after, max_length):
+        if (path[-1], path[0]) in back:
+            yield sorted(path), False
+
+
+def _cycles_in_tasks(core: DataFrame, max_length: int | None, most: int) -> DataFrame:
+    """(members, dense) of whole parts (part, src, dst), each followed by one task."""
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _whole(batches, "part"):
+            found = (c for _, own in b.groupby("part", sort=False) for c in _cycles_of(_after(own), max_length, most))
+            while rows := list(islice(found, 10_000)):
+                yield pd.DataFrame(rows, columns=["members", "dense"])
+
+    return core.repartition("part").sortWithinPartitions("part").mapInPandas(follow, "members array<long>, dense boolean").distinct()
+
+
 def cycles(edges: DataFrame, max_length: int | None = 10, most: int = 100_000, small: int = SMALL) -> DataFrame:
     """(members, dense): the node set, sorted, of every simple cycle of at most `max_length` nodes, each once.
 
-    Paths are followed inside strongly connected parts only, from their smallest nodes. A part in which more than `most`
+    Paths are followed inside strongly connected parts only, from their smallest nodes; parts of at most `PART` nodes (and
+    `small`) each by one task, larger ones by a round a length. A part in which more than `most`
     paths of one length begin is dense: it has one row, its whole node set, with `dense` true, and no cycles of its own.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
@@ -361,6 +479,12 @@ def cycles(edges: DataFrame, max_length: int | None = 10, most: int = 100_000, s
     part = strong_parts(edges, small)
     core = edges.where("src <> dst").join(part.select(F.col("node").alias("src"), "part"), "src").join(part.select(F.col("node").alias("dst"), F.col("part").alias("other")), "dst").where("part = other").select("part", "src", "dst")
     core = materialize(core, "core")
+    if small:
+        part = materialize(part, "parts")
+        large = materialize(part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(PART, small)).select("part"), "large")
+        loops = loops.unionByName(materialize(_cycles_in_tasks(core.join(large, "part", "left_anti"), max_length, most), "cycles"))
+        part = part.join(large, "part", "left_semi")
+        core = materialize(core.join(large, "part", "left_semi"), "core")
     paths = core.where("dst > src").select("part", F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("path"))
     paths = materialize(paths, "paths")
     length, found, dense = 2, None, part.select("part").limit(0)
