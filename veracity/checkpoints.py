@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,28 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that are handed to every task: some MB.
+FEW = 100_000
+
+
+def handed(df: DataFrame, name: str = "few") -> DataFrame:
+    """df, written; of at most `FEW` rows, which is checked, it goes to every task.
+
+    Joined by a key of few values, such as a property, the other side then stays where it is; Spark by itself doesn't
+    know sizes before it shuffles, and would put all rows of a key into one task.
+    """
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys into all shuffle partitions, for an aggregation in which hardly two rows of one task meet before.
+
+    Without it, each reading task first keeps a group for nearly every row it reads.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def complete(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder that hold whole results of Spark's writers; none where it doesn't exist."""
     jvm = spark.sparkContext._jvm

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veracity.functions.text import is_cardinality, leading_int, units_of
-from veracity.checkpoints import materialize
+from veracity.checkpoints import dealt, handed, materialize
 from veracity.model import BUILT_IN_PROPERTIES, CARDINALITY_MIN, CARDINALITY_UNLIMITED, CATEGORY, PROPERTY, Graph
 from veracity.operators.closure import below, cycles, nearest, nearest_values, reach
 from veracity.plans.issues import issues, propagated
@@ -153,7 +153,7 @@ def type_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_dep
 def _fits(facts: DataFrame, end: str, g: Graph, side: str, pairs: DataFrame, up: DataFrame) -> DataFrame:
     """(keys of facts, ord): the declared pairs whose `side` some category of the entity in `end` reaches."""
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("src"), F.col("title").alias("category"))
-    up = g.member.join(cats, "category").join(up, "src").select(F.col("id").alias(end), F.col("dst").alias(side)).distinct()
+    up = g.member.join(handed(cats.join(up, "src").select("category", F.col("dst").alias(side)).distinct(), "sides"), "category").select(F.col("id").alias(end), side).distinct()
     wild = facts.join(pairs.where(F.col(side).isNull()).select("p_id", "ord"), "p_id")
     found = facts.join(pairs.where(F.col(side).isNotNull()).select("p_id", "ord", side), "p_id").join(up, [end, side])
     return wild.select(*facts.columns, "ord").unionByName(found.select(*facts.columns, "ord")).distinct()
@@ -164,10 +164,10 @@ def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) ->
 
     Categories are followed downwards from the declared ones, each of which holds itself, with or without others.
     """
-    pairs = schema.pairs.select("p_id", "ord", "domain", "range")
+    pairs = handed(schema.pairs.select("p_id", "ord", "domain", "range"), "pairs")
     ends = pairs.select(F.explode(F.array("domain", "range")).alias("node")).where("node is not null").distinct()
     up = materialize(below(g.category_graph(), ends, max_depth).select(F.col("node").alias("src"), F.col("root").alias("dst")), "up")
-    declared = pairs.select("p_id").distinct()
+    declared = handed(pairs.select("p_id").distinct(), "declared")
     subjects = materialize(g.facts.distinct().join(declared, "p_id", "left_semi").join(g.page.select(F.col("id").alias("s_id")), "s_id", "left_semi"), "subjects")
     domain_ok = materialize(_fits(subjects, "s_id", g, "domain", pairs, up), "domains")
     outside = subjects.join(domain_ok.select("s_id", "p_id"), ["s_id", "p_id"], "left_anti")
@@ -180,8 +180,9 @@ def annotation_issues(g: Graph, schema: Schema, max_depth: int | None = None) ->
 
 def instance_counts(facts: DataFrame, property_graph: DataFrame, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(p_id, s_id, n): values of each property, its sub-properties included, each counted once."""
-    under = below(property_graph, properties.select(F.col("p_id").alias("node")), max_depth)
-    return facts.join(under.select("root", F.col("node").alias("p_id")), "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
+    under = handed(below(property_graph, properties.select(F.col("p_id").alias("node")), max_depth).select("root", F.col("node").alias("p_id")), "under")
+    facts = dealt(facts.join(under.select("p_id"), "p_id", "left_semi"), "s_id")
+    return facts.join(under, "p_id").groupBy(F.col("root").alias("p_id"), "s_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def instances_using(g: Graph, p_id: int, categories: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -209,7 +210,7 @@ def bounds(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: i
 
 def cardinality_breaches(counts: DataFrame, limits: DataFrame) -> DataFrame:
     """(p_id, s_id, low, high): by how much a count falls below or exceeds its bounds."""
-    both = counts.join(limits.where((F.col("lo") > CARDINALITY_MIN) | (F.col("hi") < CARDINALITY_UNLIMITED)), "p_id")
+    both = counts.join(handed(limits.where((F.col("lo") > CARDINALITY_MIN) | (F.col("hi") < CARDINALITY_UNLIMITED)), "limits"), "p_id")
     return both.select("p_id", "s_id", (F.col("lo") - F.col("n")).alias("low"), (F.col("n") - F.col("hi")).alias("high")).where("low > 0 or high > 0")
 
 
@@ -222,7 +223,8 @@ def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: D
     need = limits.where("lo > 0").join(schema.pairs.where("domain is not null").select("p_id", F.col("domain").alias("node")).distinct(), "p_id")
     cats = g.page.where(F.col("ns") == CATEGORY).select(F.col("id").alias("node"), F.col("title").alias("category"))
     under = below(g.category_graph(), need.select("node").distinct(), max_depth)
-    members = need.join(under.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").join(g.member, "category")
+    needing = need.join(under.select(F.col("root").alias("node"), F.col("node").alias("sub")), "node").join(cats.select(F.col("node").alias("sub"), "category"), "sub").select("p_id", "lo", "category")
+    members = g.member.join(handed(needing, "needing"), "category")
     members = members.join(g.page.where(F.col("ns") != CATEGORY).select("id"), "id", "left_semi").select("p_id", F.col("id").alias("s_id"), "lo").distinct()
     members = members if instances is None else members.join(instances.withColumnRenamed("id", "s_id"), "s_id", "left_semi")
     none = members.join(counts.select("p_id", "s_id"), ["p_id", "s_id"], "left_anti")
@@ -236,15 +238,15 @@ def cardinality_issues(g: Graph, graph: DataFrame, schema: Schema, properties: D
 def record_issues(schema: Schema) -> DataFrame:
     """Records in which a field doesn't occur as often as declared, once each."""
     have = schema.records.groupBy("s_id", "p_id", "record", "field").agg(F.count("field").alias("have"))
-    every = schema.records.select("s_id", "p_id", "record").distinct().join(schema.record_fields, "p_id")
+    every = schema.records.select("s_id", "p_id", "record").distinct().join(handed(schema.record_fields, "fields"), "p_id")
     wrong = every.join(have, ["s_id", "p_id", "record", "field"], "left").where(F.coalesce("have", F.lit(0)) != F.col("n"))
     return issues(wrong.select("s_id", "p_id", "record").distinct(), BOT, "missing_param", "s_id", "p_id", F.lit(1))
 
 
 def unit_issues(attributes: DataFrame, specs: DataFrame) -> DataFrame:
     """Units of values that no conversion of the property's type names."""
-    known = specs.select("p_id", F.explode(units_of(F.col("spec"))).alias("unit")).distinct()
-    used = attributes.where("unit is not null and unit <> ''").join(specs.select("p_id"), "p_id", "left_semi").select("s_id", "p_id", "unit").distinct()
+    known = handed(specs.select("p_id", F.explode(units_of(F.col("spec"))).alias("unit")).distinct(), "units")
+    used = attributes.where("unit is not null and unit <> ''").join(handed(specs.select("p_id").distinct(), "measured"), "p_id", "left_semi").select("s_id", "p_id", "unit").distinct()
     return issues(used.join(known, ["p_id", "unit"], "left_anti"), BOT, "wrong_unit", "s_id", "p_id", "unit", name=True)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import handed
 from veracity.functions.text import factor_of, first_number, iso_time, leading_int, number_and_unit, units_of, xml_escape, xml_id
 from veracity.model import CATEGORY, MAIN, PROPERTY, Graph
 from veracity.operators.closure import preorder
@@ -141,10 +142,10 @@ def typed_values(attributes: DataFrame, types: DataFrame, units: DataFrame | Non
     factor 1 (others say how many of theirs make one of it); with a unit that no conversion names, or without a number,
     it is left out, as it has no meaning there. Dates are ISO times where they can be read.
     """
-    rows = attributes.select("s_id", "p_id", "value", F.coalesce("unit", F.lit("")).alias("unit")).join(first_of(types).select("p_id", F.col("value").alias("type")), "p_id", "left")
+    rows = attributes.select("s_id", "p_id", "value", F.coalesce("unit", F.lit("")).alias("unit")).join(handed(first_of(types).select("p_id", F.col("value").alias("type")), "types"), "p_id", "left")
     if units is not None:
         table = units.select("p_id", factor_of(F.col("spec")).alias("factor"), F.explode(units_of(F.col("spec"))).alias("unit")).where("factor <> 0").groupBy("p_id", "unit").agg(F.min("factor").alias("factor"))
-        rows = rows.join(table, ["p_id", "unit"], "left")
+        rows = rows.join(handed(table, "units"), ["p_id", "unit"], "left")
     else:
         rows = rows.withColumn("factor", F.lit(None).cast("double"))
     plain = F.col("unit") == ""
@@ -159,10 +160,12 @@ def individuals(g: Graph, schema: Schema) -> DataFrame:
     pages = g.page.where((F.col("ns") == MAIN) & ~F.col("is_redirect")).select("id", "title")
     types = g.member.groupBy("id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
     name = g.entity.select("id", "title")
-    values = typed_values(g.attribute, schema.types, schema.units)
+    mine = lambda facts: facts.join(pages.select(F.col("id").alias("s_id")), "s_id", "left_semi")
+    values = typed_values(mine(g.attribute), schema.types, schema.units)
     values = values.select("s_id", "p_id", F.concat(F.lit(' rdf:datatype="&xsd;'), F.col("xsd"), F.lit('">'), xml_escape(F.col("value"))).alias("v"))
-    targets = g.relation.join(name.withColumnsRenamed({"id": "o_id", "title": "o"}), "o_id").select("s_id", "p_id", F.concat(F.lit(" rdf:resource="), _iri("item", F.col("o")), F.lit(">")).alias("v"))
-    facts = values.unionByName(targets).join(name.withColumnsRenamed({"id": "p_id", "title": "p"}), "p_id")
+    targets = mine(g.relation).join(name.withColumnsRenamed({"id": "o_id", "title": "o"}), "o_id").select("s_id", "p_id", F.concat(F.lit(" rdf:resource="), _iri("item", F.col("o")), F.lit(">")).alias("v"))
+    used = handed(g.facts.select("p_id").distinct(), "used")
+    facts = values.unionByName(targets).join(handed(name.withColumnsRenamed({"id": "p_id", "title": "p"}).join(used, "p_id", "left_semi"), "named"), "p_id")
     line = F.concat(F.lit("<rel:"), xml_id(F.col("p")), F.col("v"), F.lit("</rel:"), xml_id(F.col("p")), F.lit(">"))
     facts = facts.groupBy(F.col("s_id").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     rows = pages.join(types, "id", "left").join(facts, "id", "left").join(_others(g, MAIN), "id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import dealt, handed
 from veracity.model import PROPERTY
 from veracity.operators.edit_join import similar_titles
 
@@ -44,4 +45,5 @@ def similar_entities(names: DataFrame, degree: int = 1, limit: int = 100, least:
 def similar_annotations(facts: DataFrame, properties: DataFrame, term: str, degree: int = 1) -> DataFrame:
     """(s_id, name, distance) of facts with a property (p_id, name) whose name is within `degree` edits of the term."""
     near = properties.withColumn("distance", F.levenshtein(F.upper("name"), F.lit(term.upper()), degree)).where("distance >= 0")
-    return facts.join(near, "p_id").select("s_id", "name", "distance").distinct()
+    near = handed(near.select("p_id", "name", "distance"), "near")
+    return dealt(facts.join(near.select("p_id"), "p_id", "left_semi"), "s_id").join(near, "p_id").select("s_id", "name", "distance").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veracity.checkpoints import handed
 from veracity.model import CATEGORY, IMAGE, MAIN, PROPERTY, TEMPLATE, Graph
 from veracity.operators.closure import descendants
 from veracity.operators.filters import text_match
@@ -34,7 +35,7 @@ def undefined_properties(g: Graph) -> DataFrame:
 
 def property_usages(g: Graph, properties: DataFrame, limit: int = 0) -> DataFrame:
     """(title, s_id) of the subjects that use the given properties (id, title)."""
-    return first_usages(g.facts.join(properties.withColumnRenamed("id", "p_id"), "p_id"), ["title"], "s_id", limit)
+    return first_usages(g.facts.join(handed(properties.withColumnRenamed("id", "p_id"), "used"), "p_id"), ["title"], "s_id", limit)
 
 
 def undefined_categories(g: Graph) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veracity.checkpoints import materialize
+from veracity.checkpoints import handed, materialize
 from veracity.model import CATEGORY, CODES, MAIN, PROPERTY, TYPE, Graph
 from veracity.operators.closure import below, reachable
 from veracity.plans import consistency as C
@@ -65,7 +65,7 @@ def scope(g: Graph, schema: Schema, changed: DataFrame) -> Scope:
 
 def within(table: DataFrame, touched: Scope) -> DataFrame:
     """`table` with `touched`: whether an issue is about what the changes touch."""
-    mark = lambda df, c, name: df.withColumnsRenamed({df.columns[0]: c}).distinct().withColumn(name, F.lit(True))
+    mark = lambda df, c, name: handed(df.withColumnsRenamed({df.columns[0]: c}).distinct().withColumn(name, F.lit(True)), "marks")
     rows = table.join(mark(touched.by_category, "p2_id", "_c"), "p2_id", "left").join(mark(touched.by_property, "p2_id", "_p2"), "p2_id", "left").join(mark(touched.by_property, "p1_id", "_p1"), "p1_id", "left")
     rows = rows.join(mark(touched.by_inheritance, "p1_id", "_h"), "p1_id", "left")
     rows = rows.join(mark(touched.by_type, "p2_id", "_t"), "p2_id", "left").join(mark(touched.pages, "p1_id", "_i"), "p1_id", "left")
@@ -84,7 +84,7 @@ def rechecked(g: Graph, schema: Schema, touched: Scope) -> DataFrame:
         g = replace(g, relation=materialize(C.resolved(g), "resolved"))
     g = g.prepared()
     props_graph, specs = g.property_graph(), schema.units
-    some = touched.by_category.unionByName(touched.by_property).distinct()
+    some = handed(touched.by_category.unionByName(touched.by_property).distinct(), "some")
     semi = lambda df, of, on: df.join(of, on, "left_semi")
     ids = touched.pages.select(F.col("id").alias("s_id"))
     of_some = replace(g, relation=semi(g.relation, some, "p_id"), attribute=semi(g.attribute, some, "p_id"))
@@ -108,7 +108,7 @@ def rechecked(g: Graph, schema: Schema, touched: Scope) -> DataFrame:
     if schema.records is not None:
         found.append(C.record_issues(replace(schema, records=semi(schema.records, some, "p_id").unionByName(semi(schema.records, ids, "s_id")))))
     if specs is not None:
-        typed = touched.by_property.unionByName(touched.by_type).distinct()
+        typed = handed(touched.by_property.unionByName(touched.by_type).distinct(), "typed")
         found += [C.unit_issues(semi(g.attribute, typed, "p_id"), specs), C.unit_issues(semi(g.attribute, ids, "s_id"), specs)]
     rows = union(*found)
     return within(rows, touched).where("touched").drop("touched").distinct()
