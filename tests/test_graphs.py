@@ -130,3 +130,12 @@ def test_cycles_in_tasks_equal_those_by_rounds(spark):
     pairs = [(i * 20 + a, i * 20 + b) for i in range(4) for a, b in random_graph(12, 24, i)]
     both = [sorted((tuple(r.members), r.dense) for r in C.cycles(frame(spark, pairs), 5, 40, small).collect()) for small in BOTH]
     assert both[0] == both[1] and both[0]
+
+
+def test_shrinking_levels_need_no_paths(spark, monkeypatch):
+    """Eight levels, each half the one before; two levels that don't shrink would be allowed."""
+    monkeypatch.setattr(C, "_along_paths", lambda *_: pytest.fail("went along paths"))
+    depth = {i: (i & -i).bit_length() - 1 for i in range(1, 256)}
+    pairs = [(i + 1000 * j, i + 1000 * (j + 1)) for i, d in depth.items() for j in range(d)]
+    got = C.reachable(frame(spark, pairs), spark.createDataFrame([(i,) for i in depth], "node long"), 2, 0).collect()
+    assert sorted(map(tuple, got)) == sorted((i, i + 1000 * j) for i, d in depth.items() for j in range(d + 1))

@@ -68,7 +68,7 @@ def inherited(graph: DataFrame, own: DataFrame, seed: int, largest: bool, max_de
 
 def min_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.minima)
-    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_MIN, True, max_depth), "p_id", "left")
+    bad = materialize(properties.select("p_id").join(own.hint("merge"), "p_id", "left").join(inherited(graph, own, CARDINALITY_MIN, True, max_depth).hint("merge"), "p_id", "left"), "bounds")
     number = F.when(F.col("value").isNull(), F.lit(0)).otherwise(leading_int(F.col("value")))
     below, covariant = number < 0, number >= F.coalesce("bound", F.lit(CARDINALITY_MIN))
     return union(
@@ -81,7 +81,7 @@ def min_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFra
 
 def max_cardinality_issues(graph: DataFrame, schema: Schema, properties: DataFrame, max_depth: int | None = None) -> DataFrame:
     own = first_of(schema.maxima)
-    bad = properties.select("p_id").join(own, "p_id", "left").join(inherited(graph, own, CARDINALITY_UNLIMITED, False, max_depth), "p_id", "left")
+    bad = materialize(properties.select("p_id").join(own.hint("merge"), "p_id", "left").join(inherited(graph, own, CARDINALITY_UNLIMITED, False, max_depth).hint("merge"), "p_id", "left"), "bounds")
     number = F.when(F.col("value").isNull(), F.lit(CARDINALITY_UNLIMITED)).otherwise(leading_int(F.col("value")))
     zero, covariant = number == 0, number <= F.coalesce("bound", F.lit(CARDINALITY_UNLIMITED))
     return union(
