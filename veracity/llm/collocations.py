@@ -29,16 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, materialize
+from .common import LOWER, UPPER, batches_of, give_back, materialize
 
-#: Bytes of text whose phrases a task counts at once; nodes that a range should have at most; segments merged at once.
+#: Bytes of text whose phrases a task counts at once; nodes that a range should have at most, else it is cut by third words; segments merged at once.
 SHARD_BYTES, RANGE_NODES, FAN_IN = 8 << 20, 2_000_000, 64
+#: Bytes that go to or from a task's Python at once, besides what a row has.
+BATCH_BYTES = 2 << 20
 #: Bits of the first ranges, and by which a round of merging makes them finer.
 FIRST_BITS, MORE_BITS = 8, 6
 #: What ends a piece of text; words stand between blanks and tabs.
 ENDS = ".,;:!?\n\x0b\x0c\r"
 _BYTES = bytes.maketrans((UPPER + ENDS + "\t").encode(), (LOWER + "\n" * len(ENDS) + " ").encode())
 SEGMENT = "lang string, range long, part long, nodes long, blob binary"
+SEGMENT_SCHEMA = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("part", pa.int64()), ("nodes", pa.int64()), ("blob", pa.binary())])
 NODES = "lang string, phrase string, words int, a long, lefts array<long>, total long"
 
 
@@ -49,7 +52,10 @@ def _packed(a: np.ndarray, kind: type, ascending: bool) -> bytes:
 
 
 class Trie:
-    """words: sorted; one: (word, count) of single words; two: (word, word, count); deeper: (parent, word, count) a level."""
+    """words: sorted; one: (word, count) of single words; two: (word, word, count); deeper: (parent, word, count) a level.
+
+    Words and parents are places of 32 bits, counts have 64.
+    """
 
     def __init__(self, words: pa.Array, one: tuple, two: tuple, deeper: list[tuple]):
         self.words, self.one, self.two, self.deeper = words, one, two, deeper
@@ -81,8 +87,8 @@ class Trie:
             width = np.dtype(kind).itemsize
             planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
             at += n * width
-            a = np.ascontiguousarray(planes.T).view(kind).reshape(n).astype(np.int64)
-            return np.cumsum(a) if ascending else a
+            a = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+            return np.cumsum(a, dtype=kind) if ascending else a
 
         for width, n in zip([1, *[2] * (len(sizes) - 1)], sizes, strict=True):
             levels.append(tuple(unpacked(n, np.int64 if k == width else np.int32, k == 0) for k in range(width + 1)))
@@ -112,30 +118,39 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, sums, place
 
 
+def _parted(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (key // n).astype(np.int32), (key % n).astype(np.int32)
+
+
 def tokens_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     """Sorted distinct words, and the text as their places with -1 at the end of each piece."""
     words, codes = _unified(_split(text.translate(_BYTES).replace(b"\n", b" \n "), b" "))
     none, end = pc.equal(words, b""), pc.equal(words, b"\n")
     own = ~(none.to_numpy(zero_copy_only=False) | end.to_numpy(zero_copy_only=False))
-    place = np.where(own, np.cumsum(own) - 1, np.where(end.to_numpy(zero_copy_only=False), -1, -2))[codes]
+    place = np.where(own, np.cumsum(own) - 1, np.where(end.to_numpy(zero_copy_only=False), -1, -2))
+    place = place.astype(np.int32)[codes]
     return words.filter(pa.array(own)), place[place > -2]
 
 
 def counted(text: bytes, depth: int) -> Trie:
     """The trie of all phrases of up to `depth` words within pieces."""
     words, tokens = tokens_of(text)
+    give_back()
     n = max(len(words), 1)
-    at = np.flatnonzero(tokens >= 0)
+    at = np.flatnonzero(tokens >= 0).astype(np.int32)
     node = tokens[at]
-    levels = [(np.arange(len(words)), np.bincount(node, minlength=len(words)).astype(np.int64))]
+    levels = [(np.arange(len(words), dtype=np.int32), np.bincount(node, minlength=len(words)).astype(np.int64))]
     for k in range(1, depth):
         there = at + k < len(tokens)
         at, node = at[there], node[there]
         word = tokens[at + k]
-        at, node, word = at[word >= 0], node[word >= 0], word[word >= 0]
-        keys, *node, count = np.unique(node * n + word, return_inverse=k + 1 < depth, return_counts=True)
-        node = node[0] if node else None
-        levels.append((keys // n, keys % n, count))
+        at, key = at[word >= 0], node[word >= 0].astype(np.int64) * n + word[word >= 0]
+        del node, word
+        keys, *node, count = np.unique(key, return_inverse=k + 1 < depth, return_counts=True)
+        node = node[0].astype(np.int32) if node else None
+        levels.append((*_parted(keys, n), count))
+        del key, keys, count
+    give_back()
     return Trie(words, levels[0], levels[1] if depth > 1 else (levels[0][0][:0],) * 3, levels[2:])
 
 
@@ -151,9 +166,9 @@ def merged(tries: list[Trie]) -> Trie:
     for k in range(max(len(t.deeper) for t in tries)):
         start = np.cumsum([0, *above])
         key, f, node = _summed(every([node[start[i] + t.deeper[k][0]] * n + code(i, t.deeper[k][1]) for i, t in enumerate(tries)]), every([t.deeper[k][2] for t in tries]))
-        deeper.append((key // n, key % n, f))
+        deeper.append((*_parted(key, n), f))
         above = [len(t.deeper[k][0]) for t in tries]
-    return Trie(words, (one, f1), (two // n, two % n, f2), deeper)
+    return Trie(words, (one.astype(np.int32), f1), (*_parted(two, n), f2), deeper)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -171,14 +186,14 @@ def _selected(trie: Trie, where: list[np.ndarray]) -> Iterator[tuple[int, Trie]]
     ranges = [w[o] for w, o in zip(where, order, strict=True)]
     spot = []  # where a node comes to lie within its range
     for o, r in zip(order, ranges, strict=True):
-        s = np.empty(len(o), np.int64)
+        s = np.empty(len(o), np.int32)
         s[o] = np.arange(len(o)) - np.searchsorted(r, r)
         spot.append(s)
     for r in np.unique(np.concatenate(ranges)):
         part = [o[np.searchsorted(x, r) : np.searchsorted(x, r, "right")] for o, x in zip(order, ranges, strict=True)]
         a, b, deeper = part[0], part[1], part[2:]
         used = np.unique(np.concatenate([trie.one[0][a], trie.two[0][b], trie.two[1][b], *[trie.deeper[k][1][d] for k, d in enumerate(deeper)]]))
-        to = lambda c: np.searchsorted(used, c)  # noqa: B023, E731
+        to = lambda c: np.searchsorted(used, c).astype(np.int32)  # noqa: B023, E731
         below = [(spot[k + 1][trie.deeper[k][0][d]], to(trie.deeper[k][1][d]), trie.deeper[k][2][d]) for k, d in enumerate(deeper)]
         yield int(r), Trie(trie.words.take(pa.array(used)), (to(trie.one[0][a]), trie.one[1][a]), (to(trie.two[0][b]), to(trie.two[1][b]), trie.two[2][b]), below)
 
@@ -213,25 +228,38 @@ def by_third(trie: Trie, parts: int) -> Iterator[tuple[int, Trie]]:
 
 
 def _shards(bits: int, depth: int, shard_bytes: int):
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size, flushes, task = 0, 0, TaskContext.get().partitionId()
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for lang, texts in held.items():
-                rows = [(lang, r, (task << 24) + flushes, t.nodes, t.dump()) for r, t in by_prefix(counted(b"\n".join(texts), depth), bits)]
-                yield pd.DataFrame(rows, columns=["lang", "range", "part", "nodes", "blob"])
-            pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(SEGMENT_SCHEMA.names, r, strict=True)) for r in rows], SEGMENT_SCHEMA)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            while held:
+                lang, texts = held.popitem()
+                text = b"\n".join(texts)
+                del texts
+                rows, out = [], 0
+                for r, t in by_prefix(counted(text, depth), bits):
+                    rows.append((lang, r, (task << 24) + flushes, t.nodes, t.dump()))
+                    out += len(rows[-1][-1])
+                    if out >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, out = [], 0
+                if rows:
+                    yield batch(rows)
+            give_back()
 
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                held.setdefault(lang, []).append(text.encode())
+            for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
+                text = text.as_py()
+                held.setdefault(lang.as_py(), []).append(text)
                 size += len(text)
                 if size >= shard_bytes:
                     yield from flush()
-                    held, size, flushes = {}, 0, flushes + 1
-        if held:
-            yield from flush()
+                    size, flushes = 0, flushes + 1
+        yield from flush()
 
     return segments
 
@@ -268,7 +296,8 @@ def nodes(docs: DataFrame, least: int = 10, depth: int = 3, shard_bytes: int = S
     wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 2 // (5 * range_nodes))  # about two nodes for five bytes
     bits, now = math.ceil(math.log2(max(wanted, 1))), 0
     now = min(bits, first_bits)
-    segments = materialize(docs.select("lang", "text").mapInPandas(_shards(now, depth, shard_bytes), SEGMENT), "segments")
+    with batches_of(spark, BATCH_BYTES):
+        segments = materialize(docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(_shards(now, depth, shard_bytes), SEGMENT), "segments")
 
     def tries(pdf: pd.DataFrame) -> Trie:
         return merged([Trie.load(b) for b in pdf["blob"]])
@@ -276,16 +305,19 @@ def nodes(docs: DataFrame, least: int = 10, depth: int = 3, shard_bytes: int = S
     def finer(bits: int):
         def of(pdf: pd.DataFrame) -> pd.DataFrame:
             lang, group = pdf["lang"].iloc[0], int(pdf["group"].iloc[0])
-            return pd.DataFrame([(lang, r, group, t.nodes, t.dump()) for r, t in by_prefix(tries(pdf), bits)], columns=["lang", "range", "part", "nodes", "blob"])
+            out = pd.DataFrame([(lang, r, group, t.nodes, t.dump()) for r, t in by_prefix(tries(pdf), bits)], columns=["lang", "range", "part", "nodes", "blob"])
+            give_back()
+            return out
         return of
 
     while now < bits:
         now = min(bits, now + more_bits)
         groups = max(1, segments.select("part").distinct().count() // fan_in)
         grouped = segments.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("long"))
-        segments = materialize(grouped.groupBy("lang", "range", "group").applyInPandas(finer(now), SEGMENT), "segments")
+        with batches_of(spark, BATCH_BYTES):
+            segments = materialize(grouped.groupBy("lang", "range", "group").applyInPandas(finer(now), SEGMENT), "segments")
 
-    sizes = segments.groupBy("lang", "range").agg(F.sum("nodes").alias("sum")).select("lang", "range", F.ceil(F.col("sum") / (4 * range_nodes)).cast("int").alias("parts"))
+    sizes = segments.groupBy("lang", "range").agg(F.sum("nodes").alias("sum")).select("lang", "range", F.ceil(F.col("sum") / range_nodes).cast("int").alias("parts"))
     large = materialize(sizes.where("parts > 1"), "large")
     whole = segments.join(large, ["lang", "range"], "left_anti").select("lang", "range", F.lit(0).alias("third"), "blob")
 
@@ -295,8 +327,14 @@ def nodes(docs: DataFrame, least: int = 10, depth: int = 3, shard_bytes: int = S
                 yield pd.DataFrame([(r.lang, r.range, k, t.dump()) for k, t in by_third(Trie.load(r.blob), r.parts)], columns=["lang", "range", "third", "blob"])
 
     cut = segments.join(large, ["lang", "range"]).select("lang", "range", "parts", "blob").mapInPandas(thirds, "lang string, range long, third int, blob binary")
-    rows = lambda pdf: _rows(tries(pdf), pdf["lang"].iloc[0], least, int(pdf["third"].iloc[0]) == 0)
-    return materialize(whole.unionByName(cut).groupBy("lang", "range", "third").applyInPandas(rows, NODES), "nodes")
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _rows(tries(pdf), pdf["lang"].iloc[0], least, int(pdf["third"].iloc[0]) == 0)
+        give_back()
+        return out
+
+    with batches_of(spark, BATCH_BYTES):
+        return materialize(whole.unionByName(cut).groupBy("lang", "range", "third").applyInPandas(rows, NODES), "nodes")
 
 
 def scored(found: DataFrame, depth: int = 3) -> DataFrame:
